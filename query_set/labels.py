@@ -9,7 +9,7 @@ from taktspur.operators.grouped import daily, worst_days
 from taktspur.plans import day_labels as dlb, fact_sheet
 
 from .registry import query, r, rounded
-from .tables import feature_events, prepared_events, sql, sql_more, stop_events, table
+from .tables import feature_events, prepared_events, sql, sql_more, stop_events, stored_prepared, table
 
 _PARTS = {"Nacht": "hour BETWEEN 1 AND 6", "Vormittag": "hour BETWEEN 7 AND 12",
           "Nachmittag": "hour BETWEEN 13 AND 18", "Abend": "hour BETWEEN 19 AND 24"}
@@ -41,14 +41,14 @@ def day_context(spark, sf_dir):
 
 @query("prompt_rows")
 def prompt_rows(spark, sf_dir):
-    context = dlb.worst_day_context(prepared_events(spark, sf_dir), min_n=3)
+    context = dlb.worst_day_context(stored_prepared(spark, sf_dir), min_n=3)
     return dlb.prompt_rows(context).select("betriebstag", "prompt")
 
 
 @query("classify_days")
 def classify_days(spark, sf_dir):
     """The ten worst days labelled by the offline stand-in for a model."""
-    return rounded(dlb.classify_days(dlb.worst_day_context(prepared_events(spark, sf_dir), min_n=3)))
+    return rounded(dlb.classify_days(dlb.worst_day_context(stored_prepared(spark, sf_dir), min_n=3)))
 
 
 _REPLY = """CASE WHEN event_type = 'error' THEN props
@@ -113,13 +113,13 @@ _OVERALL = {"mean_delay": "true", "workday": "NOT is_weekend", "weekend": "is_we
         UNION ALL SELECT 'weather', 'dry', avg(delay_arr_sec) FILTER (niederschlag_mm = 0), count(niederschlag_mm) FROM prep)""",
     f"SELECT section, key, {r('value')}, n FROM facts"))
 def facts(spark, sf_dir):
-    return rounded(fact_sheet.fact_rows(prepared_events(spark, sf_dir), QUESTION, min_worst=40))
+    return rounded(fact_sheet.fact_rows(stored_prepared(spark, sf_dir), QUESTION, min_worst=40))
 
 
 @query("fact_sheet_lines")
 def fact_lines(spark, sf_dir):
     """The same as text lines in reading order, with the five worst labelled days."""
-    prepared = prepared_events(spark, sf_dir)
+    prepared = stored_prepared(spark, sf_dir)
     reasons = dlb.classify_days(dlb.worst_day_context(prepared, min_n=3))
     return fact_sheet.fact_lines(fact_sheet.fact_rows(prepared, QUESTION, reasons, min_worst=40))
 

@@ -8,7 +8,7 @@ from taktspur.operators import grouped as gr, hypothesis as h, regression as rg
 from taktspur.plans import statistics as st
 
 from .registry import query, r, rounded
-from .tables import feature_events, prepared_events, shipments, sql, sql_more, table
+from .tables import feature_events, prepared_events, shipments, sql, sql_more, stored_prepared, table
 
 _WELCH = r(
     "mean1", "mean2", "var1", "var2", "mean1 - mean2 AS diff", "sqrt(var1 / n1 + var2 / n2) AS se",
@@ -304,4 +304,4 @@ def residuals_one(spark, sf_dir):
 
 @query("results_json")
 def results_json(spark, sf_dir):
-    return st.result_rows(prepared_events(spark, sf_dir), min_station=40)
+    return st.result_rows(stored_prepared(spark, sf_dir), min_station=40)

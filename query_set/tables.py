@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from taktspur.functions.time import hour_floor
 from taktspur.operators.joins import WEATHER_POINTS
+from taktspur.schemas import PREPARED
 from taktspur.plans.prepared import cleaned, prepare, with_features
+from taktspur.session import materialized, new_run_dir
+from taktspur.sources.events import write_days
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,13 +111,13 @@ stations AS (SELECT * FROM stations_raw WHERE hasgeolocation)"""
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly measures per weather point."""
+    """Hourly measures per weather point, stored once as the railway's weather table is."""
     abbr = F.get(F.array(*[F.lit(p[0]) for p in WEATHER_POINTS]), (F.col("user_id") % 15).cast("int"))
 
     def of(kind: str):
         return F.when(F.col("event_type") == kind, F.col("value"))
 
-    return table(spark, sf_dir, "events").groupBy(
+    hourly = table(spark, sf_dir, "events").groupBy(
         abbr.alias("station_abbr"), hour_floor("ts").alias("reference_timestamp")
     ).agg(
         F.avg(of("view")).alias("tre200h0"),
@@ -123,6 +126,7 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(of("signup")).alias("ure200h0"),
         F.count(of("error")).cast("double").alias("sre000h0"),
     )
+    return materialized(hourly)
 
 
 _ABBRS = ", ".join(f"'{p[0]}'" for p in WEATHER_POINTS)
@@ -197,6 +201,13 @@ def prepared_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(stop_events(spark, sf_dir), stations(spark, sf_dir), weather(spark, sf_dir))
 
 
+def stored_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prepared table written by operating day and read back, as the reports use it."""
+    path = new_run_dir(spark, "prepared")
+    write_days(prepared_events(spark, sf_dir), path)
+    return spark.read.schema(PREPARED).parquet(path)
+
+
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The large table: line items with a delay and the ship day; no time of day."""
     return table(spark, sf_dir, "lineitem").select(

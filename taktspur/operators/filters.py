@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.delay import EARLIEST_PLAUSIBLE_SEC, known
+from .joins import if_small
+
+
+def has_value(c: str) -> Column:
+    """Neither null nor NaN, in a form that file sources can use to skip data."""
+    return F.col(c).isNotNull() & ~F.isnan(c)
 
 
 def measured(df: DataFrame, status: str = "an_prognose_status", delay: str = "delay_arr_sec",
              real: str = "REAL") -> DataFrame:
     """Rows with a measured time and a known delay."""
-    return df.where((F.col(status) == real) & known(delay).isNotNull())
+    return df.where((F.col(status) == real) & has_value(delay))
 
 
 def measured_share(df: DataFrame, status: str = "an_prognose_status",
                    delay: str = "delay_arr_sec", real: str = "REAL") -> DataFrame:
     """Rows before and after the filter for measured rows, and the share kept in percent."""
-    kept = F.count_if((F.col(status) == real) & known(delay).isNotNull())
+    kept = F.count_if((F.col(status) == real) & has_value(delay))
     return df.agg(F.count("*").alias("n_before"), kept.alias("n_after"),
                   F.try_divide(100.0 * kept, F.count("*")).alias("pct_kept"))
 
@@ -24,7 +30,8 @@ def measured_share(df: DataFrame, status: str = "an_prognose_status",
 def plausible(df: DataFrame, delay: str = "delay_arr_sec",
               earliest: float = EARLIEST_PLAUSIBLE_SEC) -> DataFrame:
     """Drops arrivals further ahead of plan than can be; the limit itself is kept."""
-    return df.where(known(delay) >= earliest)
+    # NaN is above all numbers in Spark and would pass the comparison alone.
+    return df.where((F.col(delay) >= earliest) & ~F.isnan(delay))
 
 
 def plausible_report(df: DataFrame, delay: str = "delay_arr_sec",
@@ -53,7 +60,7 @@ def in_regions(events: DataFrame, stations: DataFrame, regions: list[str],
         return events
     chosen = (stations.where(F.col(region).isin(*regions))
               .select(F.col(station_key).alias(event_key)).distinct())
-    return events.join(chosen, event_key, "left_semi")
+    return events.join(if_small(chosen), event_key, "left_semi")
 
 
 def top_groups(df: DataFrame, group: str, k: int = 5) -> DataFrame:

@@ -28,6 +28,9 @@ WEATHER_POINTS = [
 ]
 KM_PER_DEGREE = 111.0
 
+# Rows of a look-up table up to which it is broadcast: a key and a few short attributes
+# each, so some tens of megabytes at most.
+BROADCAST_ROWS = 500_000
 _NULL_SHARES = 1024
 
 
@@ -61,21 +64,34 @@ def with_nearest_point(stations: DataFrame, lat: str = "lat", lon: str = "lon",
     })
 
 
-def lookup(events: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+def if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast if it has at most that many rows, else as it is.
+
+    The count is a small job over the table, not over the events. It is taken because
+    Spark's own estimate of a derived table is often far too large, and then all events
+    would be shuffled to meet a few hundred rows.
+    """
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def lookup(events: DataFrame, table: DataFrame, on: list[str],
+           rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of events to a table with one row per key; no match gives nulls.
 
-    No hint is set: Spark broadcasts the table if its size is under
-    spark.sql.autoBroadcastJoinThreshold and otherwise sorts and merges, where the
-    adaptive plan splits a hot key into several tasks. Rows with a null key match
-    nothing, so they are spread by a hash instead of meeting in one task.
+    A table of at most ``rows`` rows is broadcast and the events stay where they are. A
+    larger one is merged by key: there the adaptive plan splits a hot key into several
+    tasks, and events without a key, which match nothing, are spread by a hash of the row.
     """
+    added = [c for c in table.columns if c not in on]
+    if table.count() <= rows:
+        return events.join(F.broadcast(table), on, "left").select(*events.columns, *added)
     no_key = F.lit(False)
     for key in on:
         no_key = no_key | F.col(key).isNull()
     share = F.when(no_key, F.pmod(F.xxhash64(*events.columns), F.lit(_NULL_SHARES)) + 1).otherwise(0)
     joined = events.withColumn("_share", share).join(
         table.withColumn("_share", F.lit(0).cast("long")), [*on, "_share"], "left")
-    return joined.drop("_share").select(*events.columns, *[c for c in table.columns if c not in on])
+    return joined.select(*events.columns, *added)
 
 
 def split_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, share: float = 1e-3) -> DataFrame:

@@ -18,8 +18,8 @@ RANGE_BITS = 8
 def value_counts_by(df: DataFrame, value: Column | str, by: list[str] | None = None) -> DataFrame:
     """(by..., value, n): rows per known value and group."""
     value = F.col(value) if isinstance(value, str) else value
-    kept = df.select(*(by or []), known(value).alias("value"))
-    for c in ["value", *(by or [])]:
+    kept = df.where(known(value).isNotNull()).select(*(by or []), value.cast("double").alias("value"))
+    for c in by or []:
         kept = kept.where(F.col(c).isNotNull())
     return kept.groupBy(*(by or []), "value").agg(F.count("*").alias("n"))
 

@@ -12,19 +12,15 @@ DESCRIBE_AT = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9,
                "p99": 0.99, "p999": 0.999}
 
 
-def _grouped(df: DataFrame, by: str | None) -> tuple[DataFrame, str]:
-    """The frame with a group column; one group for all rows if none is named."""
-    return (df, by) if by else (df.withColumn("_all", F.lit("alle")), "_all")
-
-
 def describe(df: DataFrame, value: str = "delay_arr_sec", by: str | None = None,
              at: dict[str, float] = DESCRIBE_AT, approximate: bool = False) -> DataFrame:
     """n, mean, sd, min, max, quantiles, late share and share at or before plan.
 
     Quantiles are exact unless the caller asks for ``approximate`` ones.
     """
-    df, group = _grouped(df, by)
-    df = df.where(F.col(group).isNotNull())
+    groups = [by] if by else []
+    for group in groups:
+        df = df.where(F.col(group).isNotNull())
     x = known(value)
     moments = [
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
@@ -34,10 +30,12 @@ def describe(df: DataFrame, value: str = "delay_arr_sec", by: str | None = None,
     ]
     if approximate:
         moments += [F.percentile_approx(x, p).alias(name) for name, p in at.items()]
-        out = df.groupBy(group).agg(*moments)
-    else:
-        out = df.groupBy(group).agg(*moments).join(quantiles(df, value, at, [group]), group, "left")
-    return out if by else out.drop("_all")
+        return df.groupBy(*groups).agg(*moments)
+    exact = quantiles(df, value, at, groups)
+    if by:
+        return df.groupBy(by).agg(*moments).join(exact, by, "left")
+    row = exact.select(F.struct(*exact.columns)).scalar()
+    return df.agg(*moments).withColumn("_at", row).select("*", "_at.*").drop("_at")
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
@@ -66,18 +64,18 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Quartiles and whiskers per group; a whisker ends at the outermost value within
     1.5 interquartile ranges of the box."""
-    df, group = _grouped(df, by)
-    totals = running_totals(value_counts_by(df, value, [group]), [group])
+    groups = [by] if by else []
+    hist = value_counts_by(df, value, groups)
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    box = totals.groupBy(group).agg(
+    box = running_totals(hist, groups).groupBy(*groups).agg(F.struct(
         F.max("total").alias("rows"),
-        *[c.alias(name) for name, c in quantile_columns(quartiles).items()])
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    ends = (value_counts_by(df, value, [group]).join(box, group)
-            .groupBy(group, *[c for c in box.columns if c != group])
-            .agg(F.min(F.when(F.col("value") >= F.col("q1") - reach, F.col("value"))).alias("low"),
-                 F.max(F.when(F.col("value") <= F.col("q3") + reach, F.col("value"))).alias("high")))
-    out = ends.select(
-        group, F.col("rows").alias("n"), F.least("low", "q1").alias("whisker_low"), "q1", "median", "q3",
-        F.greatest("high", "q3").alias("whisker_high"))
-    return out if by else out.drop("_all")
+        *[c.alias(name) for name, c in quantile_columns(quartiles).items()]).alias("box"))
+    boxed = hist.join(box, by) if by else hist.withColumn("box", box.scalar())
+    q1, q3, x = F.col("box.q1"), F.col("box.q3"), F.col("value")
+    reach = 1.5 * (q3 - q1)
+    ends = boxed.groupBy(*groups, "box").agg(
+        F.min(F.when(x >= q1 - reach, x)).alias("low"), F.max(F.when(x <= q3 + reach, x)).alias("high"))
+    return ends.select(
+        *groups, F.col("box.rows").alias("n"), F.least("low", q1).alias("whisker_low"),
+        q1.alias("q1"), F.col("box.median").alias("median"), q3.alias("q3"),
+        F.greatest("high", q3).alias("whisker_high"))

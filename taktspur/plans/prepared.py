@@ -9,6 +9,7 @@ from ..functions.time import hour_floor, time_features
 from ..operators.filters import measured, plausible
 from ..operators.joins import station_lookup, with_nearest_point, with_weather
 from ..schemas import EVENTS, PREPARED
+from ..session import materialized
 from ..sources.events import without_nan
 from ..sources.stations import one_per_key
 from ..sources.tables import conform
@@ -17,8 +18,8 @@ from ..sources.weather import hourly_measures
 
 def cleaned(events: DataFrame, earliest: float = EARLIEST_PLAUSIBLE_SEC) -> DataFrame:
     """Events in the fixed schema, measured and plausible."""
-    known_values = without_nan(conform(events, EVENTS), ["delay_arr_sec", "delay_dep_sec"])
-    return plausible(measured(known_values), earliest=earliest)
+    kept = plausible(measured(conform(events, EVENTS)), earliest=earliest)
+    return without_nan(kept, ["delay_dep_sec"])
 
 
 def with_features(events: DataFrame, ts: str = "ankunftszeit",
@@ -34,8 +35,8 @@ def with_features(events: DataFrame, ts: str = "ankunftszeit",
 def prepare(events: DataFrame, stations: DataFrame, weather: DataFrame,
             shift_hours: int = 0) -> DataFrame:
     """The full prepared table; the events are not moved while both look-up tables are small."""
-    points = with_nearest_point(one_per_key(stations))
-    near = station_lookup(with_features(cleaned(events)), points,
+    points = with_nearest_point(one_per_key(stations)).select("number", "nearest_weather_abbr")
+    near = station_lookup(with_features(cleaned(events)), materialized(points),
                           {"nearest_weather_abbr": "weather_abbr"})
     near = near.withColumn("delay_ts_hour", hour_floor("ankunftszeit"))
     return with_weather(near, hourly_measures(weather, shift_hours)).select(*PREPARED.fieldNames())
