@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taktspur.functions.time import TIME_FORMATS, parse_time
+from taktspur.functions.time import parse_time
 from taktspur.plans import sql_reports
 from taktspur.session import new_run_dir
 from taktspur.sources import days, events as ev, stations as st, tables as tb, weather as we
@@ -67,7 +67,7 @@ def parse_timestamps(spark, sf_dir):
     """Day-first text, unreadable for errors, becomes a timestamp or null."""
     text = F.when(F.col("event_type") == "error", "kein Datum").otherwise(F.date_format("ts", _TIME))
     return table(spark, sf_dir, "events").select(
-        "event_id", parse_time(text, TIME_FORMATS).alias("parsed"),
+        "event_id", parse_time(text).alias("parsed"),
         parse_time(F.date_format("ts", "dd.MM.yyyy")).cast("date").alias("parsed_day"))
 
 

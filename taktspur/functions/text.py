@@ -46,11 +46,14 @@ def parsed_reply(reply: Column | str) -> dict[str, Column]:
     a readable object is a parse error; an object without a cause is an error ("fehler").
     """
     body = F.regexp_extract(_col(reply), r"(?s)\{.*\}", 0)
-    parsed = F.try_parse_json(body)
+    # Inside brackets, so that anything after the object makes the text unreadable; the
+    # parser alone would stop at the end of the first object and be content.
+    parsed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    one_object = (body != "") & parsed.isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull()
 
     def field(name: str, absent: str, unreadable: str) -> Column:
-        value = F.try_variant_get(parsed, f"$.{name}", "string")
-        return F.when(parsed.isNull(), F.lit(unreadable)).otherwise(F.coalesce(value, F.lit(absent)))
+        value = F.try_variant_get(parsed, f"$[0].{name}", "string")
+        return F.when(one_object, F.coalesce(value, F.lit(absent))).otherwise(F.lit(unreadable))
 
     return {
         "llm_ursache": field("primaere_ursache", "fehler", "parse_error"),

@@ -10,19 +10,20 @@ WEEKDAYS = ["Mo", "Di", "Mi", "Do", "Fr", "Sa", "So"]
 # Day parts, lower hour excluded, upper hour included.
 DAY_PARTS = [(0, 6, "Nacht"), (6, 12, "Vormittag"), (12, 18, "Nachmittag"), (18, 24, "Abend")]
 
-# Day-first formats of the feeds, then ISO.
-TIME_FORMATS = ["dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy",
-                "yyyy-MM-dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd"]
+# A date with the day first; what follows it may be a time of day.
+DAY_FIRST = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_time(c: Column | str, formats: list[str] = TIME_FORMATS) -> Column:
-    """First format that fits the text, else null; the result carries no zone."""
-    text = F.trim(_col(c))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+def parse_time(c: Column | str) -> Column:
+    """Naive timestamp from day-first or ISO text; null if the text is neither.
+
+    The cast knows no time zone, so an hour that a clock change skips is read as it stands.
+    """
+    return F.regexp_replace(F.trim(_col(c)), DAY_FIRST, "$3-$2-$1").try_cast("timestamp_ntz")
 
 
 def weekday_label(num: Column) -> Column:
