@@ -186,14 +186,14 @@ def pearson(df: DataFrame, columns: list[str], value: str = "delay_arr_sec",
     All columns are worked out in one pass; columns with fewer pairs are left out.
     """
     y = known(value)
-    per_column = df.agg(F.array(*[
-        F.struct(
-            F.lit(c).alias("variable"),
-            F.count(F.when(y.isNotNull(), known(c))).alias("n"),
-            F.corr(F.when(y.isNotNull(), known(c)), F.when(known(c).isNotNull(), y)).alias("r"),
-        )
-        for c in columns
-    ]).alias("all"))
+
+    def correlation(c: str) -> Column:
+        a, b = F.when(y.isNotNull(), known(c)), F.when(known(c).isNotNull(), y)
+        # Spark's own corr fails on a constant column.
+        r = F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
+        return F.struct(F.lit(c).alias("variable"), F.count(a).alias("n"), r.alias("r"))
+
+    per_column = df.agg(F.array(*[correlation(c) for c in columns]).alias("all"))
     rows = per_column.select(F.explode("all").alias("c")).select("c.*")
     z, half = F.atanh("r"), F.try_divide(F.lit(1.96), F.sqrt(F.col("n") - 3))
     return rows.where(F.col("n") >= min_pairs).withColumns({
