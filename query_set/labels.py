@@ -110,7 +110,9 @@ _OVERALL = {"mean_delay": "true", "workday": "NOT is_weekend", "weekend": "is_we
         UNION ALL (SELECT 'asked_station', s, m, n FROM st WHERE n >= 30
                    AND (contains(lower(s), 'halt') OR contains(lower(s), 'morgen')) ORDER BY n DESC, s LIMIT 8)
         UNION ALL SELECT 'weather', 'rain', avg(delay_arr_sec) FILTER (niederschlag_mm > 0), count(niederschlag_mm) FROM prep
-        UNION ALL SELECT 'weather', 'dry', avg(delay_arr_sec) FILTER (niederschlag_mm = 0), count(niederschlag_mm) FROM prep)""",
+                  HAVING count(niederschlag_mm) > 1000
+        UNION ALL SELECT 'weather', 'dry', avg(delay_arr_sec) FILTER (niederschlag_mm = 0), count(niederschlag_mm) FROM prep
+                  HAVING count(niederschlag_mm) > 1000)""",
     f"SELECT section, key, {r('value')}, n FROM facts"))
 def facts(spark, sf_dir):
     return rounded(fact_sheet.fact_rows(stored_prepared(spark, sf_dir), QUESTION, min_worst=40))

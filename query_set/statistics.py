@@ -207,27 +207,26 @@ def ols_numeric(spark, sf_dir):
     return rounded(fit.withColumn("marks", stars("p")), 4)
 
 
-_TWO = """x AS (SELECT delay_arr_sec AS y, niederschlag_mm AS a, temperatur_c AS b FROM prep
-             WHERE niederschlag_mm IS NOT NULL AND temperatur_c IS NOT NULL),
+_TWO = """WITH x AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem),
     m AS (SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb,
                  covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, var_pop(y) AS yy FROM x),
     c AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ca, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM m),
     z AS (SELECT *, (ca * ay + cb * yb) / yy AS r2, n * (yy - ca * ay - cb * yb) / (n - 3) AS s2 FROM c)"""
 
 
-@query("ols_two", sql_more("prep", _TWO, " UNION ALL ".join(
-    f"SELECT '{name}' AS term, {r(f'{coef} AS coefficient', f'{se} AS std_error')}, n, "
+@query("ols_two", _TWO + " UNION ALL ".join(
+    f" SELECT '{name}' AS term, {r(f'{coef} AS coefficient', f'{se} AS std_error', digits=4)}, n, "
     f"{r('r2 AS r_squared', digits=9)} FROM z"
     for name, coef, se in [
         ("Intercept", "my - ca * ma - cb * mb",
          "sqrt(s2 / n * (1 + (ma * ma * bb - 2 * ma * mb * ab + mb * mb * aa) / (aa * bb - ab * ab)))"),
-        ("niederschlag_mm", "ca", "sqrt(s2 / n * bb / (aa * bb - ab * ab))"),
-        ("temperatur_c", "cb", "sqrt(s2 / n * aa / (aa * bb - ab * ab))")])))
+        ("l_quantity", "ca", "sqrt(s2 / n * bb / (aa * bb - ab * ab))"),
+        ("l_discount", "cb", "sqrt(s2 / n * aa / (aa * bb - ab * ab))")]))
 def ols_two(spark, sf_dir):
     """Two regressors, for which the fit has a closed form."""
-    fit = rg.ols(prepared_events(spark, sf_dir), "delay_arr_sec", ["niederschlag_mm", "temperatur_c"])
+    fit = rg.ols(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
     return rounded(fit.select("term", "coefficient", "std_error", "n", "r_squared"), 9).withColumns(
-        {c: F.round(c, 6) for c in ("coefficient", "std_error")})
+        {c: F.round(c, 4) for c in ("coefficient", "std_error")})
 
 
 @query("ols_one_factor", sql("ship", f"""

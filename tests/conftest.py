@@ -14,7 +14,7 @@ TESTDATA = "/root/testdata"
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "tests", "local[8]", spark__sql__shuffle__partitions="3", spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="taktspur-tests-"))
     session.sparkContext.setLogLevel("ERROR")
