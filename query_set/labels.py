@@ -101,7 +101,9 @@ _OVERALL = {"mean_delay": "true", "workday": "NOT is_weekend", "weekend": "is_we
 @query("fact_sheet", sql_more("prep", f"""
     st AS (SELECT haltestellen_name AS s, avg(delay_arr_sec) AS m, count(*) AS n FROM prep GROUP BY 1),
     facts AS (
-        SELECT 'overall' AS section, 'pct_late' AS key,
+        SELECT 'period' AS section, concat(min(betriebstag), ' bis ', max(betriebstag)) AS key,
+               count(DISTINCT betriebstag) AS value, NULL AS n FROM prep
+        UNION ALL SELECT 'overall' AS section, 'pct_late' AS key,
                100.0 * count(*) FILTER (is_late_3min) / count(*) AS value, count(*) AS n FROM prep
         {" ".join(f"UNION ALL SELECT 'overall', '{k}', avg(delay_arr_sec), count(*) FROM prep WHERE {c}" for k, c in _OVERALL.items())}
         UNION ALL SELECT 'hour', cast(hour AS varchar), round_even(avg(delay_arr_sec), 0), count(*) FROM prep GROUP BY hour

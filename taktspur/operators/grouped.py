@@ -93,15 +93,16 @@ def class_shares(df: DataFrame, group: str, delay_class: str = "delay_class", k:
 
     All classes of a group count in the denominator, also those not listed.
     """
-    counts = (df.where(F.col(group).isNotNull() & F.col(delay_class).isNotNull())
-              .groupBy(group).pivot(delay_class, classes).agg(F.count(F.lit(1))))
-    totals = (df.where(F.col(group).isNotNull()).groupBy(group)
-              .agg(F.count("*").alias("n"), F.count(delay_class).alias("_known"))
-              .orderBy(F.desc("n"), group).limit(k))
-    shares = [F.try_divide(100.0 * F.coalesce(F.col(f"`{c}`"), F.lit(0)), F.col("_known")).alias(c)
-              for c in classes]
-    return (counts.join(F.broadcast(totals), group).select(group, "n", *shares)
-            .orderBy(F.desc("n"), group))
+    counts = (df.where(F.col(group).isNotNull()).groupBy(group, delay_class)
+              .agg(F.count("*").alias("c")))
+    known_class = F.sum(F.when(F.col(delay_class).isNotNull(), F.col("c")))
+
+    def share(name: str) -> Column:
+        of_class = F.sum(F.when(F.col(delay_class) == name, F.col("c")).otherwise(0))
+        return F.try_divide(100.0 * of_class, known_class).alias(name)
+
+    return (counts.groupBy(group).agg(F.sum("c").alias("n"), *[share(c) for c in classes])
+            .orderBy(F.desc("n"), group).limit(k))
 
 
 def selection_vs_all(df: DataFrame, chosen: Column, delay: str = "delay_arr_sec") -> DataFrame:

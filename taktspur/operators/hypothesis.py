@@ -12,7 +12,6 @@ from ..functions import dist
 from ..functions.delay import known
 from ..functions.effect import ALPHA, bonferroni_flags
 from ..session import materialized
-from .filters import top_groups
 from .joins import split_join
 from .ranks import average_rank, running_totals
 
@@ -101,12 +100,17 @@ def mann_whitney_test(df: DataFrame, flag: Column, value: str = "delay_arr_sec")
     return out.withColumn("p", dist.normal_p(F.greatest(F.col("z"), F.lit(0.0))))
 
 
-def group_moments(df: DataFrame, group: str, value: str = "delay_arr_sec") -> DataFrame:
-    """n, mean and variance per group without null group or value."""
-    kept = df.select(F.col(group), known(value).alias("x")).where(
-        F.col(group).isNotNull() & F.col("x").isNotNull())
-    return kept.groupBy(group).agg(F.count("*").alias("n"), F.avg("x").alias("mean"),
-                                   F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("var"))
+def group_moments(df: DataFrame, group: str, value: str = "delay_arr_sec",
+                  k: int | None = None) -> DataFrame:
+    """n, mean and variance of the known values per group; only the k most frequent groups
+    if k is given."""
+    x = known(value)
+    stats = df.where(F.col(group).isNotNull()).groupBy(group).agg(
+        F.count("*").alias("_rows"), F.count(x).alias("n"), F.avg(x).alias("mean"),
+        F.coalesce(F.var_samp(x), F.lit(0.0)).alias("var"))
+    if k is not None:
+        stats = stats.orderBy(F.desc("_rows"), group).limit(k)
+    return stats.where(F.col("n") > 0).drop("_rows")
 
 
 def _anova_of(stats: DataFrame) -> DataFrame:
@@ -130,8 +134,7 @@ def anova(df: DataFrame, group: str, value: str = "delay_arr_sec", more_than: in
 
 def anova_top(df: DataFrame, group: str, value: str = "delay_arr_sec", k: int = 5) -> DataFrame:
     """The same over the k most frequent groups."""
-    best = top_groups(df, group, k).select(group)
-    return _anova_of(group_moments(df, group, value).join(F.broadcast(best), group))
+    return _anova_of(group_moments(df, group, value, k))
 
 
 def with_f_test(anova_row: DataFrame) -> DataFrame:
@@ -144,8 +147,7 @@ def tukey_pairs(df: DataFrame, group: str, value: str = "delay_arr_sec", k: int
 
     Needs only n, mean and variance per group, so all events count and none is sampled.
     """
-    best = top_groups(df, group, k).select(group)
-    stats = group_moments(df, group, value).join(F.broadcast(best), group)
+    stats = group_moments(df, group, value, k)
     # One row with at most k entries, sorted by group name.
     row = stats.agg(
         F.array_sort(F.collect_list(F.struct(group, "n", "mean"))).alias("g"),

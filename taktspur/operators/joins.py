@@ -34,25 +34,22 @@ BROADCAST_ROWS = 500_000
 _NULL_SHARES = 1024
 
 
-def nearest_point(lat: Column | str, lon: Column | str,
+def nearest_point(lat: str, lon: str,
                   points: list[tuple[str, float, float]] = WEATHER_POINTS) -> Column:
     """struct(km, abbr) of the nearest point on a plane scaled at the points' mean latitude.
 
     The points are a fixed list, so this is one expression per station and no join.
     Equal distances go to the smaller abbreviation; a missing coordinate gives null.
     """
-    lat, lon = (F.col(c) if isinstance(c, str) else c for c in (lat, lon))
     shrink = math.cos(math.radians(sum(p[1] for p in points) / len(points)))
+    y, x = f"`{lat}`", f"`{lon}`"
     away = [
-        F.struct(
-            (F.sqrt((lat - p_lat) * (lat - p_lat)
-                    + (lon - p_lon) * (lon - p_lon) * (shrink * shrink)) * KM_PER_DEGREE).alias("km"),
-            F.lit(abbr).alias("abbr"),
-        )
+        f"named_struct('km', sqrt(({y} - {p_lat}D) * ({y} - {p_lat}D) + ({x} - {p_lon}D) * ({x} - {p_lon}D)"
+        f" * {shrink * shrink!r}D) * {KM_PER_DEGREE}D, 'abbr', '{abbr}')"
         for abbr, p_lat, p_lon in points
     ]
-    nearest = F.least(*away) if len(away) > 1 else away[0]
-    return F.when(lat.isNotNull() & lon.isNotNull(), nearest)
+    nearest = F.array_min(F.expr(f"array({', '.join(away)})"))
+    return F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), nearest)
 
 
 def with_nearest_point(stations: DataFrame, lat: str = "lat", lon: str = "lon",
@@ -126,5 +123,6 @@ def match_rate(df: DataFrame, column: str) -> DataFrame:
 def with_weather(events: DataFrame, hourly: DataFrame) -> DataFrame:
     """Measures of the hour at the weather point; typed nulls for measures not given."""
     joined = lookup(events, hourly, ["weather_abbr", "delay_ts_hour"])
-    absent = [m for m in WEATHER_NAMES.values() if m not in joined.columns]
+    present = set(joined.columns)
+    absent = [m for m in WEATHER_NAMES.values() if m not in present]
     return joined.withColumns({m: F.lit(None).cast("double") for m in absent})

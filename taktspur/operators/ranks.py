@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.delay import known
 
-RANGE_BITS = 8
+def range_bits(df: DataFrame) -> int:
+    """Two ranges per shuffle partition of the session, as a power of two from 2**8 to 2**14."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(14, max(8, (2 * partitions - 1).bit_length()))
 
 
 def value_counts_by(df: DataFrame, value: Column | str, by: list[str] | None = None) -> DataFrame:
@@ -24,13 +27,15 @@ def value_counts_by(df: DataFrame, value: Column | str, by: list[str] | None = N
     return kept.groupBy(*(by or []), "value").agg(F.count("*").alias("n"))
 
 
-def with_range(hist: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
+def with_range(hist: DataFrame, bits: int | None = None) -> DataFrame:
     """Adds ``range``, the number of cut points below the value, from 0 to 2**bits - 1."""
+    bits = bits or range_bits(hist)
     cuts = 2 ** bits
     # The condition is always true; with it this branch reads the very shuffle of
     # counts that the main branch reads instead of making its own.
+    places = ", ".join(f"{i / cuts!r}D" for i in range(1, cuts))
     points = hist.where("n > 0").agg(
-        F.percentile_approx("value", [i / cuts for i in range(1, cuts)], F.lit(20 * cuts)))
+        F.expr(f"percentile_approx(value, array({places}), {20 * cuts})"))
     steps = F.array(*[F.lit(2 ** i) for i in reversed(range(bits))])
     # Binary search: take each step forward as long as the cut point there is still below.
     position = F.reduce(steps, F.lit(0), lambda at, step: F.when(
@@ -38,7 +43,8 @@ def with_range(hist: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
     return hist.withColumn("_cuts", points.scalar()).withColumn("range", position).drop("_cuts")
 
 
-def running_totals(hist: DataFrame, by: list[str] | None = None, bits: int = RANGE_BITS) -> DataFrame:
+def running_totals(hist: DataFrame, by: list[str] | None = None,
+                   bits: int | None = None) -> DataFrame:
     """Adds ``upto`` (rows with this value or less) and ``total`` (rows) within each group."""
     by = by or []
     ranged = with_range(hist, bits)
@@ -76,7 +82,7 @@ def quantile_columns(probabilities: dict[str, float]) -> dict[str, Column]:
 
 
 def quantiles(df: DataFrame, value: Column | str, probabilities: dict[str, float],
-              by: list[str] | None = None, bits: int = RANGE_BITS) -> DataFrame:
+              by: list[str] | None = None, bits: int | None = None) -> DataFrame:
     """One row per group with exact interpolated quantiles, named as in ``probabilities``."""
     totals = running_totals(value_counts_by(df, value, by), by, bits)
     aggs = [c.alias(name) for name, c in quantile_columns(probabilities).items()]

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.delay import known
 from ..functions.text import contains_any, keywords, swiss_number
-from ..operators.grouped import group_means, top_by
+from ..operators.grouped import day_range, group_means, top_by
+from ..session import materialized
 
-SECTIONS = ["overall", "weather", "hour", "type", "worst_station", "asked_station", "worst_day"]
+SECTIONS = ["period", "overall", "weather", "hour", "type", "worst_station", "asked_station", "worst_day"]
 
 
 def keyword_stations(df: DataFrame, question: str, station: str = "haltestellen_name",
@@ -47,31 +48,55 @@ def _facts(df: DataFrame, section: str, key: Column, value: Column, n: Column) -
                      value.cast("double").alias("value"), n.cast("long").alias("n"))
 
 
-def _overall(df: DataFrame, delay: str) -> DataFrame:
+def _cells(df: DataFrame, delay: str, kind: str, station: str, rain: str | None) -> DataFrame:
+    """Sums per station, type, hour, flags and weather: all that the sheet needs.
+
+    One pass over the events. The number of cells depends on stations, types and hours, not
+    on the number of events, so the facts are then read off a small stored table.
+    """
+    # 1 in wet hours, 0 in dry ones, null without rain data.
+    wet = F.signum(known(rain)) if rain else F.lit(None).cast("double")
     x = known(delay)
-    rush, weekend = F.col("is_rush_hour"), F.col("is_weekend")
-    facts = {
-        "mean_delay": x, "workday": F.when(~weekend, x), "weekend": F.when(weekend, x),
-        "rush_hour": F.when(rush, x), "off_peak": F.when(~rush, x),
-    }
-    row = df.agg(
-        F.struct((100.0 * F.count_if("is_late_3min") / F.count("*")).alias("value"),
-                 F.count("*").alias("n")).alias("pct_late"),
-        *[F.struct(F.avg(c).alias("value"), F.count(c).alias("n")).alias(name)
-          for name, c in facts.items()])
-    parts = [_facts(row, "overall", F.lit(name), F.col(f"{name}.value"), F.col(f"{name}.n"))
-             for name in ("pct_late", *facts)]
-    return reduce(DataFrame.unionAll, parts)
+    return materialized(df.groupBy(
+        F.col(station).alias("station"), F.col(kind).alias("kind"), "hour", "is_weekend",
+        "is_rush_hour", wet.alias("wet"),
+    ).agg(F.count("*").alias("rows"), F.count(x).alias("n"), F.sum(x).alias("total"),
+          F.count_if("is_late_3min").alias("late")))
 
 
-def _weather(df: DataFrame, delay: str, rain: str, more_than: int) -> DataFrame:
-    x, wet = known(delay), known(rain)
-    row = df.agg(
-        F.count(wet).alias("n_weather"),
-        F.array(
-            F.struct(F.lit("rain").alias("key"), F.avg(F.when(wet > 0, x)).alias("value")),
-            F.struct(F.lit("dry").alias("key"), F.avg(F.when(wet == 0, x)).alias("value")),
-        ).alias("means")).where(F.col("n_weather") > more_than)
+def _means(cells: DataFrame, key: str, min_n: int = 0) -> DataFrame:
+    return (cells.where(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean_delay"))
+            .where(F.col("n") >= min_n))
+
+
+def _overall(cells: DataFrame) -> DataFrame:
+    rush, weekend = F.col("is_rush_hour"), F.col("is_weekend")
+    parts = {"mean_delay": F.lit(True), "workday": ~weekend, "weekend": weekend,
+             "rush_hour": rush, "off_peak": ~rush}
+
+    def mean(name: str, part: Column) -> Column:
+        n = F.sum(F.when(part, F.col("n")).otherwise(0))
+        value = F.try_divide(F.sum(F.when(part, F.col("total"))), n)
+        return F.struct(F.lit(name).alias("key"), value.alias("value"), n.alias("n"))
+
+    late = F.struct(F.lit("pct_late").alias("key"),
+                    F.try_divide(100.0 * F.sum("late"), F.sum("rows")).alias("value"),
+                    F.sum("rows").alias("n"))
+    row = cells.agg(F.array(late, *[mean(name, part) for name, part in parts.items()]).alias("all"))
+    return _facts(row.select(F.explode("all").alias("f")), "overall", F.col("f.key"),
+                  F.col("f.value"), F.col("f.n"))
+
+
+def _weather(cells: DataFrame, more_than: int) -> DataFrame:
+    def mean(name: str, wet: Column) -> Column:
+        value = F.try_divide(F.sum(F.when(wet, F.col("total"))), F.sum(F.when(wet, F.col("n"))))
+        return F.struct(F.lit(name).alias("key"), value.alias("value"))
+
+    row = cells.where(F.col("wet").isNotNull()).agg(
+        F.sum("rows").alias("n_weather"),
+        F.array(mean("rain", F.col("wet") == 1), mean("dry", F.col("wet") == 0)).alias("means"),
+    ).where(F.col("n_weather") > more_than)
     return _facts(row.select("n_weather", F.explode("means").alias("m")), "weather",
                   F.col("m.key"), F.col("m.value"), F.col("n_weather"))
 
@@ -79,25 +104,32 @@ def _weather(df: DataFrame, delay: str, rain: str, more_than: int) -> DataFrame:
 def fact_rows(df: DataFrame, question: str, reasons: DataFrame | None = None,
               delay: str = "delay_arr_sec", kind: str = "verkehrsmittel_text",
               station: str = "haltestellen_name", rain: str = "niederschlag_mm",
-              min_type: int = 100, min_worst: int = 500, min_asked: int = 30,
+              day: str = "betriebstag", min_type: int = 100, min_worst: int = 500, min_asked: int = 30,
               min_weather: int = 1000) -> DataFrame:
     """All facts in long form: (section, key, value, n)."""
+    has_rain = rain in df.columns
+    cells = _cells(df, delay, kind, station, rain if has_rain else None)
     value, n = F.col("mean_delay"), F.col("n")
-    hours = group_means(df, "hour", delay)
+    stations = _means(cells, "station")
+    worst = top_by(stations.where(n >= min_worst), "mean_delay", "station", 5)
+    asked = top_by(stations.where((n >= min_asked) & contains_any("station", keywords(F.lit(question)))),
+                   "n", "station", 8)
+    days = day_range(df, day)
+    span = F.concat_ws(" bis ", F.col("start").cast("string"), F.col("end").cast("string"))
     parts = [
-        _overall(df, delay),
-        _facts(hours, "hour", F.col("hour"), F.bround("mean_delay", 0), n),
-        _facts(by_type(df, kind, delay, min_type), "type", F.col(kind), value, n),
-        _facts(worst_stations(df, station, delay, min_worst), "worst_station", F.col(station), value, n),
-        _facts(keyword_stations(df, question, station, delay, min_asked), "asked_station",
-               F.col(station), value, n),
+        _facts(days, "period", span, F.col("n_days"), F.lit(None)),
+        _overall(cells),
+        _facts(_means(cells, "hour"), "hour", F.col("hour"), F.bround("mean_delay", 0), n),
+        _facts(_means(cells, "kind", min_type), "type", F.col("kind"), value, n),
+        _facts(worst, "worst_station", F.col("station"), value, n),
+        _facts(asked, "asked_station", F.col("station"), value, n),
     ]
-    if rain in df.columns:
-        parts.append(_weather(df, delay, rain, min_weather))
+    if has_rain:
+        parts.append(_weather(cells, min_weather))
     if reasons is not None:
-        days = top_by(reasons, "pct_late_3min", "datum", 5)
+        worst_days = top_by(reasons, "pct_late_3min", "datum", 5)
         label = F.concat_ws(" ", F.col("datum").cast("string"), "wochentag", "llm_ursache")
-        parts.append(_facts(days, "worst_day", label, F.col("pct_late_3min"), F.lit(None)))
+        parts.append(_facts(worst_days, "worst_day", label, F.col("pct_late_3min"), F.lit(None)))
     return reduce(DataFrame.unionAll, parts)
 
 

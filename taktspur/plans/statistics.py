@@ -20,7 +20,8 @@ def result_rows(prepared: DataFrame, delay: str = "delay_arr_sec",
     """(section, body): each result row as JSON; several rows where a section is a list."""
     valid = prepared.where(F.col(delay).isNotNull())
     weekend = F.col("is_weekend")
-    weather = [c for c in WEATHER_NAMES.values() if c in valid.columns]
+    present = set(valid.columns)
+    weather = [c for c in WEATHER_NAMES.values() if c in present]
     fit = ols(valid, delay, ["niederschlag_mm", "temperatur_c"], ["is_rush_hour", "is_weekend", kind],
               also_known=["hour"])
     sections = {

@@ -19,6 +19,10 @@ def build_session(app: str = "taktspur", master: str | None = None, **conf: str)
         # Split a hot join key even where that costs one more shuffle.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # Checkpoint files go when the frame that reads them does.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # The call-site capture doubles the time it takes to build a wide plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

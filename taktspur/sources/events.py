@@ -33,7 +33,8 @@ def kept_rows(product: str, operator: str, product_col: str = "PRODUKT_ID",
 
 
 def with_parsed_times(df: DataFrame, columns: list[str] = TIME_COLUMNS) -> DataFrame:
-    return df.withColumns({c: parse_time(c) for c in columns if c in df.columns})
+    present = set(df.columns)
+    return df.withColumns({c: parse_time(c) for c in columns if c in present})
 
 
 def with_delays(df: DataFrame, pairs: dict[str, tuple[str, str]] | None = None) -> DataFrame:
@@ -62,15 +63,13 @@ def ingest_summary(raw: DataFrame, keep: Column) -> DataFrame:
     )
 
 
-def write_days(events: DataFrame, path: str, day: str = "betriebstag",
-               files_per_day: int = 1) -> None:
+def write_days(events: DataFrame, path: str, day: str = "betriebstag") -> None:
     """Snappy Parquet, one folder per operating day; only the days present are replaced.
 
-    Rows are spread over days x files_per_day tasks by a hash of the row, so neither a
-    busy day nor the number of days decides how much one task writes.
+    Rows are brought together by day, but in tasks of about equal size: the adaptive plan
+    splits a day that holds far more rows than others and joins small days.
     """
-    share = F.pmod(F.xxhash64(*events.columns), F.lit(files_per_day))
-    (events.repartition(F.col(day), share)
+    (events.hint("rebalance", day)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(day).parquet(path, compression="snappy"))
 

@@ -14,13 +14,15 @@ def lower_names(df: DataFrame) -> DataFrame:
 
 def project_optional(df: DataFrame, wanted: list[str]) -> DataFrame:
     """The wanted columns that exist, in the wanted order."""
-    return df.select(*[name for name in wanted if name in df.columns])
+    present = set(df.columns)
+    return df.select(*[name for name in wanted if name in present])
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """All columns of the schema in its types; absent ones become typed nulls."""
+    present = set(df.columns)
     return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ])
 

@@ -44,7 +44,8 @@ def weather_table(df: DataFrame) -> DataFrame:
 def hourly_measures(weather: DataFrame, shift_hours: int = 0) -> DataFrame:
     """Weather by (weather_abbr, delay_ts_hour), measures named as in the prepared table."""
     ts = F.col("reference_timestamp") + F.expr(f"interval {int(shift_hours)} hours")
-    measures = {src: out for src, out in WEATHER_NAMES.items() if src in weather.columns}
+    present = set(weather.columns)
+    measures = {src: out for src, out in WEATHER_NAMES.items() if src in present}
     return weather.where(F.col("reference_timestamp").isNotNull()).select(
         F.col("station_abbr").alias("weather_abbr"),
         hour_floor(ts).alias("delay_ts_hour"),

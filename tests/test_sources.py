@@ -47,7 +47,7 @@ def test_days_are_replaced_one_by_one(spark, tmp_path):
     path = str(tmp_path / "table")
     df = spark.createDataFrame([(DAY, 1.0), (DAY + dt.timedelta(1), 2.0)], "betriebstag date, v double")
     ev.write_days(df, path)
-    ev.write_days(spark.createDataFrame([(DAY, 5.0), (DAY, 6.0)], "betriebstag date, v double"), path, files_per_day=3)
+    ev.write_days(spark.createDataFrame([(DAY, 5.0), (DAY, 6.0)], "betriebstag date, v double"), path)
     got = spark.read.parquet(path).groupBy("betriebstag").agg(F.sum("v").alias("s")).orderBy("betriebstag").collect()
     assert [r.s for r in got] == [11.0, 2.0]
 
