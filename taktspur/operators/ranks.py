@@ -40,53 +40,73 @@ def with_range(hist: DataFrame, bits: int | None = None) -> DataFrame:
     # Binary search: take each step forward as long as the cut point there is still below.
     position = F.reduce(steps, F.lit(0), lambda at, step: F.when(
         F.get("_cuts", at + step - 1) < F.col("value"), at + step).otherwise(at))
-    return hist.withColumn("_cuts", points.scalar()).withColumn("range", position).drop("_cuts")
+    # Never null, and Spark should know it: else a join on the range makes it test the range
+    # of every single event before the events are counted.
+    never_null = F.coalesce(position, F.lit(0))
+    return hist.withColumn("_cuts", points.scalar()).withColumn("range", never_null).drop("_cuts")
 
 
-def running_totals(hist: DataFrame, by: list[str] | None = None,
-                   bits: int | None = None) -> DataFrame:
-    """Adds ``upto`` (rows with this value or less) and ``total`` (rows) within each group."""
-    by = by or []
-    ranged = with_range(hist, bits)
-    per_range = ranged.groupBy(*by, "range").agg(F.sum("n").alias("_in_range"))
-    # At most 2**bits rows per group.
+def _range_spans(ranged: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., range, before, inside, total): rows below, in and over all ranges of a group.
+
+    At most 2**bits rows per group.
+    """
+    sums = ranged.groupBy(*by, "range").agg(F.sum("n").alias("inside"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    per_range = per_range.select(
-        *by, "range",
-        (F.sum("_in_range").over(group.orderBy("range")) - F.col("_in_range")).alias("_before"),
-        F.sum("_in_range").over(group).alias("total"),
+    return sums.select(
+        *by, "range", "inside",
+        (F.sum("inside").over(group.orderBy("range")) - F.col("inside")).alias("before"),
+        F.sum("inside").over(group).alias("total"),
     )
-    inside = Window.partitionBy(*by, "range").orderBy("value")
-    # A left join, though every row matches: an inner one would make Spark test the
-    # range of every single event before it is counted.
-    return (ranged.join(per_range, [*by, "range"], "left")
-            .withColumn("upto", F.col("_before") + F.sum("n").over(inside))
-            .drop("_before", "range"))
 
 
-def quantile_columns(probabilities: dict[str, float]) -> dict[str, Column]:
-    """Aggregates over running totals: exact quantiles with linear interpolation."""
-    out = {}
-    for name, p in probabilities.items():
-        place = (F.col("total") - 1) * F.lit(float(p))
-        low = F.floor(place)
-        high = F.least(low + 1, F.col("total") - 1)
-        first = F.col("upto") - F.col("n")
+def _with_upto(rows: DataFrame, by: list[str]) -> DataFrame:
+    inside = Window.partitionBy(*by, "range").orderBy("value")
+    return rows.withColumn("upto", F.col("before") + F.sum("n").over(inside)).drop(
+        "before", "inside", "range")
 
-        def at(k: Column) -> Column:
-            return F.max(F.when((first <= k) & (k < F.col("upto")), F.col("value")))
 
-        part = F.max(place - low)
-        out[name] = at(low) + (at(high) - at(low)) * part
-    return out
+def running_totals(hist: DataFrame, by: list[str] | None = None,
+                   bits: int | None = None) -> DataFrame:
+    """Adds ``upto`` (rows with this value or less) and ``total`` (rows) within each group."""
+    by = by or []
+    ranged = with_range(hist, bits)
+    return _with_upto(ranged.join(_range_spans(ranged, by), [*by, "range"]), by)
 
 
 def quantiles(df: DataFrame, value: Column | str, probabilities: dict[str, float],
               by: list[str] | None = None, bits: int | None = None) -> DataFrame:
-    """One row per group with exact interpolated quantiles, named as in ``probabilities``."""
-    totals = running_totals(value_counts_by(df, value, by), by, bits)
-    aggs = [c.alias(name) for name, c in quantile_columns(probabilities).items()]
-    return totals.groupBy(*(by or [])).agg(*aggs)
+    """One row per group with exact interpolated quantiles, named as in ``probabilities``.
+
+    Only the ranges that hold a wanted place are sorted.
+    """
+    by = by or []
+    ranged = with_range(value_counts_by(df, value, by), bits)
+    total = F.col("total")
+    # Zero-based places in the sorted rows on both sides of each quantile.
+    place = {name: (total - 1) * F.lit(float(p)) for name, p in probabilities.items()}
+    low = {name: F.floor(at) for name, at in place.items()}
+    high = {name: F.least(at + 1, total - 1) for name, at in low.items()}
+
+    spans = _range_spans(ranged, by)
+    wanted = F.lit(False)
+    for k in [*low.values(), *high.values()]:
+        wanted = wanted | ((F.col("before") <= k) & (k < F.col("before") + F.col("inside")))
+    needed = spans.where(wanted)
+    if not by:
+        # At most two ranges per quantile.
+        needed = F.broadcast(needed)
+    rows = _with_upto(ranged.join(needed, [*by, "range"]), by)
+
+    def value_at(k: Column) -> Column:
+        here = (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
+        return F.max(F.when(here, F.col("value")))
+
+    return rows.groupBy(*by).agg(*[
+        (value_at(low[name]) + (value_at(high[name]) - value_at(low[name]))
+         * F.max(place[name] - low[name])).alias(name)
+        for name in probabilities
+    ])
 
 
 def average_rank() -> Column:

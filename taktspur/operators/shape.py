@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.delay import LATE_AFTER_SEC, known
-from .ranks import quantile_columns, quantiles, running_totals, value_counts_by
+from .ranks import quantiles, value_counts_by
 
 # Quantiles of the descriptive table.
 DESCRIBE_AT = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95,
@@ -66,16 +66,15 @@ def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     1.5 interquartile ranges of the box."""
     groups = [by] if by else []
     hist = value_counts_by(df, value, groups)
-    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    box = running_totals(hist, groups).groupBy(*groups).agg(F.struct(
-        F.max("total").alias("rows"),
-        *[c.alias(name) for name, c in quantile_columns(quartiles).items()]).alias("box"))
+    quartiles = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, groups)
+    box = quartiles.select(*groups, F.struct("q1", "median", "q3").alias("box"))
     boxed = hist.join(box, by) if by else hist.withColumn("box", box.scalar())
     q1, q3, x = F.col("box.q1"), F.col("box.q3"), F.col("value")
     reach = 1.5 * (q3 - q1)
     ends = boxed.groupBy(*groups, "box").agg(
+        F.sum("n").alias("rows"),
         F.min(F.when(x >= q1 - reach, x)).alias("low"), F.max(F.when(x <= q3 + reach, x)).alias("high"))
     return ends.select(
-        *groups, F.col("box.rows").alias("n"), F.least("low", q1).alias("whisker_low"),
+        *groups, F.col("rows").alias("n"), F.least("low", q1).alias("whisker_low"),
         q1.alias("q1"), F.col("box.median").alias("median"), q3.alias("q3"),
         F.greatest("high", q3).alias("whisker_high"))
