@@ -263,16 +263,17 @@ def extremes(spark, sf_dir):
     return rounded(lowest.select("betriebstag", "fahrt_bezeichner", "delay_arr_sec"))
 
 
-@query("sample_per_group", """
+_HASH = "substr(md5(concat('42-', l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)), 1, 15)"
+
+
+@query("sample_per_group", f"""
     SELECT l_returnflag, l_orderkey, l_linenumber FROM (
-        SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY
-                  md5(concat('42-', l_orderkey, '-', l_linenumber, '-', l_partkey)), l_suppkey) AS rn FROM lineitem)
+        SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {_HASH}) AS rn FROM lineitem)
     WHERE rn <= 1000""")
 def sample_per_group(spark, sf_dir):
     """1,000 line items per return flag, in the order of a hash both engines have."""
-    key = F.struct(F.md5(F.concat(F.lit("42-"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))),
-                   "l_suppkey")
-    picked = gr.sample_per_group(table(spark, sf_dir, "lineitem"), "l_returnflag", 1000, key)
+    order = F.conv(F.expr(_HASH), 16, 10).cast("bigint")
+    picked = gr.sample_per_group(table(spark, sf_dir, "lineitem"), "l_returnflag", 1000, order)
     return rounded(picked.select("l_returnflag", "l_orderkey", "l_linenumber"))
 
 

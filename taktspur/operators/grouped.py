@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.delay import DELAY_CLASSES, LATE_AFTER_SEC, known, late_flag
 from ..functions.time import WEEKDAYS
+from ..session import materialized
+from .joins import lookup
 
 
 def pct(condition: Column) -> Column:
@@ -173,12 +175,19 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def sample_per_group(df: DataFrame, group: str, n: int, order: Column) -> DataFrame:
     """At most n rows per group, without replacement: those first in a pseudo-random order.
 
-    ``order`` is a hash of the row key and a seed, so that the sample is repeatable.
-    Spark cuts each task's rows of a group to n before it moves them.
+    ``order`` is a 64-bit hash of the row key and a seed, so that the sample is repeatable. A
+    first pass counts rows per group and leading bits of the hash, which tells up to which
+    bits the sample reaches; only rows up to there, little more than n per group, are ranked.
     """
+    hashed = df.where(F.col(group).isNotNull()).withColumn("_order", order)
+    lead = F.shiftright("_order", 48)
+    below = F.sum("c").over(Window.partitionBy(group).orderBy("_lead")) - F.col("c")
+    edges = (hashed.groupBy(group, lead.alias("_lead")).agg(F.count("*").alias("c"))
+             .withColumn("_below", below).where(F.col("_below") < n)
+             .groupBy(group).agg(F.max("_lead").alias("_edge")))
+    near = lookup(hashed, materialized(edges), [group]).where(lead <= F.col("_edge"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_order"))
-    return (df.withColumn("_order", order).withColumn("_rank", rank)
-            .where(F.col("_rank") <= n).drop("_order", "_rank"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_order", "_edge", "_rank")
 
 
 def sample_rows(df: DataFrame, n: int, order: Column) -> DataFrame:

@@ -179,6 +179,8 @@ def test_samples_are_repeatable_and_bounded(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * 90 + ["b"] * 10, "i": range(100)}))
     pick = lambda seed: {r.i for r in gr.sample_per_group(df.repartition(7), "g", 20, gr.seeded(seed, "i")).collect()}
     assert pick(42) == pick(42) != pick(43) and len(pick(42)) == 30
+    hashes = df.withColumn("h", gr.seeded(42, "i")).toPandas().sort_values("h")
+    assert pick(42) == set(hashes.groupby("g").head(20).i)
     assert gr.sample_rows(df, 5, gr.seeded(1, "i")).count() == 5
 
 
