@@ -121,7 +121,8 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         abbr.alias("station_abbr"), hour_floor("ts").alias("reference_timestamp")
     ).agg(
         F.avg(of("view")).alias("tre200h0"),
-        F.coalesce(F.sum(of("click")), F.lit(0.0)).alias("rre150h0"),
+        # Summed as decimals, so that the order of summing cannot show.
+        F.coalesce(F.sum(of("click").cast("decimal(18,2)")).cast("double"), F.lit(0.0)).alias("rre150h0"),
         F.avg(of("purchase")).alias("fkl010h0"),
         F.avg(of("signup")).alias("ure200h0"),
         F.count(of("error")).cast("double").alias("sre000h0"),
@@ -134,7 +135,7 @@ WEATHER = f"""weather AS (
     SELECT [{_ABBRS}][cast(user_id % 15 AS int) + 1] AS station_abbr,
            date_trunc('hour', ts) AS reference_timestamp,
            avg(value) FILTER (event_type = 'view') AS tre200h0,
-           coalesce(sum(value) FILTER (event_type = 'click'), 0.0) AS rre150h0,
+           coalesce(cast(sum(cast(value AS decimal(18, 2))) FILTER (event_type = 'click') AS double), 0.0) AS rre150h0,
            avg(value) FILTER (event_type = 'purchase') AS fkl010h0,
            avg(value) FILTER (event_type = 'signup') AS ure200h0,
            cast(count(*) FILTER (event_type = 'error') AS double) AS sre000h0

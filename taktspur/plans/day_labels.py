@@ -23,6 +23,16 @@ TAXONOMY = [
 ]
 PRICE_IN, PRICE_OUT = 3.0, 15.0
 
+# Wording of the request; causes, day, weekday, context as JSON.
+REQUEST = ("Taxonomie der moeglichen Ursachen:\n%s\n\n"
+           "Kontext-Daten fuer den Tag %s (%s):\n%s\n\n"
+           "Welche Hypothese ist am plausibelsten?")
+
+# What a client should tell its model about the reply.
+REPLY_FORMAT = ('Genau ein JSON-Objekt mit den Feldern "primaere_ursache" (ein Eintrag der Taxonomie), '
+                '"begruendung" (zwei bis drei Saetze, nur aus dem Kontext) und "konfidenz" '
+                '(hoch, mittel oder niedrig).')
+
 # A client takes a prompt and gives the reply with its token counts.
 Client = Callable[[str], tuple[str, int, int]]
 
@@ -80,12 +90,10 @@ def prompt_rows(context: DataFrame, day: str = "betriebstag") -> DataFrame:
     """One request text per day: the causes, the day, its context as JSON."""
     body = F.struct(F.col(day).cast("string").alias("date"), "weekday", "n_halte", "mean_delay",
                     "pct_late_3min", "top_stations", "weather", "by_daytime")
-    text = F.concat(
-        F.lit("Taxonomie der moeglichen Ursachen:\n" + "\n".join(f"- {t}" for t in TAXONOMY)),
-        F.lit("\n\nKontext-Daten fuer den Tag "), F.col(day).cast("string"),
-        F.lit(" ("), F.coalesce("weekday", F.lit("?")), F.lit("):\n"),
-        F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"}),
-        F.lit("\n\nWelche Hypothese ist am plausibelsten?"))
+    text = F.format_string(
+        REQUEST, F.lit("\n".join(f"- {t}" for t in TAXONOMY)), F.col(day).cast("string"),
+        F.coalesce("weekday", F.lit("?")),
+        F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"}))
     return context.withColumn("prompt", text)
 
 

@@ -43,7 +43,17 @@ def test_quantiles_per_group(frame):
             assert got[g][name] == pytest.approx(np.quantile(part.v, p), abs=1e-9)
 
 
-@pytest.mark.parametrize("bits", [1, 3, 10])
+def test_ranges_follow_the_session(spark):
+    df, before = spark.range(1), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, bits in ((8, 8), (200, 9), (10_000, 14), (100_000, 14)):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            assert ranks.range_bits(df) == bits
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("bits", [1, 3, 10, 14])
 def test_running_totals_do_not_depend_on_the_number_of_ranges(frame, bits):
     pdf, df = frame
     got = ranks.running_totals(ranks.value_counts_by(df, "v"), bits=bits).toPandas().sort_values("value")
