@@ -74,7 +74,8 @@ def welch_daily_test(df: DataFrame, flag: Column, day: str = "betriebstag",
 
 def mann_whitney(df: DataFrame, flag: Column, value: str = "delay_arr_sec") -> DataFrame:
     """U of the rows without the flag, tie- and continuity-corrected z; without p."""
-    kept = df.select(known(value).alias("value"), flag.alias("flag")).where(F.col("value").isNotNull())
+    kept = df.select(known(value).alias("value"), flag.alias("flag")).where(
+        F.col("value").isNotNull() & F.col("flag").isNotNull())
     hist = kept.groupBy("value").agg(
         F.count("*").alias("n"), F.count_if(~F.col("flag")).alias("n_one"))
     ranked = running_totals(hist)

@@ -91,24 +91,24 @@ def _fit(cells: pd.DataFrame, numeric: list[str], factors: list[str]) -> pd.Data
     beta = inverse @ xty
     df_model, df_resid = rank - 1, n - rank
     ss_resid = max(yty - float(beta @ xty), 0.0)
-    # The response is centred, but with dummies the fitted mean is still exact.
     r2 = 1.0 - ss_resid / yty if yty > 0 else math.nan
     # Back from centred numerics to the intercept at zero.
     back = np.eye(len(terms))
     if numeric:
         back[0, len(terms) - len(numeric):] = -centre[1:]
-    cov = back @ (inverse * (ss_resid / df_resid)) @ back.T
+    spare = df_resid > 0
+    cov = back @ (inverse * (ss_resid / df_resid if spare else math.nan)) @ back.T
     coef = back @ beta
     coef[0] += centre[0]
     se = np.sqrt(np.clip(np.diag(cov), 0.0, None))
-    t = np.divide(coef, se, out=np.full_like(coef, np.inf), where=se > 0)
-    limit = dist.t_critical(0.95, df_resid)
-    f = (r2 / df_model) / ((1 - r2) / df_resid) if df_model and r2 < 1 else math.nan
+    t = np.divide(coef, se, out=np.full_like(coef, np.inf if spare else np.nan), where=se > 0)
+    limit = dist.t_critical(0.95, df_resid) if spare else math.nan
+    f = (r2 / df_model) / ((1 - r2) / df_resid) if spare and df_model and r2 < 1 else math.nan
     return pd.DataFrame({
         "term": terms, "coefficient": coef, "std_error": se, "t": t,
-        "p": [math.exp(dist.log_t_two_sided(abs(v), df_resid)) for v in t],
+        "p": [math.nan if math.isnan(v) else math.exp(dist.log_t_two_sided(abs(v), df_resid)) for v in t],
         "ci95_low": coef - limit * se, "ci95_high": coef + limit * se,
-        "n": n, "r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / df_resid,
+        "n": n, "r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / df_resid if spare else math.nan,
         "f": f, "df_model": df_model, "df_resid": df_resid,
         "f_p": math.nan if math.isnan(f) else math.exp(dist.log_f_upper(f, df_model, df_resid)),
     })

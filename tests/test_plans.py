@@ -190,6 +190,23 @@ def test_empty_table_gives_null_figures(spark):
     assert (row.n_rows, row.mean_delay, row.pct_late, row.n_days) == (0, None, None, 0)
 
 
+def test_empty_tables_go_through_every_operator(spark, prepared):
+    from taktspur.operators import hypothesis as h, shape
+    from taktspur.plans.statistics import result_rows
+    none = prepared.where("false")
+    assert shape.describe(none).first().n == 0 and shape.describe(none, by="weekday").isEmpty()
+    assert shape.histogram(none, "delay_arr_sec").agg(F.sum("n")).first()[0] == 0
+    assert shape.box_stats(none, "delay_arr_sec", "weekday").isEmpty()
+    assert h.spearman(none, ["temperatur_c"]).isEmpty() and h.tukey_pairs(none, "weekday").isEmpty()
+    assert gr.class_shares(none, "verkehrsmittel_text").isEmpty() and gr.time_of_day_grid(none).isEmpty()
+    assert gr.sample_per_group(none, "weekday", 5, gr.seeded(1, "bpuic")).isEmpty()
+    assert dlb.day_context(none).isEmpty() and dlb.classify_days(dlb.worst_day_context(none)).isEmpty()
+    assert station_map.map_scale(station_map.station_table(none, stations(spark))).isEmpty()
+    assert gr.day_range(none).first().n_days == 0
+    assert fact_sheet.fact_rows(none, "Halt").where("section = 'hour'").isEmpty()
+    assert result_rows(none).where("section = 'test_ols'").isEmpty()
+
+
 def test_ties_go_to_the_smaller_key(spark):
     df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "k string, v double")
     assert [r.k for r in gr.top_by(df, "v", "k", 2).collect()] == ["c", "a"]

@@ -177,6 +177,15 @@ def test_ols_is_stable_far_from_zero(spark):
     assert fit["a"].coefficient == pytest.approx(beta[1], rel=1e-6) and fit["a"].std_error == pytest.approx(se[1], rel=1e-6)
 
 
+def test_ols_with_as_many_terms_as_rows_or_a_constant(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0)], "a double, y double, c double")
+    fit = {r.term: r for r in rg.ols(df, "y", ["a"]).collect()}
+    assert fit["a"].coefficient == pytest.approx(2) and fit["a"].p is None and fit["a"].df_resid == 0
+    more = df.unionAll(df).unionAll(spark.createDataFrame([(3.0, 7.0, 5.0)], df.schema))
+    fit = {r.term: r for r in rg.ols(more, "y", ["a", "c"]).collect()}
+    assert fit["a"].df_model == 1 and fit["a"].coefficient > 2
+
+
 def test_one_flag_is_the_pooled_t_test(data):
     pdf, df = data
     a, b = (pdf.delay_arr_sec[pdf.is_weekend == w] for w in (False, True))
