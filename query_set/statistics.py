@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taktspur.operators import grouped as gr, hypothesis as h, regression as rg
+from taktspur.functions.effect import stars
+from taktspur.operators import hypothesis as h, regression as rg
 from taktspur.plans import statistics as st
 
 from .registry import query, r, rounded
+from .sqlmath import chi2_p, f_p, least_squares, normal_p, t_95, t_p, term_rows
 from .tables import feature_events, prepared_events, shipments, sql, sql_more, stored_prepared, table
 
 _WELCH = r(
@@ -35,9 +37,29 @@ def welch_large(spark, sf_dir):
     return rounded(h.welch_stats(shipments(spark, sf_dir), F.weekday("betriebstag") >= 5))
 
 
-@query("welch_test")
+def _tested(ctes, digits):
+    """The figures of a Welch test with p, interval and flags."""
+    return ctes + f""",
+    w AS (SELECT *, mean1 - mean2 AS diff, sqrt(var1 / n1 + var2 / n2) AS se,
+                 pow(var1 / n1 + var2 / n2, 2) / (pow(var1 / n1, 2) / (n1 - 1) + pow(var2 / n2, 2) / (n2 - 1)) AS df
+          FROM s),
+    p AS (SELECT *, diff / se AS t, {t_p("diff / se", "df")} AS p, {t_95("df")} AS t95 FROM w)""", f"""
+    SELECT n1, n2, {r("t", "p", "diff - t95 * se AS ci95_low", "diff + t95 * se AS ci95_high", digits=digits)},
+           p < 0.05 AS significant_at_005, p < 0.0125 AS significant_at_bonferroni FROM p"""
+
+
+_TESTED = ["n1", "n2", "t", "p", "ci95_low", "ci95_high", "significant_at_005", "significant_at_bonferroni"]
+
+
+@query("welch_test", sql_more("feat", *_tested(_welch_sums("feat", "delay_arr_sec", "is_weekend"), 6)))
 def welch_test(spark, sf_dir):
-    return rounded(h.welch_test(feature_events(spark, sf_dir), F.col("is_weekend")))
+    return rounded(h.welch_test(feature_events(spark, sf_dir), F.col("is_weekend")).select(*_TESTED))
+
+
+@query("welch_test_large", sql_more("ship", *_tested(
+    _welch_sums("ship", "delay_arr_sec", "(isodow(betriebstag) >= 6)"), 6)))
+def welch_test_large(spark, sf_dir):
+    return rounded(h.welch_test(shipments(spark, sf_dir), F.weekday("betriebstag") >= 5).select(*_TESTED))
 
 
 _DAYS = """d AS (SELECT betriebstag, is_weekend, avg(delay_arr_sec) AS m FROM feat GROUP BY 1, 2),
@@ -50,9 +72,11 @@ def welch_daily(spark, sf_dir):
     return rounded(h.welch_daily(feature_events(spark, sf_dir), F.col("is_weekend")))
 
 
-@query("welch_daily_test")
+@query("welch_daily_test", sql_more("feat", *_tested(_DAYS + _welch_sums("d", "m", "is_weekend"), 2)))
 def welch_daily_test(spark, sf_dir):
-    return rounded(h.welch_daily_test(feature_events(spark, sf_dir), F.col("is_weekend")))
+    """Rounded to two places, as the SQL side only approximates the limit for few days."""
+    out = h.welch_daily_test(feature_events(spark, sf_dir), F.col("is_weekend"))
+    return rounded(out.select(*_TESTED), 2)
 
 
 def _mann_whitney(source, value, flag):
@@ -83,9 +107,17 @@ def mann_whitney_large(spark, sf_dir):
     return rounded(out.withColumn("u", F.round("u", 1)))
 
 
-@query("mann_whitney_test")
+_MWP = f""",
+    z AS (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5)
+                    / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM u)"""
+
+
+@query("mann_whitney_test", sql_more(
+    "feat", _mann_whitney("feat", "delay_arr_sec", "is_weekend") + _MWP,
+    f"SELECT cast(n1 AS bigint) AS n1, cast(n2 AS bigint) AS n2, {r('z', normal_p('z') + ' AS p')} FROM z"))
 def mann_whitney_test(spark, sf_dir):
-    return rounded(h.mann_whitney_test(feature_events(spark, sf_dir), F.col("is_weekend")))
+    out = h.mann_whitney_test(feature_events(spark, sf_dir), F.col("is_weekend"))
+    return rounded(out.select("n1", "n2", "z", "p"))
 
 
 def _anova(source, where):
@@ -119,9 +151,17 @@ def anova_large(spark, sf_dir):
     return rounded(out, 9).withColumn("f", F.round("f", 6))
 
 
-@query("anova_test")
+_FP = """,
+    f AS (SELECT *, (ssb / (k - 1)) / (ssw / (n - k)) AS f FROM s)"""
+
+
+@query("anova_test", sql_more("feat", _anova("feat", "WHERE n > 100") + _FP + f""",
+    t AS (SELECT *, {f_p("f", "k - 1", "n - k")} AS p FROM f)""", f"""
+    SELECT k AS n_groups, n, {r('f', 'p')}, p < 0.05 AS significant_at_005,
+           p < 0.0125 AS significant_at_bonferroni FROM t"""))
 def anova_test(spark, sf_dir):
-    return rounded(h.with_f_test(h.anova(feature_events(spark, sf_dir), "verkehrsmittel_text")), 9)
+    out = h.with_f_test(h.anova(feature_events(spark, sf_dir), "verkehrsmittel_text"))
+    return rounded(out.select("n_groups", "n", "f", "p", "significant_at_005", "significant_at_bonferroni"))
 
 
 @query("tukey_pairs", sql_more("feat", _anova("feat", "ORDER BY n DESC, verkehrsmittel_text LIMIT 5"), f"""
@@ -154,17 +194,34 @@ def pearson(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("t", "ci95_low", "ci95_high")})
 
 
-@query("pearson_test")
+def _with_p(parts):
+    return f"""SELECT variable, n, {r('t', t_p('t', 'n - 2') + ' AS p')} FROM ({' UNION ALL '.join(parts)})"""
+
+
+def _r_and_t(c):
+    return f"""SELECT '{c}' AS variable, n, r * sqrt((n - 2) / (1 - r * r)) AS t
+        FROM (SELECT count(*) AS n, corr({c}, delay_arr_sec) AS r FROM prep WHERE {c} IS NOT NULL) WHERE n >= 1000"""
+
+
+@query("pearson_test", sql("prep", _with_p(_r_and_t(c) for c in _WEATHER)))
 def pearson_test(spark, sf_dir):
-    return rounded(h.with_t_test(h.pearson(prepared_events(spark, sf_dir), _WEATHER)), 9)
+    tested = h.with_t_test(h.pearson(prepared_events(spark, sf_dir), _WEATHER))
+    return rounded(tested.select("variable", "n", "t", "p"))
+
+
+def _ranks(source, c, value):
+    return f"""SELECT rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rx,
+            rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0 AS ry
+        FROM {source} WHERE {c} IS NOT NULL"""
+
+
+def _rho(source, c, value):
+    return f"""SELECT '{c}' AS variable, n, rho, rho * sqrt((n - 2) / (1 - rho * rho)) AS t
+        FROM (SELECT count(*) AS n, corr(rx, ry) AS rho FROM ({_ranks(source, c, value)})) WHERE n >= 1000"""
 
 
 def _spearman(source, c, value):
-    return f"""SELECT '{c}' AS variable, n, {r("rho", digits=9)}, {r("rho * sqrt((n - 2) / (1 - rho * rho)) AS t")}
-        FROM (SELECT count(*) AS n, corr(rx, ry) AS rho FROM (
-            SELECT rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rx,
-                   rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0 AS ry
-            FROM {source} WHERE {c} IS NOT NULL)) WHERE n >= 1000"""
+    return f"SELECT variable, n, {r('rho', digits=9)}, {r('t')} FROM ({_rho(source, c, value)})"
 
 
 @query("spearman", sql("prep", " UNION ALL ".join(_spearman("prep", c, "delay_arr_sec") for c in _WEATHER)))
@@ -179,9 +236,10 @@ def spearman_large(spark, sf_dir):
     return out.withColumn("t", F.round("t", 6))
 
 
-@query("spearman_test")
+@query("spearman_test", sql("prep", _with_p(_rho("prep", c, "delay_arr_sec") for c in _WEATHER)))
 def spearman_test(spark, sf_dir):
-    return rounded(h.with_t_test(h.spearman(prepared_events(spark, sf_dir), _WEATHER)), 9)
+    tested = h.with_t_test(h.spearman(prepared_events(spark, sf_dir), _WEATHER))
+    return rounded(tested.select("variable", "n", "t", "p"))
 
 
 _NUMERIC = ["niederschlag_mm", "temperatur_c", "wind_ms", "hour", "is_rush_hour_int", "is_weekend_int"]
@@ -193,16 +251,44 @@ def _regression_rows(spark, sf_dir):
         "is_weekend_int": F.col("is_weekend").cast("int")})
 
 
-@query("ols_categorical")
+_COEF = ("SELECT '@name' AS term, " + r("b@i AS coefficient", "sqrt(s2 * v@i) AS std_error", digits=4)
+         + ", n, " + r("r2 AS r_squared") + " FROM fit")
+_KINDS = [f"{kind}{rare}" for kind in ("click", "purchase", "signup", "view") for rare in ("", "_N")]
+_CATEGORICAL = {
+    "C(is_rush_hour)[T.True]": "cast(is_rush_hour AS int)",
+    "C(is_weekend)[T.True]": "cast(is_weekend AS int)",
+    **{f"C(verkehrsmittel_text)[T.{kind}]": f"cast(verkehrsmittel_text = '{kind}' AS int)" for kind in _KINDS[1:]},
+    "niederschlag_mm": "niederschlag_mm", "temperatur_c": "temperatur_c",
+}
+
+
+def _categorical_sql():
+    ctes, names = least_squares("prep", "delay_arr_sec", _CATEGORICAL)
+    return sql_more("prep", ctes, term_rows(names, _COEF))
+
+
+@query("ols_categorical", _categorical_sql())
 def ols_categorical(spark, sf_dir):
     fit = rg.ols(prepared_events(spark, sf_dir), "delay_arr_sec", ["niederschlag_mm", "temperatur_c"],
                  ["is_rush_hour", "is_weekend", "verkehrsmittel_text"], also_known=["hour"])
-    return rounded(fit)
+    return rounded(fit.select("term", "coefficient", "std_error", "n", "r_squared")).withColumns(
+        {c: F.round(c, 4) for c in ("coefficient", "std_error")})
 
 
-@query("ols_numeric")
+_NUMERIC_SQL = {"niederschlag_mm": "niederschlag_mm", "temperatur_c": "temperatur_c", "wind_ms": "wind_ms",
+                "hour": "hour", "is_rush_hour_int": "cast(is_rush_hour AS int)",
+                "is_weekend_int": "cast(is_weekend AS int)"}
+_FIT, _TERMS = least_squares("prep", "delay_arr_sec", _NUMERIC_SQL, key="fahrt_bezeichner")
+_TERM_P = t_p("b@i / sqrt(s2 * v@i)", "n - k")
+
+
+@query("ols_numeric", sql_more("prep", _FIT, f"""
+    SELECT term, {r('coefficient', 'std_error', 't', 'p', digits=4)},
+           {r("coefficient - t95 * std_error AS ci95_low", "coefficient + t95 * std_error AS ci95_high", digits=4)},
+           CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS marks
+    FROM ({term_rows(_TERMS, f"SELECT '@name' AS term, b@i AS coefficient, sqrt(s2 * v@i) AS std_error, "
+                             f"b@i / sqrt(s2 * v@i) AS t, {_TERM_P} AS p, {t_95('(n - k)')} AS t95 FROM fit")})"""))
 def ols_numeric(spark, sf_dir):
-    from taktspur.functions.effect import stars
     fit = rg.coefficient_table(rg.ols(_regression_rows(spark, sf_dir), "delay_arr_sec", _NUMERIC))
     return rounded(fit.withColumn("marks", stars("p")), 4)
 
@@ -240,9 +326,15 @@ def ols_one_factor(spark, sf_dir):
     return rounded(fit.select("term", "coefficient"))
 
 
-@query("ols_summary")
+_F_OF_FIT = "(r2 / (k - 1)) / ((1 - r2) / (n - k))"
+
+
+@query("ols_summary", sql_more("prep", _FIT, f"""
+    SELECT n, {r("r2 AS r_squared", "1 - (1 - r2) * (n - 1) / (n - k) AS adj_r_squared", f"{_F_OF_FIT} AS f")},
+           cast(k - 1 AS bigint) AS df_model, n - k AS df_resid, {r(f_p(_F_OF_FIT, "k - 1", "n - k") + " AS f_p")}
+    FROM fit"""))
 def ols_summary(spark, sf_dir):
-    return rounded(rg.model_summary(rg.ols(_regression_rows(spark, sf_dir), "delay_arr_sec", _NUMERIC)), 9)
+    return rounded(rg.model_summary(rg.ols(_regression_rows(spark, sf_dir), "delay_arr_sec", _NUMERIC)))
 
 
 @query("trend_line", sql("prep", f"""
@@ -253,9 +345,16 @@ def trend_line(spark, sf_dir):
     return rounded(rg.trend_line(prepared_events(spark, sf_dir), "niederschlag_mm", "delay_arr_sec"), 9)
 
 
-@query("breusch_pagan")
+_EXPLAINED = " + ".join(f"pow(sum(a{i} * y * y), 2) / sum(a{i} * a{i})" for i in range(1, len(_TERMS)))
+
+
+@query("breusch_pagan", sql_more("prep", _FIT + f""",
+    aux AS (SELECT count(*) AS n, count(*) * ({_EXPLAINED}) / (count(*) * var_pop(y * y)) AS lm FROM rest)""", f"""
+    SELECT n, {r("lm", digits=4)}, cast({len(_TERMS) - 1} AS bigint) AS df,
+           {r(chi2_p("lm", len(_TERMS) - 1) + " AS p", digits=4)} FROM aux"""))
 def breusch_pagan(spark, sf_dir):
-    return rounded(rg.breusch_pagan(_regression_rows(spark, sf_dir), "delay_arr_sec", _NUMERIC))
+    out = rg.breusch_pagan(_regression_rows(spark, sf_dir), "delay_arr_sec", _NUMERIC)
+    return rounded(out.select("n", "lm", "df", "p"), 4)
 
 
 @query("breusch_pagan_one", f"""
@@ -269,9 +368,16 @@ def breusch_pagan_one(spark, sf_dir):
     return rounded(out.select("n", "lm"), 4)
 
 
-@query("vif")
+def _vif_sql():
+    ctes, names = least_squares("prep", "delay_arr_sec", _NUMERIC_SQL, intercept=False)
+    squares = ", ".join(f"sum(a{i} * a{i}) AS q{i}" for i in range(len(names)))
+    return sql_more("prep", ctes, f"""SELECT * FROM ({term_rows(names, f"SELECT '@name' AS term, "
+                    f"{r('q@i * v@i AS vif')} FROM fit, (SELECT {squares} FROM rows0)")})""")
+
+
+@query("vif", _vif_sql())
 def vif(spark, sf_dir):
-    return rounded(rg.vif(_regression_rows(spark, sf_dir), _NUMERIC))
+    return rounded(rg.vif(_regression_rows(spark, sf_dir), _NUMERIC, also_known=["delay_arr_sec"]))
 
 
 _UNCENTRED = "1 / (1 - pow(sum(l_quantity * l_extendedprice), 2) / (sum(l_quantity * l_quantity) * sum(l_extendedprice * l_extendedprice)))"
@@ -283,12 +389,12 @@ def vif_two(spark, sf_dir):
     return rounded(rg.vif(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]))
 
 
-@query("residuals")
+@query("residuals", sql_more("prep", _FIT, f"""
+    SELECT key AS fahrt_bezeichner, {r("target - y AS fitted", "y AS resid", digits=4)} FROM rest"""))
 def residuals(spark, sf_dir):
-    """Fitted values and residuals, 5,000 rows for the plot."""
+    """Fitted values and residuals of all complete rows."""
     out = rg.residuals(_regression_rows(spark, sf_dir), "delay_arr_sec", _NUMERIC)
-    return rounded(gr.sample_rows(out, 5000, gr.seeded(42, "fahrt_bezeichner")).select(
-        "fahrt_bezeichner", "fitted", "resid"))
+    return rounded(out.select("fahrt_bezeichner", "fitted", "resid"), 4)
 
 
 @query("residuals_one", f"""
