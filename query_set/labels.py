@@ -45,10 +45,24 @@ def prompt_rows(spark, sf_dir):
     return dlb.prompt_rows(context).select("betriebstag", "prompt")
 
 
-@query("classify_days")
+_LABELLED = """
+    days AS (SELECT betriebstag, arg_min(weekday, ankunftszeit) AS wd, avg(delay_arr_sec) AS m,
+                    100.0 * count(*) FILTER (is_late_3min) / count(*) AS p,
+                    round_even(avg(niederschlag_mm), 1) AS rain, round_even(avg(wind_ms), 1) AS wind
+             FROM prep GROUP BY 1),
+    labelled AS (SELECT *, CASE WHEN coalesce(rain, 0) > 1 THEN 'wetter_regen' WHEN coalesce(wind, 0) > 10 THEN 'wetter_sturm'
+                                WHEN wd IN ('Sa', 'So') THEN 'wochenende_baustelle' ELSE 'unbestimmbar' END AS cause
+                 FROM days ORDER BY p DESC, betriebstag LIMIT 10)"""
+
+
+@query("classify_days", sql_more("prep", _LABELLED, f"""
+    SELECT betriebstag AS datum, wd AS wochentag, {r("round_even(p, 1) AS pct_late_3min", "round_even(m, 1) AS mean_delay_s")},
+           cause AS llm_ursache, 'niedrig' AS llm_konfidenz,
+           printf('%.1f %% der Halte verspaetet.', p) AS llm_begruendung FROM labelled"""))
 def classify_days(spark, sf_dir):
     """The ten worst days labelled by the offline stand-in for a model."""
-    return rounded(dlb.classify_days(dlb.worst_day_context(stored_prepared(spark, sf_dir), min_n=3)))
+    context = dlb.worst_day_context(stored_prepared(spark, sf_dir), min_n=3)
+    return rounded(dlb.classify_days(context).drop("cost"))
 
 
 _REPLY = """CASE WHEN event_type = 'error' THEN props
@@ -98,7 +112,7 @@ _OVERALL = {"mean_delay": "true", "workday": "NOT is_weekend", "weekend": "is_we
             "rush_hour": "is_rush_hour", "off_peak": "NOT is_rush_hour"}
 
 
-@query("fact_sheet", sql_more("prep", f"""
+_FACTS = f"""
     st AS (SELECT haltestellen_name AS s, avg(delay_arr_sec) AS m, count(*) AS n FROM prep GROUP BY 1),
     facts AS (
         SELECT 'period' AS section, concat(min(betriebstag), ' bis ', max(betriebstag)) AS key,
@@ -114,18 +128,31 @@ _OVERALL = {"mean_delay": "true", "workday": "NOT is_weekend", "weekend": "is_we
         UNION ALL SELECT 'weather', 'rain', avg(delay_arr_sec) FILTER (niederschlag_mm > 0), count(niederschlag_mm) FROM prep
                   HAVING count(niederschlag_mm) > 1000
         UNION ALL SELECT 'weather', 'dry', avg(delay_arr_sec) FILTER (niederschlag_mm = 0), count(niederschlag_mm) FROM prep
-                  HAVING count(niederschlag_mm) > 1000)""",
-    f"SELECT section, key, {r('value')}, n FROM facts"))
+                  HAVING count(niederschlag_mm) > 1000)"""
+
+
+@query("fact_sheet", sql_more("prep", _FACTS, f"SELECT section, key, {r('value')}, n FROM facts"))
 def facts(spark, sf_dir):
-    return rounded(fact_sheet.fact_rows(stored_prepared(spark, sf_dir), QUESTION, min_worst=40))
+    return rounded(fact_sheet.fact_rows(prepared_events(spark, sf_dir), QUESTION, min_worst=40))
+
+
+_SECTION_LIST = ", ".join(f"'{name}'" for name in fact_sheet.SECTIONS)
 
 
-@query("fact_sheet_lines")
+@query("fact_sheet_lines", sql_more("prep", _FACTS + "," + _LABELLED + """,
+    sheet AS (SELECT section, key, cast(value AS double) AS value, n FROM facts
+              UNION ALL (SELECT 'worst_day', concat_ws(' ', cast(betriebstag AS varchar), wd, cause), round_even(p, 1), NULL
+                         FROM labelled ORDER BY round_even(p, 1) DESC, betriebstag LIMIT 5))""", f"""
+    SELECT cast(list_position([{_SECTION_LIST}], section) AS bigint) AS section_no, section, key,
+           concat(key, ': ', format('{{:,.1f}}', value),
+                  CASE WHEN n IS NULL THEN '' ELSE concat(' (n=', replace(format('{{:,}}', cast(n AS bigint)), ',', ''''), ')') END) AS line
+    FROM sheet"""))
 def fact_lines(spark, sf_dir):
     """The same as text lines in reading order, with the five worst labelled days."""
     prepared = stored_prepared(spark, sf_dir)
     reasons = dlb.classify_days(dlb.worst_day_context(prepared, min_n=3))
-    return fact_sheet.fact_lines(fact_sheet.fact_rows(prepared, QUESTION, reasons, min_worst=40))
+    lines = fact_sheet.fact_lines(fact_sheet.fact_rows(prepared, QUESTION, reasons, min_worst=40))
+    return rounded(lines)
 
 
 @query("daily", sql("feat", f"""

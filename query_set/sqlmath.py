@@ -92,3 +92,24 @@ def term_rows(names: list[str], body: str) -> str:
     """One row per term; @i stands for its number and @name for its name."""
     return " UNION ALL ".join(body.replace("@i", str(i)).replace("@name", n.replace("'", "''"))
                               for i, n in enumerate(names))
+
+
+# Tail of the studentised range for the pairs in ``pairs`` (with q, k, df): Simpson's rule over the
+# spread s, the smallest mean z and the distance u to the others.
+RANGE_TAIL = """
+    gs AS (SELECT i / 32.0 - 1 AS place, CASE WHEN i IN (0, 64) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 96.0 AS ws
+           FROM range(65) t(i)),
+    gz AS (SELECT i * 0.09 - 9 AS z, CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 0.03 AS wz
+           FROM range(201) t(i)),
+    gu AS (SELECT i / 200.0 AS u, CASE WHEN i IN (0, 200) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 600.0 AS wu
+           FROM range(201) t(i)),
+    ps AS (SELECT group1, group2, k, df, ws, 10 / sqrt(2.0 * df) AS half, 1 + place * 10 / sqrt(2.0 * df) AS s, q
+           FROM pairs, gs WHERE 1 + place * 10 / sqrt(2.0 * df) > 0),
+    inner_part AS (SELECT group1, group2, s, z, wz, sum(wu * exp(-pow(z + u * q * s, 2) / 2)) * any_value(q * s)
+                          / sqrt(2 * pi()) AS part
+                   FROM ps, gz, gu GROUP BY group1, group2, s, z, wz),
+    below AS (SELECT group1, group2, s, any_value(k) * sum(wz * exp(-z * z / 2) / sqrt(2 * pi()) * pow(part, k - 1)) AS b
+              FROM inner_part JOIN ps USING (group1, group2, s) GROUP BY group1, group2, s),
+    tails AS (SELECT group1, group2, sum(ws * half * (1 - b)
+                     * exp(ln(2) + df / 2.0 * ln(df / 2.0) - lgamma(df / 2.0) + (df - 1) * ln(s) - df * s * s / 2)) AS p
+              FROM below JOIN ps USING (group1, group2, s) GROUP BY group1, group2)"""

@@ -9,7 +9,7 @@ from taktspur.operators import hypothesis as h, regression as rg
 from taktspur.plans import statistics as st
 
 from .registry import query, r, rounded
-from .sqlmath import chi2_p, f_p, least_squares, normal_p, t_95, t_p, term_rows
+from .sqlmath import RANGE_TAIL, chi2_p, f_p, least_squares, normal_p, t_95, t_p, term_rows
 from .tables import feature_events, prepared_events, shipments, sql, sql_more, stored_prepared, table
 
 _WELCH = r(
@@ -164,19 +164,27 @@ def anova_test(spark, sf_dir):
     return rounded(out.select("n_groups", "n", "f", "p", "significant_at_005", "significant_at_bonferroni"))
 
 
-@query("tukey_pairs", sql_more("feat", _anova("feat", "ORDER BY n DESC, verkehrsmittel_text LIMIT 5"), f"""
-    SELECT x.verkehrsmittel_text AS group1, y.verkehrsmittel_text AS group2,
-           {r("y.m - x.m AS mean_diff", "sqrt(ssw / (s.n - k) / 2 * (1.0 / x.n + 1.0 / y.n)) AS se",
-              "abs(y.m - x.m) / sqrt(ssw / (s.n - k) / 2 * (1.0 / x.n + 1.0 / y.n)) AS q")},
-           k, s.n - k AS df
-    FROM p x JOIN p y ON x.verkehrsmittel_text < y.verkehrsmittel_text, s"""))
+_PAIRS = """
+    SELECT x.verkehrsmittel_text AS group1, y.verkehrsmittel_text AS group2, y.m - x.m AS mean_diff,
+           sqrt(ssw / (s.n - k) / 2 * (1.0 / x.n + 1.0 / y.n)) AS se,
+           abs(y.m - x.m) / sqrt(ssw / (s.n - k) / 2 * (1.0 / x.n + 1.0 / y.n)) AS q, k, s.n - k AS df
+    FROM p x JOIN p y ON x.verkehrsmittel_text < y.verkehrsmittel_text, s"""
+_TOP5 = _anova("feat", "ORDER BY n DESC, verkehrsmittel_text LIMIT 5")
+
+
+@query("tukey_pairs", sql_more("feat", _TOP5, f"""
+    SELECT group1, group2, {r("mean_diff", "se", "q")}, k, df FROM ({_PAIRS})"""))
 def tukey_pairs(spark, sf_dir):
     return rounded(h.tukey_pairs(feature_events(spark, sf_dir), "verkehrsmittel_text"))
 
 
-@query("tukey_test")
+@query("tukey_test", sql_more("feat", _TOP5 + f""",
+    pairs AS ({_PAIRS}), {RANGE_TAIL}""", f"""
+    SELECT group1, group2, {r("mean_diff")}, {r("q")}, {r("p AS p_adjusted", digits=4)}, p < 0.05 AS reject
+    FROM pairs JOIN tails USING (group1, group2)"""))
 def tukey_test(spark, sf_dir):
-    return rounded(h.tukey_test(feature_events(spark, sf_dir), "verkehrsmittel_text"))
+    out = rounded(h.tukey_test(feature_events(spark, sf_dir), "verkehrsmittel_text"))
+    return out.select("group1", "group2", "mean_diff", "q", F.round("p_adjusted", 4).alias("p_adjusted"), "reject")
 
 
 _WEATHER = ["temperatur_c", "niederschlag_mm", "wind_ms", "feuchte_pct", "sonne_min"]
@@ -251,8 +259,16 @@ def _regression_rows(spark, sf_dir):
         "is_weekend_int": F.col("is_weekend").cast("int")})
 
 
-_COEF = ("SELECT '@name' AS term, " + r("b@i AS coefficient", "sqrt(s2 * v@i) AS std_error", digits=4)
-         + ", n, " + r("r2 AS r_squared") + " FROM fit")
+def _terms_sql(names, digits=4):
+    """Coefficient table: error, t, p and interval of every term."""
+    p = t_p("b@i / sqrt(s2 * v@i)", "n - k")
+    rows = term_rows(names, "SELECT '@name' AS term, b@i AS coefficient, sqrt(s2 * v@i) AS std_error, "
+                            f"b@i / sqrt(s2 * v@i) AS t, {p} AS p, {t_95('(n - k)')} AS t95, n, r2 FROM fit")
+    columns = r("coefficient", "std_error", "t", "p", "coefficient - t95 * std_error AS ci95_low",
+                "coefficient + t95 * std_error AS ci95_high", digits=digits)
+    return f"term, {columns}", f"({rows})"
+
+
 _KINDS = [f"{kind}{rare}" for kind in ("click", "purchase", "signup", "view") for rare in ("", "_N")]
 _CATEGORICAL = {
     "C(is_rush_hour)[T.True]": "cast(is_rush_hour AS int)",
@@ -264,30 +280,28 @@ _CATEGORICAL = {
 
 def _categorical_sql():
     ctes, names = least_squares("prep", "delay_arr_sec", _CATEGORICAL)
-    return sql_more("prep", ctes, term_rows(names, _COEF))
+    columns, rows = _terms_sql(names)
+    return sql_more("prep", ctes, f"SELECT {columns}, n, {r('r2 AS r_squared', digits=4)} FROM {rows}")
 
 
 @query("ols_categorical", _categorical_sql())
 def ols_categorical(spark, sf_dir):
     fit = rg.ols(prepared_events(spark, sf_dir), "delay_arr_sec", ["niederschlag_mm", "temperatur_c"],
                  ["is_rush_hour", "is_weekend", "verkehrsmittel_text"], also_known=["hour"])
-    return rounded(fit.select("term", "coefficient", "std_error", "n", "r_squared")).withColumns(
-        {c: F.round(c, 4) for c in ("coefficient", "std_error")})
+    return rounded(fit.select("term", "coefficient", "std_error", "t", "p", "ci95_low", "ci95_high", "n",
+                              "r_squared"), 4)
 
 
 _NUMERIC_SQL = {"niederschlag_mm": "niederschlag_mm", "temperatur_c": "temperatur_c", "wind_ms": "wind_ms",
                 "hour": "hour", "is_rush_hour_int": "cast(is_rush_hour AS int)",
                 "is_weekend_int": "cast(is_weekend AS int)"}
 _FIT, _TERMS = least_squares("prep", "delay_arr_sec", _NUMERIC_SQL, key="fahrt_bezeichner")
-_TERM_P = t_p("b@i / sqrt(s2 * v@i)", "n - k")
+_COLUMNS, _ROWS = _terms_sql(_TERMS)
 
 
 @query("ols_numeric", sql_more("prep", _FIT, f"""
-    SELECT term, {r('coefficient', 'std_error', 't', 'p', digits=4)},
-           {r("coefficient - t95 * std_error AS ci95_low", "coefficient + t95 * std_error AS ci95_high", digits=4)},
-           CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS marks
-    FROM ({term_rows(_TERMS, f"SELECT '@name' AS term, b@i AS coefficient, sqrt(s2 * v@i) AS std_error, "
-                             f"b@i / sqrt(s2 * v@i) AS t, {_TERM_P} AS p, {t_95('(n - k)')} AS t95 FROM fit")})"""))
+    SELECT {_COLUMNS}, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*'
+                            ELSE 'n.s.' END AS marks FROM {_ROWS}"""))
 def ols_numeric(spark, sf_dir):
     fit = rg.coefficient_table(rg.ols(_regression_rows(spark, sf_dir), "delay_arr_sec", _NUMERIC))
     return rounded(fit.withColumn("marks", stars("p")), 4)
