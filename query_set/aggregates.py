@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from taktspur.functions.delay import DELAY_CLASSES, clipped
 from taktspur.operators import grouped as gr, shape
+from taktspur.operators.filters import measured
 from taktspur.operators.ranks import quantiles
 from taktspur.plans import fact_sheet
 from taktspur.sources.stations import region_list as regions_of
 
 from .registry import query, r, rounded
 from .tables import (clean_events, feature_events, prepared_events, shipments, sql, sql_more,
-                     stations, table)
+                     stations, stop_events, table)
 
 _KPI = f"""count(*) AS n_rows, {r("avg(delay_arr_sec) AS mean_delay",
            "100.0 * count(*) FILTER (is_late_3min) / count(*) AS pct_late")},
@@ -256,9 +257,6 @@ def box_stats(spark, sf_dir):
     WHERE an_prognose_status = 'REAL' ORDER BY delay_arr_sec, fahrt_bezeichner LIMIT 3"""))
 def extremes(spark, sf_dir):
     """The three earliest arrivals before the plausibility filter."""
-    from taktspur.operators.filters import measured
-
-    from .tables import stop_events
     lowest = gr.top_by(measured(stop_events(spark, sf_dir)), "delay_arr_sec", "fahrt_bezeichner", 3, ascending=True)
     return rounded(lowest.select("betriebstag", "fahrt_bezeichner", "delay_arr_sec"))
 

@@ -16,8 +16,12 @@ TIME_COLUMNS = ["BETRIEBSTAG", "ANKUNFTSZEIT", "AN_PROGNOSE", "ABFAHRTSZEIT", "A
 
 def read_event_csv(spark: SparkSession, path: str | list[str],
                    schema: T.StructType = RAW_EVENTS, sep: str = ";") -> DataFrame:
-    """Feed files with a header line; the columns are matched by name to the fixed types."""
-    raw = spark.read.option("sep", sep).option("header", True).csv(path, inferSchema=False)
+    """Feed files with a header line; the columns are matched by name to the fixed types.
+
+    All files must have the header of the first; one that differs is an error, not a shift.
+    """
+    raw = (spark.read.option("sep", sep).option("header", True).option("enforceSchema", False)
+           .csv(path))
     kinds = {f.name: f.dataType for f in schema.fields}
     return raw.select(*[
         F.col(name).try_cast(kinds[name]).alias(name) if name in kinds else F.col(name)

@@ -14,9 +14,9 @@ from ..sources.events import ingest, write_days
 
 
 def new_event_files(spark: SparkSession, folder: str, schema: T.StructType = RAW_EVENTS) -> DataFrame:
-    """Feed files as a stream; the files must hold the columns of the schema in its order."""
+    """Feed files as a stream; a file whose header is not the schema's is an error."""
     return (spark.readStream.schema(schema).option("sep", ";").option("header", True)
-            .option("enforceSchema", True).csv(folder))
+            .option("enforceSchema", False).csv(folder))
 
 
 def load_new_days(spark: SparkSession, folder: str, table_path: str, checkpoint: str,
