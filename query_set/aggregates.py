@@ -284,3 +284,11 @@ def sample_rows(spark, sf_dir):
     """5,000 events in the order of a hash both engines have."""
     picked = gr.sample_rows(clean_events(spark, sf_dir), 5000, F.expr(_EVENT_HASH))
     return rounded(picked.select("fahrt_bezeichner", "delay_arr_sec"))
+
+
+@query("late_summary", sql("clean", f"""
+    SELECT count(*) FILTER (delay_arr_sec > 180) AS n_late,
+           {r("100.0 * count(*) FILTER (delay_arr_sec > 180) / count(*) AS pct_late",
+              "100.0 * count(*) FILTER (delay_arr_sec <= 0) / count(*) AS pct_early_or_punctual")} FROM clean"""))
+def late_summary(spark, sf_dir):
+    return rounded(gr.late_summary(clean_events(spark, sf_dir)))

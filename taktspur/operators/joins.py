@@ -29,8 +29,8 @@ WEATHER_POINTS = [
 KM_PER_DEGREE = 111.0
 
 # Rows of a look-up table up to which it is broadcast: a key and a few short attributes
-# each, so some tens of megabytes at most.
-BROADCAST_ROWS = 500_000
+# each, so at most about 200 MB. Fifteen years of hourly weather at 15 points fit.
+BROADCAST_ROWS = 2_000_000
 _NULL_SHARES = 1024
 
 

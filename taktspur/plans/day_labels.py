@@ -13,6 +13,7 @@ from ..functions.text import parsed_reply
 from ..functions.time import day_part
 from ..operators.grouped import daily, group_means, top_by
 from ..operators.joins import if_small
+from ..session import materialized
 
 # The causes a reply may name, and prices per million tokens.
 TAXONOMY = [
@@ -140,10 +141,13 @@ def call_cost() -> Column:
 
 def classify_days(context: DataFrame, client: Client = offline_client,
                   day: str = "betriebstag") -> DataFrame:
-    """One labelled row per context row, with the cost of its call."""
+    """One labelled row per context row, with the cost of its call.
+
+    The answers are stored at once, so that reading the result again asks nothing again.
+    """
     requests = prompt_rows(context, day).select(
         day, "weekday", "pct_late_3min", "mean_delay", "prompt")
-    answered = ask(requests, client)
+    answered = materialized(ask(requests, client))
     return answered.select(
         F.col(day).alias("datum"), F.col("weekday").alias("wochentag"),
         F.bround("pct_late_3min", 1).alias("pct_late_3min"),

@@ -115,6 +115,20 @@ def test_days_are_labelled_and_cost_is_summed(prepared):
     assert total.n_calls == 10 and total.cost == pytest.approx(sum(r.cost for r in labelled))
 
 
+def test_each_day_is_asked_once(prepared, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def client(prompt):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return "{}", 1, 1
+
+    labelled = dlb.classify_days(dlb.worst_day_context(prepared, k_days=4, min_n=1), client)
+    assert labelled.count() == 4 and dlb.total_cost(labelled).first().n_calls == 4 and len(labelled.collect()) == 4
+    with open(log) as f:
+        assert len(f.readlines()) == 4
+
+
 def test_prompt_holds_taxonomy_day_and_context(prepared):
     row = dlb.prompt_rows(dlb.worst_day_context(prepared, k_days=1, min_n=1)).first()
     assert all(f"- {t}\n" in row.prompt + "\n" for t in dlb.TAXONOMY) and str(row.betriebstag) in row.prompt
