@@ -274,8 +274,7 @@ def sql_top_stations(spark, sf_dir):
     FROM ev WHERE {_MEASURED} GROUP BY dayofweek(betriebstag)"""))
 def sql_by_weekday(spark, sf_dir):
     _register(spark, sf_dir)
-    return rounded(sql_reports.by_weekday(spark).withColumn(
-        "pct_late_over_3min", F.col("pct_late_over_3min").cast("double")))
+    return rounded(sql_reports.by_weekday(spark))
 
 
 @query("sql_by_canton", sql("ev stations", f"""

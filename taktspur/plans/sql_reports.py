@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.time import WEEKDAYS
+from ..operators.grouped import value_counts
 from ..sources.tables import run_sql
 
 _MEASURED = "an_prognose_status = 'REAL' AND delay_arr_sec IS NOT NULL"
@@ -20,11 +21,17 @@ TOP_STATIONS = f"""
     ORDER BY avg_delay_sec DESC, haltestellen_name LIMIT 10
 """
 
+# One row per operating day first; the weekday is worked out on those few rows.
 BY_WEEKDAY = f"""
-    SELECT dayofweek(betriebstag) - 1 AS weekday_num, count(*) AS n_events,
-           round(avg(delay_arr_sec), 1) AS avg_delay_sec,
-           round(100.0 * count_if(delay_arr_sec > :late_after) / count(*), 2) AS pct_late_over_3min
-    FROM delays WHERE {_MEASURED} GROUP BY dayofweek(betriebstag) - 1 ORDER BY weekday_num
+    WITH per_day AS (
+        SELECT betriebstag, count(*) AS n, sum(delay_arr_sec) AS total,
+               count_if(delay_arr_sec > :late_after) AS late
+        FROM delays WHERE {_MEASURED} GROUP BY betriebstag
+    )
+    SELECT dayofweek(betriebstag) - 1 AS weekday_num, sum(n) AS n_events,
+           round(sum(total) / sum(n), 1) AS avg_delay_sec,
+           round(100.0D * sum(late) / sum(n), 2) AS pct_late_over_3min
+    FROM per_day GROUP BY weekday_num
 """
 
 # Summed per station before the join, so the join sees one row per station.
@@ -40,11 +47,6 @@ BY_CANTON = f"""
     ORDER BY avg_delay_sec DESC, kanton
 """
 
-TOP_LINES = """
-    SELECT linien_text, count(*) AS n_halte FROM delays WHERE linien_text IS NOT NULL
-    GROUP BY linien_text ORDER BY n_halte DESC, linien_text LIMIT 10
-"""
-
 
 def top_stations(spark: SparkSession, min_n: int = 1000) -> DataFrame:
     return run_sql(spark, TOP_STATIONS, {"min_n": min_n})
@@ -55,12 +57,14 @@ def by_weekday(spark: SparkSession, late_after: float = 180.0) -> DataFrame:
     out = run_sql(spark, BY_WEEKDAY, {"late_after": late_after})
     names = F.create_map(*[F.lit(v) for i, d in enumerate(WEEKDAYS) for v in ((i + 1) % 7, d)])
     return out.select("weekday_num", names[F.col("weekday_num")].alias("weekday"), "n_events",
-                      "avg_delay_sec", "pct_late_over_3min")
+                      "avg_delay_sec", "pct_late_over_3min").orderBy("weekday_num")
 
 
 def by_canton(spark: SparkSession, min_n: int = 500) -> DataFrame:
     return run_sql(spark, BY_CANTON, {"min_n": min_n})
 
 
-def top_lines(spark: SparkSession) -> DataFrame:
-    return run_sql(spark, TOP_LINES)
+def top_lines(spark: SparkSession, k: int = 10) -> DataFrame:
+    """The k lines with most stops; stops without a line are left out."""
+    counts = value_counts(spark.table("delays"), "linien_text")
+    return counts.limit(k).withColumnRenamed("n", "n_halte")
