@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import dist
+from ..functions.dist import chi2_p, log_f_upper, log_t_two_sided, t_critical
 from ..functions.delay import known
 
 _FIT_SCHEMA = (
@@ -102,15 +102,15 @@ def _fit(cells: pd.DataFrame, numeric: list[str], factors: list[str]) -> pd.Data
     coef[0] += centre[0]
     se = np.sqrt(np.clip(np.diag(cov), 0.0, None))
     t = np.divide(coef, se, out=np.full_like(coef, np.inf if spare else np.nan), where=se > 0)
-    limit = dist.t_critical(0.95, df_resid) if spare else math.nan
+    limit = t_critical(0.95, df_resid) if spare else math.nan
     f = (r2 / df_model) / ((1 - r2) / df_resid) if spare and df_model and r2 < 1 else math.nan
     return pd.DataFrame({
         "term": terms, "coefficient": coef, "std_error": se, "t": t,
-        "p": [math.nan if math.isnan(v) else math.exp(dist.log_t_two_sided(abs(v), df_resid)) for v in t],
+        "p": [math.nan if math.isnan(v) else math.exp(log_t_two_sided(abs(v), df_resid)) for v in t],
         "ci95_low": coef - limit * se, "ci95_high": coef + limit * se,
         "n": n, "r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / df_resid if spare else math.nan,
         "f": f, "df_model": df_model, "df_resid": df_resid,
-        "f_p": math.nan if math.isnan(f) else math.exp(dist.log_f_upper(f, df_model, df_resid)),
+        "f_p": math.nan if math.isnan(f) else math.exp(log_f_upper(f, df_model, df_resid)),
     })
 
 
@@ -176,7 +176,7 @@ def breusch_pagan(df: DataFrame, response: str, numeric: list[str],
     return aux.select(
         "n", (F.col("n") * F.col("r_squared")).alias("lm"), F.col("df_model").alias("df"),
         F.col("f"), F.col("f_p"),
-    ).withColumn("p", dist.chi2_p("lm", F.col("df")))
+    ).withColumn("p", chi2_p("lm", F.col("df")))
 
 
 def vif(df: DataFrame, columns: list[str], also_known: list[str] | None = None) -> DataFrame:
