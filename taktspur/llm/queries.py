@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_bucket
+from .near_dup import near_duplicates
 from .packing import pack
 from .pii import BASE_KINDS, find_personal_data
 from .quality import fit_quality, rate_quality
@@ -50,6 +51,38 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_near_duplicates"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+sets as (
+  select doc_id, unnest(case when len(w) >= 5
+      then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+  from words),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared
+  from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (
+  select p.a, p.b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b
+  where 100 * shared >= 75 * (x.n + y.n - shared)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from documents
+  union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select r.doc_id, coalesce(any_value(s.n), 0)::bigint as n_shingles, min(other) as component_id,
+  r.doc_id = min(other) as kept
+from reach r left join sizes s on s.doc_id = r.doc_id group by r.doc_id
+"""
+
+
 def _learned(column: str):
     return crc_bucket(column, 5) != 0
 
