@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_bucket
+from .html_text import extract_text
+from .lattice import lattice_scores
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii import BASE_KINDS, find_personal_data
@@ -31,6 +33,12 @@ def joined_spans(found: str) -> str:
     return f"array_join(transform({found}, s -> concat_ws(':', s.kind, s.start, s.`end`)), ',')"
 
 
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (extract_text(table(spark, sf_dir, "pages"))
+            .withColumn("n_chars", F.char_length("text").cast("long")))
+
+
 @query
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
@@ -104,3 +112,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lattice_scores(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) != 2)
+    return scores.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
