@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import new_run_dir
 
 SLICE_BYTES = 1 << 20
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -28,6 +30,20 @@ def once(key, make):
     return kept[key]
 
 
+def with_small_batches(docs: DataFrame) -> DataFrame:
+    """The same frame, with the session's Arrow batches lowered to 1,000 rows and 16 MB.
+
+    Rows are whole texts here; the default of 10,000 rows would hold tens to hundreds of MB at once
+    in both processes.
+    """
+    conf = docs.sparkSession.conf
+    for key, most in ((ROWS_KEY, 1000), (BYTES_KEY, 16 << 20)):
+        now = int(conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return docs
+
+
 def crc_bucket(column: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; a null id counts as the empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))

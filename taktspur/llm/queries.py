@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_bucket
+from .common import crc_bucket, with_small_batches
 from .html_text import extract_text
 from .lattice import lattice_scores
 from .near_dup import near_duplicates
@@ -26,7 +26,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return with_small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def joined_spans(found: str) -> str:
