@@ -14,6 +14,7 @@ from .near_dup import near_duplicates
 from .packing import pack
 from .pii import BASE_KINDS, find_personal_data
 from .quality import fit_quality, rate_quality
+from .spans import remove_repeats
 from .tokens import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -155,6 +156,41 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op9_repeated_spans"] = r"""
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+windows as (
+  select doc_id, p, md5(substr(x, 2 * p + 1, 100)) as s
+  from (select doc_id, x, unnest(range(0, length(x) // 2 - 49)) as p from docs)),
+least as (select s, min(doc_id) as d from windows group by s having min(doc_id) < max(doc_id)),
+hit as (select w.doc_id, w.p from windows w join least l on l.s = w.s where l.d < w.doc_id),
+runs as (
+  select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as new
+  from hit),
+numbered as (select doc_id, p, sum(new) over (partition by doc_id order by p) as k from runs),
+spans as (select doc_id, k, min(p) as b, max(p) + 50 as e from numbered group by doc_id, k),
+gaps as (
+  select d.doc_id, coalesce(lag(e) over (partition by d.doc_id order by b), 0) as f, b as t, d.x
+  from spans s join docs d using (doc_id)
+  union all
+  select d.doc_id, coalesce(max(e), 0), any_value(length(d.x) // 2), any_value(d.x)
+  from docs d left join spans s using (doc_id) group by d.doc_id),
+kept as (
+  select doc_id, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' order by f) as y from gaps group by doc_id)
+select d.doc_id, (length(x) // 2)::bigint as n_bytes, ((length(x) - length(coalesce(y, ''))) // 2)::bigint as n_removed,
+  coalesce(n, 0)::bigint as n_spans, sha256(unhex(coalesce(y, ''))) as kept_sha256
+from docs d join kept using (doc_id)
+left join (select doc_id, count(*) as n from spans group by doc_id) using (doc_id)
+"""
+
+
 @query
 def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lattice_scores(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) != 2)
