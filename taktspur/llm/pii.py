@@ -12,7 +12,9 @@ from .common import as_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds beyond the base, each with its score before context; a span counts from ``LEAST_SCORE``.
-ADDED_KINDS = {"iban": 0.8, "national_id": 0.4, "local_phone": 0.3, "access_key": 0.9, "secret": 0.7}
+#: ``card_inner`` and ``phone_inner`` lie in longer runs of digits that fail as a whole.
+ADDED_KINDS = {"iban": 0.8, "card_inner": 0.8, "phone_inner": 0.7, "national_id": 0.4,
+               "local_phone": 0.3, "access_key": 0.9, "secret": 0.7}
 KINDS = (*BASE_KINDS, *ADDED_KINDS)
 LEAST_SCORE = 0.5
 CONTEXT_CHARS = 40
@@ -27,6 +29,8 @@ CONTEXT = {
     "iban": r"iban|account|bank|konto|compte|cuenta",
     "national_id": r"ssn|social security|national id|tax id|passport",
     "local_phone": r"phone|tel|call|mobile|fax|telefon|téléphone|teléfono",
+    "card_inner": r"card|visa|mastercard|credit|amex|karte|carte|tarjeta",
+    "phone_inner": r"phone|tel|call|mobile|fax|telefon|téléphone|teléfono",
     "access_key": r"key|aws|access",
     "secret": r"login|user|account|credential",
 }
@@ -41,6 +45,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 NATIONAL = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])")
+CARD_INNER = re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
+PHONE_INNER = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 ACCESS_KEY = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
 SECRET = re.compile(r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[^\s,;]{6,64}")
 SECRET_HINT = re.compile(r"[=:]")
@@ -114,6 +120,12 @@ def ibans(text: str):
                 break
 
 
+def inner_cards(text: str):
+    for m in CARD_INNER.finditer(text):
+        if luhn(re.sub("[ -]", "", m.group())):
+            yield m.span()
+
+
 def _plain(pattern):
     return lambda text: (m.span() for m in pattern.finditer(text))
 
@@ -121,6 +133,7 @@ def _plain(pattern):
 FINDERS = {
     "email": emails, "ip": addresses, "card": cards, "phone": phones, "iban": ibans,
     "national_id": _plain(NATIONAL), "local_phone": _plain(LOCAL_PHONE),
+    "card_inner": inner_cards, "phone_inner": _plain(PHONE_INNER),
     "access_key": _plain(ACCESS_KEY), "secret": _plain(SECRET),
 }
 CONTEXT_PATTERNS = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)", re.I) for k, v in CONTEXT.items()}
@@ -131,20 +144,20 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) in code points, by start and then kind.
 
     Base spans always count. Spans of the added kinds count from a score of 0.5 and only where no
-    base span lies.
+    base span and no span of an earlier kind lies.
     """
     names = []
     if "@" in text:
         names.append("email")
     if DIGIT.search(text):
-        names += ["ip", "card", "iban", "national_id", "local_phone"]
+        names += ["ip", "card", "iban", "national_id", "local_phone", "card_inner"]
         if "+" in text:
-            names.append("phone")
+            names += ["phone", "phone_inner"]
     if "AKIA" in text or "ASIA" in text:
         names.append("access_key")
     if SECRET_HINT.search(text):
         names.append("secret")
-    found, base = [], []
+    found, taken = [], []
     for kind in KINDS:
         if kind not in names:
             continue
@@ -154,10 +167,10 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
             score += CONTEXT_GAIN * bool(CONTEXT_PATTERNS[kind].search(near))
             score -= CONTEXT_LOSS * bool(AGAINST_PATTERN.search(near))
             score = round(min(1.0, max(0.0, score)), 2)
-            if kind in BASE_KINDS:
-                base.append((start, end))
-            elif score < LEAST_SCORE or any(s < end and start < e for s, e in base):
+            if kind not in BASE_KINDS and (
+                    score < LEAST_SCORE or any(s < end and start < e for s, e in taken)):
                 continue
+            taken.append((start, end))
             found.append((start, end, kind, score))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
