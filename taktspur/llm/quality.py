@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -66,17 +68,18 @@ def platt(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float,
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000,
                 least_rows: int = 5, l2: float = 1e-5, steps: int = 200) -> LinearModel:
-    """Fit on at most ``per_class`` labelled documents of each class, every fifth kept for calibration.
+    """Fit on at most ``per_class`` labelled documents of each class, a fifth of them (by a hash of the id)
+    kept for calibration.
 
     The margins of the kept fifth calibrate the scores (a logistic curve), then the class shares of
     all labels are put in. Labels of one class only, or none, give a constant.
     """
-    rows, y, _, positives, negatives = labelled_sample(docs, labels, label, feature_column, per_class)
+    rows, y, ids, positives, negatives = labelled_sample(docs, labels, label, feature_column, per_class)
     if len(y) < 10 or y.min() == y.max():
         return constant_model(positives, negatives)
-    kept = np.arange(len(y)) % 5 == 0
+    kept = np.array([zlib.crc32(f"kept {i}".encode()) % 5 == 0 for i in ids])
     learn, own = [r for r, k in zip(rows, kept) if not k], y[~kept]
-    if own.min() == own.max() or y[kept].min() == y[kept].max():
+    if {*own} != {0, 1} or {*y[kept]} != {0, 1}:
         return constant_model(positives, negatives)
     seen = np.bincount(np.concatenate(learn), minlength=1 << BITS)
     model = fit(learn, own, np.ones(1 << BITS), seen >= least_rows, 0.5, l2, steps)
