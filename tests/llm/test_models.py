@@ -97,7 +97,8 @@ def test_lattice_sums_all_segmentations():
 
 @pytest.mark.parametrize("head", [1, 50, 1 << 18])
 def test_scores_against_plain_counts(small_docs, edge_docs, head):
-    docs = small_docs.select("doc_id", "text").where("doc_id < 60").unionByName(edge_docs.select("doc_id", "text"))
+    docs = small_docs.select("doc_id", "text").where("doc_id < 60").unionByName(
+        edge_docs.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text"))
     rows = docs.collect()
 
     def tokens(text):
