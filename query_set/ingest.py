@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from taktspur.functions.time import parse_time
 from taktspur.plans import sql_reports
 from taktspur.session import new_run_dir
 from taktspur.sources import days, events as ev, stations as st, tables as tb, weather as we
+from taktspur.streaming.daily_files import load_new_days
 
 from .registry import query, r, rounded
 from .tables import sql, sql_more, stations, stations_raw, stop_events, table
@@ -15,6 +16,7 @@ from .tables import sql, sql_more, stations, stations_raw, stop_events, table
 _FEED = ["BETRIEBSTAG", "PRODUKT_ID", "BETREIBER_ABK", "BPUIC", "LINIEN_TEXT", "ANKUNFTSZEIT",
          "AN_PROGNOSE", "ABFAHRTSZEIT", "AB_PROGNOSE", "FAHRT_BEZEICHNER"]
 _TIME = "dd.MM.yyyy HH:mm:ss"
+_FEED_TYPES = T.StructType([T.StructField(c, T.LongType() if c == "BPUIC" else T.StringType()) for c in _FEED])
 
 
 def _feed(spark, sf_dir):
@@ -46,8 +48,36 @@ _INGESTED = """
 def ingest_csv_events(spark, sf_dir):
     """Write the feed as semicolon files, read it back, filter, parse, delays."""
     path = new_run_dir(spark, "feed")
-    _feed(spark, sf_dir).write.option("sep", ";").option("header", True).csv(path)
-    return ev.ingest(ev.read_event_csv(spark, path), "Zug", "EINS")
+    _feed(spark, sf_dir).write.options(**tb.CSV).option("header", True).csv(path)
+    return ev.ingest(ev.read_event_csv(spark, path, _FEED_TYPES), "Zug", "EINS")
+
+
+@query("ingest_swapped_columns", sql("ev", _INGESTED))
+def ingest_swapped_columns(spark, sf_dir):
+    """Two sets of files whose headers differ in order, read as one table by name."""
+    path = new_run_dir(spark, "swapped")
+    feed = _feed(spark, sf_dir)
+    odd = F.col("FAHRT_BEZEICHNER").cast("bigint") % 2 == 1
+    for name, part in (("a", feed.where(~odd)), ("b", feed.where(odd).select(*reversed(_FEED)))):
+        part.write.options(**tb.CSV).option("header", True).csv(f"{path}/{name}")
+    return ev.ingest(ev.read_event_csv(spark, [f"{path}/a", f"{path}/b"], _FEED_TYPES), "Zug", "EINS")
+
+
+@query("daily_loads", sql("ev", f"""
+    SELECT CASE WHEN event_id % 50 = 0 THEN NULL ELSE betriebstag END AS betriebstag, count(*) AS n,
+           {r("cast(sum(date_diff('second', date_trunc('second', ankunftszeit), date_trunc('second', an_prognose))) AS double) AS total")}
+    FROM ev WHERE produkt_id = 'Zug' AND betreiber_abk = 'EINS' GROUP BY 1"""))
+def daily_loads(spark, sf_dir):
+    """Two loads, the second over files of both: unreadable days and days in both sets stay whole."""
+    folder, target, mark = (new_run_dir(spark, f"daily-{n}") for n in ("in", "out", "mark"))
+    number = F.col("FAHRT_BEZEICHNER").cast("bigint")
+    feed = _feed(spark, sf_dir).withColumn(
+        "BETRIEBSTAG", F.when(number % 50 == 0, "unlesbar").otherwise(F.col("BETRIEBSTAG")))
+    for name, part in (("a", feed.where(number % 3 == 0)), ("b", feed.where(number % 3 != 0).select(*reversed(_FEED)))):
+        part.write.options(**tb.CSV).option("header", True).csv(f"{folder}/{name}")
+        load_new_days(spark, f"{folder}/*", target, mark, "Zug", "EINS", _FEED_TYPES)
+    return rounded(ev.read_days(spark, target).groupBy("betriebstag").agg(
+        F.count("*").alias("n"), F.sum("delay_arr_sec").alias("total")))
 
 
 @query("ingest_filter", sql("ev", """
@@ -89,7 +119,7 @@ def roundtrip_parquet(spark, sf_dir):
     """Write one folder per operating day, read back, sum per day."""
     path = new_run_dir(spark, "days")
     ev.write_days(stop_events(spark, sf_dir), path)
-    back = spark.read.parquet(path)
+    back = ev.read_days(spark, path)
     return rounded(back.groupBy("betriebstag").agg(
         F.count("*").alias("n"), F.sum("delay_arr_sec").alias("total")), 3)
 
@@ -162,13 +192,16 @@ def ingest_summary(spark, sf_dir):
     SELECT event_type AS station_abbr, count(*) AS n, {r("sum(value) AS total", digits=3)}
     FROM events GROUP BY event_type""")
 def tag_from_filename(spark, sf_dir):
-    """One set of files per event type, read together; the type comes from the file name."""
+    """One set of files per event type, read together; the type comes from the path.
+
+    Spark names its part files itself, so the type is the head of the folder's name here, up to the
+    first underscore as in the default pattern.
+    """
     root = new_run_dir(spark, "tagged")
     events = table(spark, sf_dir, "events")
-    (events.select("value", F.col("event_type").alias("kind"))
+    (events.select("value", F.concat("event_type", F.lit("_h_recent")).alias("kind"))
      .write.partitionBy("kind").parquet(root, compression="snappy"))
-    # Spark names its part files itself, so the tag is taken from the folder name here.
-    tagged = we.read_tagged_parquet(spark, f"{root}/*", pattern="kind=([^/]+)/")
+    tagged = we.read_tagged_parquet(spark, f"{root}/*", pattern=r"/kind=([^/_]+)_[^/]*/[^/]*$")
     return rounded(tagged.groupBy("station_abbr").agg(
         F.count("*").alias("n"), F.sum("value").alias("total")), 3)
 
@@ -204,31 +237,34 @@ def roundtrip_csv(spark, sf_dir):
         "number", "sloid", "designationofficial", "cantonabbreviation", "meansoftransport", "lat", "lon"))
 
 
-# Characters outside ISO-8859-1 and the quoting characters would not survive the file as text.
-_PLAIN = r"[^a-zA-ZäöüéèàçêÄÖÜÉÈ ]"
+# Characters that ISO-8859-1 lacks become a question mark.
+_BEYOND = r"[^\x00-\xFF]"
 
 
 @query("latin1_csv", f"""
-    SELECT cast(doc_id AS varchar) AS doc_id, lang, md5(trim(regexp_replace(text, '{_PLAIN}', '', 'g'))) AS text_md5
-    FROM documents""")
+    SELECT cast(doc_id AS varchar) AS doc_id, lang,
+           md5(regexp_replace(concat('"', text, '; "" '), '{_BEYOND}', '?', 'g')) AS text_md5
+    FROM documents""".replace("\\xFF", "\\x{FF}"))
 def latin1_csv(spark, sf_dir):
-    """Whole document texts through a semicolon file in ISO-8859-1."""
+    """Whole document texts, with quotes, separators and line ends, through files in ISO-8859-1."""
     path = new_run_dir(spark, "latin1")
-    text = F.trim(F.regexp_replace("text", _PLAIN, ""))
+    text = F.regexp_replace(F.concat(F.lit('"'), "text", F.lit('; "" ')), _BEYOND, "?")
     (table(spark, sf_dir, "documents").select("doc_id", "lang", text.alias("text"))
-     .write.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1")
-     .option("emptyValue", "").csv(path))
-    return we.read_latin1_csv(spark, path).select(
-        "doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+     .write.options(**tb.CSV).option("header", True).option("encoding", "ISO-8859-1")
+     .option("quoteAll", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return we.read_latin1_csv(spark, path, multi_line=True).select(
+        "doc_id", "lang", F.md5("text").alias("text_md5"))
 
 
 @query("requested_absent", """
     SELECT DISTINCT upper(c_name) AS station_abbr FROM customer
-    WHERE upper(c_name) NOT IN (SELECT upper(c_name) FROM customer JOIN orders ON o_custkey = c_custkey)""")
+    WHERE upper(c_name) NOT IN (SELECT upper(c_name) FROM customer JOIN orders ON o_custkey = c_custkey
+                                WHERE o_orderstatus = 'P' AND o_custkey % 3 <> 0)""")
 def requested_absent(spark, sf_dir):
-    """Customers without an order, compared by name in upper case."""
+    """Customers without an open order at one of two in three counters, by name in upper case."""
     customer = table(spark, sf_dir, "customer")
-    ordered = customer.join(table(spark, sf_dir, "orders"),
+    ordered = customer.join(table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_custkey % 3 <> 0"),
                             F.col("c_custkey") == F.col("o_custkey"), "left_semi")
     return we.absent_keys(customer.select(F.upper("c_name").alias("station_abbr")),
                           ordered.select(F.col("c_name").alias("station_abbr")))
@@ -305,7 +341,8 @@ def sql_param(spark, sf_dir):
     """, ["F", 100000]), 4)
 
 
-_COUNTED = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+_COUNTED = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem",
+            "nation", "orders", "pages", "part", "region", "supplier"]
 
 
 @query("table_counts", " UNION ALL ".join(

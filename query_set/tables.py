@@ -13,7 +13,7 @@ from taktspur.operators.joins import WEATHER_POINTS
 from taktspur.schemas import PREPARED
 from taktspur.plans.prepared import cleaned, prepare, with_features
 from taktspur.session import materialized, new_run_dir
-from taktspur.sources.events import write_days
+from taktspur.sources.events import read_days, write_days
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -206,7 +206,7 @@ def stored_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prepared table written by operating day and read back, as the reports use it."""
     path = new_run_dir(spark, "prepared")
     write_days(prepared_events(spark, sf_dir), path)
-    return spark.read.schema(PREPARED).parquet(path)
+    return read_days(spark, path, PREPARED)
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:

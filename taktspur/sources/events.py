@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -9,31 +10,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.delay import known, seconds_between
 from ..functions.time import parse_time
 from ..schemas import RAW_EVENTS
-from .tables import lower_names
+from .tables import CSV, by_header, csv_cells, lower_names
 
+#: Partition column that keeps the rows of one load together.
+LOAD = "ladung"
 TIME_COLUMNS = ["BETRIEBSTAG", "ANKUNFTSZEIT", "AN_PROGNOSE", "ABFAHRTSZEIT", "AB_PROGNOSE"]
 
 
-def read_event_csv(spark: SparkSession, path: str | list[str],
-                   schema: T.StructType = RAW_EVENTS, sep: str = ";") -> DataFrame:
-    """Feed files with a header line; the columns are matched by name to the fixed types.
+def read_event_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_EVENTS,
+                   sep: str = ";", multi_line: bool = False, key: str = "BETRIEBSTAG") -> DataFrame:
+    """Feed files with a header line each; columns are matched by name to the fixed types.
 
-    All files must have the header of the first; one that differs is an error, not a shift.
+    Files may differ in the order of their columns or lack some, which are null then. Columns
+    beyond the schema are kept as text as far as the first file has them.
     """
-    raw = (spark.read.option("sep", sep).option("header", True).option("enforceSchema", False)
-           .csv(path))
-    kinds = {f.name: f.dataType for f in schema.fields}
-    return raw.select(*[
-        F.col(name).try_cast(kinds[name]).alias(name) if name in kinds else F.col(name)
-        for name in raw.columns
-    ])
+    first = spark.read.options(**{**CSV, "sep": sep}).option("header", True).csv(path).columns
+    wanted = T.StructType([next((f for f in schema.fields if f.name == name), T.StructField(name, T.StringType()))
+                           for name in dict.fromkeys([*first, *schema.fieldNames()])])
+    return by_header(csv_cells(spark.read, path, multi_line, sep), wanted, key)
 
 
 def kept_rows(product: str, operator: str, product_col: str = "PRODUKT_ID",
               operator_col: str = "BETREIBER_ABK") -> Column:
-    """Condition of the source filter; rows with an unknown product or operator fail it."""
-    return F.coalesce((F.col(product_col) == product) & (F.col(operator_col) == operator),
-                      F.lit(False))
+    """Condition of the source filter; both equalities reach the file. It is null, and so not
+    met, where the product or the operator is unknown."""
+    return (F.col(product_col) == product) & (F.col(operator_col) == operator)
 
 
 def with_parsed_times(df: DataFrame, columns: list[str] = TIME_COLUMNS) -> DataFrame:
@@ -67,15 +68,32 @@ def ingest_summary(raw: DataFrame, keep: Column) -> DataFrame:
     )
 
 
-def write_days(events: DataFrame, path: str, day: str = "betriebstag") -> None:
-    """Snappy Parquet, one folder per operating day; only the days present are replaced.
+def write_days(events: DataFrame, path: str, day: str = "betriebstag", load: str | None = None) -> None:
+    """Snappy Parquet, one folder per operating day and load; only the folders present are replaced.
+
+    ``load`` names a column that says where a row comes from, such as its file: loading a file again
+    replaces its rows, and neither a day that comes in two files nor rows without a readable day
+    push out rows of other files. Without it the days present are replaced as a whole, and rows
+    without a day are added to those of earlier calls, under a name of their own.
 
     Rows are brought together by day, but in tasks of about equal size: the adaptive plan
     splits a day that holds far more rows than others and joins small days.
     """
-    (events.hint("rebalance", day)
+    if load is None:
+        load = LOAD
+        own = F.when(F.col(day).isNull(), F.lit(uuid.uuid4().hex)).otherwise(F.lit("-"))
+        events = events.withColumn(load, own)
+    (events.hint("rebalance", day, load)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(day).parquet(path, compression="snappy"))
+     .partitionBy(day, load).parquet(path, compression="snappy"))
+
+
+def read_days(spark: SparkSession, path: str, schema: T.StructType | None = None,
+              load: str = LOAD) -> DataFrame:
+    """The rows written by ``write_days``, without the column of the load."""
+    reader = spark.read if schema is None else spark.read.schema(
+        T.StructType([f for f in schema.fields if f.name != load] + [T.StructField(load, T.StringType())]))
+    return reader.parquet(path).drop(load)
 
 
 def union_days(frames: list[DataFrame]) -> DataFrame:

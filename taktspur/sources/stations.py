@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import STATIONS
+from .tables import CSV
 
 # Transport mode looked for, end date that marks an active record.
 TRANSPORT, OPEN_END = "TRAIN", "9999-12-31"
@@ -37,11 +38,12 @@ def one_per_key(stations: DataFrame, key: str = "number") -> DataFrame:
 
 
 def write_stations_csv(stations: DataFrame, path: str) -> None:
-    stations.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    stations.write.mode("overwrite").options(**CSV).option("header", True).csv(path)
 
 
-def read_stations_csv(spark: SparkSession, path: str, schema=STATIONS) -> DataFrame:
-    return spark.read.schema(schema).option("sep", ";").option("header", True).csv(path)
+def read_stations_csv(spark: SparkSession, path: str, schema=STATIONS, multi_line: bool = False) -> DataFrame:
+    return (spark.read.schema(schema).options(**CSV).option("header", True)
+            .option("multiLine", multi_line).csv(path))
 
 
 def region_list(stations: DataFrame, region: str = "cantonabbreviation") -> DataFrame:

@@ -8,6 +8,40 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+#: Quotes inside a quoted field are doubled, as in files of other programs.
+CSV = {"sep": ";", "quote": '"', "escape": '"'}
+MOST_COLUMNS = 64
+
+
+def csv_cells(reader, path: str | list[str], multi_line: bool = False, sep: str = ";",
+              columns: int = MOST_COLUMNS) -> DataFrame:
+    """Every record of the files, header lines too, as (file, cells) with all values as text.
+
+    ``reader`` is ``spark.read`` or ``spark.readStream``. Cells beyond ``columns`` fail the read.
+    """
+    names = [f"c{i}" for i in range(columns)]
+    raw = (reader.options(**{**CSV, "sep": sep}).option("header", False).option("multiLine", multi_line)
+           .option("mode", "PERMISSIVE").schema(", ".join(f"{n} string" for n in names)).csv(path))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.array(*names).alias("cells"))
+
+
+def by_header(records: DataFrame, schema: T.StructType, key: str, keep_file: str | None = None) -> DataFrame:
+    """Records of files whose headers may differ in order or by columns, matched by name.
+
+    A header is a record that holds the name ``key`` as a value; there is one per file, so the table
+    of headers has a row per file. A column that a file lacks is null in its rows; a file without
+    header is an error. Columns not in the schema are left out.
+    """
+    is_head = F.coalesce(F.array_contains("cells", key), F.lit(False))
+    heads = records.where(is_head).groupBy("file").agg(F.min("cells").alias("head"))
+    rows = records.where(~is_head).join(heads, "file", "left").withColumn(
+        "head", F.when(F.col("head").isNotNull(), F.col("head")).otherwise(
+            F.raise_error(F.concat(F.lit("no header line in "), F.col("file")))))
+    values = [F.get("cells", (F.array_position("head", f.name) - 1).cast("int")).try_cast(f.dataType)
+              .alias(f.name) for f in schema.fields]
+    return rows.select(*values, *([F.col("file").alias(keep_file)] if keep_file else []))
+
+
 def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.lower() for name in df.columns])
 

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.time import hour_floor, parse_time
 from ..schemas import WEATHER, WEATHER_NAMES
-from .tables import lower_names, project_optional
+from .tables import CSV, lower_names, project_optional
 
 
-def read_latin1_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Semicolon file in ISO-8859-1 with a header; all columns as text."""
-    return (spark.read.option("sep", ";").option("header", True)
+def read_latin1_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Semicolon file in ISO-8859-1 with a header; all columns as text, doubled quotes inside quotes."""
+    return (spark.read.options(**CSV).option("header", True).option("multiLine", multi_line)
             .option("encoding", "ISO-8859-1").csv(path))
 
 

@@ -2,32 +2,36 @@
 
 The file source remembers in its checkpoint which files it has read, so each run
 takes the new days and stops. A run that is lost midway is repeated from the
-checkpoint, and a repeated batch replaces the days it had begun to write.
+checkpoint, and a repeated batch replaces the rows it had begun to write.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import RAW_EVENTS
-from ..sources.events import ingest, write_days
+from ..sources.events import LOAD, ingest, write_days
+from ..sources.tables import by_header, csv_cells
 
 
-def new_event_files(spark: SparkSession, folder: str, schema: T.StructType = RAW_EVENTS) -> DataFrame:
-    """Feed files as a stream; a file whose header is not the schema's is an error."""
-    return (spark.readStream.schema(schema).option("sep", ";").option("header", True)
-            .option("enforceSchema", False).csv(folder))
+def new_event_files(spark: SparkSession, folder: str, multi_line: bool = False) -> DataFrame:
+    """The records of feed files as a stream of (file, cells), header lines included."""
+    return csv_cells(spark.readStream, folder, multi_line)
 
 
 def load_new_days(spark: SparkSession, folder: str, table_path: str, checkpoint: str,
-                  product: str, operator: str) -> None:
-    """Ingest every file not seen before into the day-partitioned table, then stop.
+                  product: str, operator: str, schema: T.StructType = RAW_EVENTS,
+                  key: str = "BETRIEBSTAG") -> None:
+    """Ingest every file not seen before into the table by day and file, then stop.
 
-    One file holds one whole operating day, so replacing the days of a batch is safe.
+    Files may differ in their columns. Rows stay with their file: a day that comes in several files,
+    and rows without a readable day, are all kept, and a file loaded again replaces only itself.
     """
 
     def store(batch: DataFrame, _: int) -> None:
-        write_days(ingest(batch, product, operator), table_path)
+        rows = ingest(by_header(batch, schema, key, keep_file=LOAD), product, operator)
+        # The name alone would mix files of two folders.
+        write_days(rows.withColumn(LOAD, F.sha1(LOAD)), table_path, load=LOAD)
 
     query = (new_event_files(spark, folder).writeStream.foreachBatch(store)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -144,3 +144,55 @@ def test_tables_and_parameters(spark, tmp_path):
 def test_union_fills_absent_columns(spark):
     got = ev.union_days([spark.createDataFrame([(1, "a")], "x int, y string"), spark.createDataFrame([(2,)], "x int")])
     assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(1, "a"), (2, None)]
+
+
+def test_rows_without_a_day_outlive_later_loads(spark, tmp_path):
+    path = str(tmp_path / "table")
+    for v in (1.0, 2.0):
+        ev.write_days(spark.createDataFrame([(DAY, v), (None, v)], "betriebstag date, v double"), path)
+    got = ev.read_days(spark, path)
+    assert got.columns == ["v", "betriebstag"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(2.0, DAY), (1.0, None), (2.0, None)], key=str)
+
+
+def test_files_differ_and_share_days(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    table, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    lines = [feed_line(DAY), feed_line(DAY, number="7"), "x" + feed_line(DAY)[1:]]
+    write_day(folder, DAY, lines)
+    load_new_days(spark, str(folder), table, mark, "Zug", "EINS")
+    # The same day again in a second file, columns turned round, one row without a readable day.
+    names = HEADER.split(";")
+    turned = "\n".join(";".join(reversed(line.split(";"))) for line in [HEADER, *lines])
+    (folder / "second.csv").write_text(turned + "\n", encoding="utf-8")
+    load_new_days(spark, str(folder), table, mark, "Zug", "EINS")
+    got = ev.read_days(spark, table)
+    assert got.count() == 6 and got.where("betriebstag is null").count() == 2
+    assert sorted(r.bpuic for r in got.collect()) == [7, 7, 8503000, 8503000, 8503000, 8503000]
+    assert len(names) > 5
+
+
+def test_quotes_are_doubled_in_files(spark, tmp_path):
+    row = (8503000, 'Halt "Nord"; X')
+    df = spark.createDataFrame([row], "number bigint, designationofficial string")
+    st.write_stations_csv(df, str(tmp_path / "s"))
+    text = "".join(p.read_text() for p in (tmp_path / "s").glob("part-*"))
+    assert '"Halt ""Nord""; X"' in text
+    (tmp_path / "w.csv").write_text('a;b\n1;"Halt ""Süd"" X"\n2;"zwei\nZeilen"\n', encoding="latin-1")
+    got = we.read_latin1_csv(spark, str(tmp_path / "w.csv"), multi_line=True).collect()
+    assert [r.b for r in got] == ['Halt "Süd" X', "zwei\nZeilen"]
+
+
+def pushed(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[plan.index("PushedFilters"):].split("]")[0]
+
+
+def test_feed_filter_reaches_the_file(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    spark.createDataFrame([("Zug", "EINS", 1.0)], "p string, o string, v double").write.parquet(path)
+    text = pushed(spark.read.parquet(path).where(ev.kept_rows("Zug", "EINS", "p", "o")))
+    assert "EqualTo(p,Zug)" in text and "EqualTo(o,EINS)" in text
+    from taktspur.operators.regression import complete_rows
+    assert "IsNotNull(v)" in pushed(complete_rows(spark.read.parquet(path), ["v"]))
