@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from taktspur.functions import delay as dl, effect, text as tx, time as tm
 from taktspur.operators import filters as fl, grouped as gr, quality as qu
+from taktspur.schemas import PREPARED
 
 from .registry import query, r, rounded
 from .tables import (CLASS_SQL, clean_events, feature_events, prepared_events, shipments, sql,
@@ -166,24 +167,24 @@ def bonferroni(spark, sf_dir):
     return rounded(share.withColumns(effect.bonferroni_flags("share")))
 
 
-@query("quality_nulls", sql("prep", " UNION ALL ".join(
+@query("quality_nulls", sql_more("prep", """prep_all AS (
+    SELECT *, NULL AS sloid, 'REAL' AS ab_prognose_status, false AS durchfahrt_tf FROM prep)""", " UNION ALL ".join(
     f"""SELECT * FROM (SELECT '{c}' AS "column", count(*) - count({c}) AS missing,
-        {r(f"round_even(100.0 * (count(*) - count({c})) / count(*), 2) AS pct", digits=2)} FROM prep) WHERE missing > 0"""
-    for c in ("linien_text", "weather_abbr", "temperatur_c", "niederschlag_mm", "wind_ms",
-              "feuchte_pct", "sonne_min", "delay_arr_sec", "bpuic"))))
+        {r(f"round_even(100.0 * (count(*) - count({c})) / count(*), 2) AS pct", digits=2)} FROM prep_all) WHERE missing > 0"""
+    for c in PREPARED.fieldNames())))
 def quality_nulls(spark, sf_dir):
-    chosen = prepared_events(spark, sf_dir).select(
-        "linien_text", "weather_abbr", "temperatur_c", "niederschlag_mm", "wind_ms", "feuchte_pct",
-        "sonne_min", "delay_arr_sec", "bpuic")
-    return rounded(qu.null_report(chosen), 2)
+    """All columns of the prepared table; one of them, sloid, is empty throughout."""
+    return rounded(qu.null_report(prepared_events(spark, sf_dir)), 2)
 
 
 @query("quality_duplicates", """
     SELECT cast(sum(n - 1) AS bigint) AS n_duplicates FROM (
-        SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity, l_returnflag, l_shipdate)""")
+        SELECT *, count(*) AS n FROM (
+            SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1) GROUP BY ALL)""")
 def quality_duplicates(spark, sf_dir):
-    return qu.duplicate_rows(table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate"))
+    """All columns of the line items, with the first item of each order in the table twice."""
+    items = table(spark, sf_dir, "lineitem")
+    return qu.duplicate_rows(items.unionByName(items.where("l_linenumber = 1")))
 
 
 @query("duplicate_texts", """

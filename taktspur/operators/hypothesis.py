@@ -12,6 +12,7 @@ from ..functions import dist
 from ..functions.delay import known
 from ..functions.effect import ALPHA, bonferroni_flags
 from ..session import materialized
+from .filters import has_value
 from .joins import split_join
 from .ranks import average_rank, running_totals
 
@@ -74,8 +75,8 @@ def welch_daily_test(df: DataFrame, flag: Column, day: str = "betriebstag",
 
 def mann_whitney(df: DataFrame, flag: Column, value: str = "delay_arr_sec") -> DataFrame:
     """U of the rows without the flag, tie- and continuity-corrected z; without p."""
-    kept = df.select(known(value).alias("value"), flag.alias("flag")).where(
-        F.col("value").isNotNull() & F.col("flag").isNotNull())
+    kept = df.where(has_value(value)).select(F.col(value).cast("double").alias("value"), flag.alias("flag")).where(
+        F.col("flag").isNotNull())
     hist = kept.groupBy("value").agg(
         F.count("*").alias("n"), F.count_if(~F.col("flag")).alias("n_one"))
     ranked = running_totals(hist)
@@ -212,9 +213,9 @@ def spearman(df: DataFrame, columns: list[str], value: str = "delay_arr_sec",
     measures = F.array(*[F.struct(F.lit(c).alias("variable"), known(c).alias("x")) for c in columns])
     # The counted pairs feed several later steps; without the cut each would scan the events.
     pairs = materialized(
-        df.select(known(value).alias("y"), F.explode(measures).alias("m"))
+        df.where(has_value(value)).select(F.col(value).cast("double").alias("y"), F.explode(measures).alias("m"))
         .select("m.variable", "m.x", "y")
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .where(F.col("x").isNotNull())
         .groupBy("variable", "x", "y").agg(F.count("*").alias("n")))
 
     def ranked(side: str) -> DataFrame:

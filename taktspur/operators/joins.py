@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schemas import WEATHER_NAMES
+from ..sources.stations import one_per_key
 
 # Weather points as (abbreviation, latitude, longitude).
 WEATHER_POINTS = [
@@ -28,10 +29,8 @@ WEATHER_POINTS = [
 ]
 KM_PER_DEGREE = 111.0
 
-# Rows of a look-up table up to which it is broadcast: a key and a few short attributes
-# each, so at most about 200 MB. Fifteen years of hourly weather at 15 points fit.
-BROADCAST_ROWS = 2_000_000
-_NULL_SHARES = 1024
+# Parts into which the events of each key, and those without a key, are dealt in a look-up.
+SHARES, KEYLESS_SHARES = 8, 1024
 
 
 def nearest_point(lat: str, lon: str,
@@ -61,33 +60,27 @@ def with_nearest_point(stations: DataFrame, lat: str = "lat", lon: str = "lon",
     })
 
 
-def if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast if it has at most that many rows, else as it is.
-
-    The count is a small job over the table, not over the events. It is taken because
-    Spark's own estimate of a derived table is often far too large, and then all events
-    would be shuffled to meet a few hundred rows.
-    """
-    return F.broadcast(table) if table.count() <= rows else table
-
-
-def lookup(events: DataFrame, table: DataFrame, on: list[str],
-           rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(events: DataFrame, table: DataFrame, on: list[str], shares: int = SHARES,
+           spread: str | None = None) -> DataFrame:
     """Left join of events to a table with one row per key; no match gives nulls.
 
-    A table of at most ``rows`` rows is broadcast and the events stay where they are. A
-    larger one is merged by key: there the adaptive plan splits a hot key into several
-    tasks, and events without a key, which match nothing, are spread by a hash of the row.
+    One plan at every size and no job while it is built: whether the table is broadcast is left to
+    the adaptive plan, which knows its bytes. Where the two are merged by key, the events of a key
+    are dealt into ``shares`` parts by a hash of one column, and the table is repeated as often, so
+    that a hot key is not one task's work. Events without a key match nothing and are dealt into
+    more parts. ``spread`` is that column, by default the first plain one that is no key.
     """
     added = [c for c in table.columns if c not in on]
-    if table.count() <= rows:
-        return events.join(F.broadcast(table), on, "left").select(*events.columns, *added)
+    plain = [f.name for f in events.schema.fields
+             if f.name not in on and not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    spread = spread or (plain[0] if plain else on[0])
     no_key = F.lit(False)
     for key in on:
         no_key = no_key | F.col(key).isNull()
-    share = F.when(no_key, F.pmod(F.xxhash64(*events.columns), F.lit(_NULL_SHARES)) + 1).otherwise(0)
-    joined = events.withColumn("_share", share).join(
-        table.withColumn("_share", F.lit(0).cast("long")), [*on, "_share"], "left")
+    mixed = F.xxhash64(F.col(spread))
+    share = F.when(no_key, F.pmod(mixed, F.lit(KEYLESS_SHARES)) + shares).otherwise(F.pmod(mixed, F.lit(shares)))
+    parts = table.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    joined = events.withColumn("_share", share).join(parts, [*on, "_share"], "left")
     return joined.select(*events.columns, *added)
 
 
@@ -108,8 +101,11 @@ def split_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, shar
 
 def station_lookup(events: DataFrame, stations: DataFrame, attributes: dict[str, str],
                    event_key: str = "bpuic", station_key: str = "number") -> DataFrame:
-    """Station attributes by station number; ``attributes`` maps station column to new name."""
-    table = stations.select(F.col(station_key).alias(event_key),
+    """Station attributes by station number; ``attributes`` maps station column to new name.
+
+    A number with several records counts with the smallest of them, so no event is doubled.
+    """
+    table = one_per_key(stations.select(station_key, *attributes), station_key).select(F.col(station_key).alias(event_key),
                             *[F.col(src).alias(out) for src, out in attributes.items()])
     return lookup(events, table, [event_key])
 

@@ -25,13 +25,21 @@ def null_report(df: DataFrame) -> DataFrame:
             .orderBy(F.desc("missing"), "column"))
 
 
+def _short(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if not isinstance(field.dataType, T.StringType):
+        return column
+    digest = F.concat(F.lit("#"), F.sha2(column, 256), F.char_length(column).cast("string"))
+    return F.when(F.char_length(column) > 64, digest).otherwise(F.concat(F.lit("="), column))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Exact duplicates beyond the first; nulls count as equal.
 
     Copies are combined before the shuffle, so a row repeated millions of times travels once
-    per task.
+    per task. Long texts travel as their SHA-256 and length.
     """
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
+    copies = df.groupBy(*[_short(f) for f in df.schema.fields]).agg(F.count("*").alias("_n"))
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"))
 
 

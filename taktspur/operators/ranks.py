@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.delay import known
 
 def range_bits(df: DataFrame) -> int:
     """Two ranges per shuffle partition of the session, as a power of two from 2**8 to 2**14."""
@@ -21,7 +20,7 @@ def range_bits(df: DataFrame) -> int:
 def value_counts_by(df: DataFrame, value: Column | str, by: list[str] | None = None) -> DataFrame:
     """(by..., value, n): rows per known value and group."""
     value = F.col(value) if isinstance(value, str) else value
-    kept = df.where(known(value).isNotNull()).select(*(by or []), value.cast("double").alias("value"))
+    kept = df.where(value.isNotNull() & ~F.isnan(value.cast("double"))).select(*(by or []), value.cast("double").alias("value"))
     for c in by or []:
         kept = kept.where(F.col(c).isNotNull())
     return kept.groupBy(*(by or []), "value").agg(F.count("*").alias("n"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dist import chi2_p, log_f_upper, log_t_two_sided, t_critical
 from ..functions.delay import known
+from .filters import has_value
 
 _FIT_SCHEMA = (
     "term string, coefficient double, std_error double, t double, p double, ci95_low double, "
@@ -27,8 +28,7 @@ def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows without null or NaN in the listed columns."""
     kinds = dict(df.dtypes)
     for c in columns:
-        value = known(c) if kinds[c] in ("double", "float") else F.col(c)
-        df = df.where(value.isNotNull())
+        df = df.where(has_value(c) if kinds[c] in ("double", "float") else F.col(c).isNotNull())
     return df
 
 
@@ -180,7 +180,10 @@ def breusch_pagan(df: DataFrame, response: str, numeric: list[str],
 
 
 def vif(df: DataFrame, columns: list[str], also_known: list[str] | None = None) -> DataFrame:
-    """Variance inflation per regressor on the matrix without intercept (uncentred R²)."""
+    """Variance inflation per regressor on the matrix without intercept (uncentred R²).
+
+    A regressor that the others determine, or that is always 0, has an infinite factor.
+    """
     used = complete_rows(df, [*columns, *(also_known or [])])
     cells = _moments(used, columns[0], columns[1:], []).where("n > 0")
 
@@ -189,7 +192,16 @@ def vif(df: DataFrame, columns: list[str], also_known: list[str] | None = None)
         m = np.array([row[f"m{i}"] for i in range(k)])
         products = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
         products = products + np.outer(m, m)
-        factor = np.diag(products) * np.diag(np.linalg.inv(products))
+        size = np.sqrt(np.diag(products))
+        scaled = products / np.outer(np.where(size > 0, size, 1), np.where(size > 0, size, 1))
+        factor = []
+        for i in range(k):
+            rest = [j for j in range(k) if j != i and size[j] > 0]
+            # Part of the regressor's length that the others leave over.
+            part = scaled[np.ix_(rest, rest)]
+            fit = np.linalg.lstsq(part, scaled[rest, i], rcond=1e-10)[0] if rest else np.zeros(0)
+            over = 1.0 - float(scaled[i, rest] @ fit) if size[i] > 0 else 0.0
+            factor.append(1.0 / over if over > 1e-10 else math.inf)
         return pd.DataFrame({"term": columns, "vif": factor})
 
     return cells.groupBy(F.lit(0).alias("_all")).applyInPandas(inflate, "term string, vif double")

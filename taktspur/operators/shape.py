@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.delay import LATE_AFTER_SEC, known
+from .filters import has_value
 from .ranks import quantiles, value_counts_by
 
 # Quantiles of the descriptive table.
@@ -40,7 +41,7 @@ def describe(df: DataFrame, value: str = "delay_arr_sec", by: str | None = None,
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Counts in equal bins from the smallest to the largest value; the last bin is closed."""
-    x = df.select(known(value).alias("x")).where(F.col("x").isNotNull())
+    x = df.where(has_value(value)).select(F.col(value).cast("double").alias("x"))
     span = x.agg(F.struct(F.min("x").alias("low"), F.max("x").alias("high")).alias("span"))
     flat = F.col("span.low") == F.col("span.high")
     low = F.when(flat, F.col("span.low") - 0.5).otherwise(F.col("span.low"))

@@ -12,7 +12,6 @@ from ..functions.delay import known
 from ..functions.text import parsed_reply
 from ..functions.time import day_part
 from ..operators.grouped import daily, group_means, top_by
-from ..operators.joins import if_small
 from ..session import materialized
 
 # The causes a reply may name, and prices per million tokens.
@@ -47,7 +46,7 @@ def day_context(prepared: DataFrame, days: DataFrame | None = None, day: str = "
     """
     events = prepared.where(F.col(day).isNotNull())
     if days is not None:
-        events = events.join(if_small(days.select(day).distinct()), day, "left_semi")
+        events = events.join(days.select(day).distinct(), day, "left_semi")
     delay = known("delay_arr_sec")
 
     parts = day_part("hour")

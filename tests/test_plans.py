@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from query_set import tables as stand_in
 from taktspur.operators import grouped as gr, quality as qu
-from taktspur.operators.joins import if_small
 from taktspur.plans import day_labels as dlb, fact_sheet, sql_reports, station_map
 from taktspur.plans.prepared import prepare
 from taktspur.schemas import EVENTS, PREPARED, STATIONS, WEATHER
@@ -224,9 +223,3 @@ def test_empty_tables_go_through_every_operator(spark, prepared):
 def test_ties_go_to_the_smaller_key(spark):
     df = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "k string, v double")
     assert [r.k for r in gr.top_by(df, "v", "k", 2).collect()] == ["c", "a"]
-
-
-def test_size_check_decides_about_broadcast(spark):
-    plan = lambda rows: spark.range(100).join(if_small(spark.range(50), rows), "id")._jdf.queryExecution().toString()
-    assert "broadcast" in plan(50).lower().split("== physical")[0]
-    assert "strategy=broadcast" not in plan(49).lower()

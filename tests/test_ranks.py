@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from taktspur.operators import ranks, shape
-from taktspur.operators.joins import lookup, split_join
+from taktspur.operators.joins import lookup, split_join, station_lookup
 
 
 def skewed(n=6000, seed=3):
@@ -132,11 +132,23 @@ def test_split_join_equals_plain_join(spark):
     assert got.select(*plain.columns).exceptAll(plain).isEmpty()
 
 
-@pytest.mark.parametrize("rows", [0, 1000])
-def test_lookup_keeps_every_event_on_both_ways(spark, rows):
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_lookup_keeps_every_event_on_both_ways(spark, limit):
     events = spark.createDataFrame([(None if i % 4 == 0 else i % 7, i) for i in range(200)], "k int, i int")
     table = spark.createDataFrame([(k, f"s{k}") for k in range(5)], "k int, name string")
-    got = lookup(events, table, ["k"], rows=rows)
-    assert got.columns == ["k", "i", "name"] and got.count() == 200
-    for r in got.collect():
-        assert r.name == (f"s{r.k}" if r.k is not None and r.k < 5 else None)
+    events = events.withColumn("m", F.create_map(F.lit("a"), "i"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = lookup(events, table, ["k"])
+        assert got.columns == ["k", "i", "m", "name"] and got.count() == 200
+        for r in got.collect():
+            assert r.m == {"a": r.i} and r.name == (f"s{r.k}" if r.k is not None and r.k < 5 else None)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_doubled_station_does_not_double_events(spark):
+    events = spark.createDataFrame([(1, 5.0), (2, 6.0), (None, 7.0)], "bpuic int, v double")
+    stations = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "number int, name string")
+    got = station_lookup(events, stations, {"name": "station"}).orderBy("v").collect()
+    assert [(r.bpuic, r.station) for r in got] == [(1, "a"), (2, "c"), (None, None)]

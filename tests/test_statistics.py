@@ -250,3 +250,10 @@ def test_result_rows_hold_all_sections(data):
         "settings", "events", "delay", "test_welch_ttest", "test_anova", "anova_group", "test_pearson",
         "test_spearman", "test_ols", "top_station", "type_count", "data_range"}
     assert all(r.body.startswith("{") for r in rows)
+
+
+def test_vif_of_dependent_columns_is_infinite(spark):
+    rows = [(float(i), 2.0 * i, float(i * i % 7), 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, z double")
+    got = {r.term: r.vif for r in rg.vif(df, ["a", "b", "c", "z"]).collect()}
+    assert got["a"] == got["b"] == got["z"] == float("inf") and 1 <= got["c"] < 100
