@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.delay import known, seconds_between
 from ..functions.time import parse_time
 from ..schemas import RAW_EVENTS
-from .tables import CSV, by_header, csv_cells, lower_names
+from .tables import CSV, csv_headers, lower_names
 
 #: Partition column that keeps the rows of one load together.
 LOAD = "ladung"
@@ -18,16 +18,25 @@ TIME_COLUMNS = ["BETRIEBSTAG", "ANKUNFTSZEIT", "AN_PROGNOSE", "ABFAHRTSZEIT", "A
 
 
 def read_event_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_EVENTS,
-                   sep: str = ";", multi_line: bool = False, key: str = "BETRIEBSTAG") -> DataFrame:
+                   sep: str = ";", multi_line: bool = False) -> DataFrame:
     """Feed files with a header line each; columns are matched by name to the fixed types.
 
-    Files may differ in the order of their columns or lack some, which are null then. Columns
-    beyond the schema are kept as text as far as the first file has them.
+    Files are grouped by header and the groups united by name: the order of columns may differ, a
+    column that a file lacks is null there, and columns beyond the schema are kept as text.
     """
-    first = spark.read.options(**{**CSV, "sep": sep}).option("header", True).csv(path).columns
-    wanted = T.StructType([next((f for f in schema.fields if f.name == name), T.StructField(name, T.StringType()))
-                           for name in dict.fromkeys([*first, *schema.fieldNames()])])
-    return by_header(csv_cells(spark.read, path, multi_line, sep), wanted, key)
+    kinds = {f.name: f.dataType for f in schema.fields}
+    groups = []
+    for names, files in csv_headers(spark, path, sep).items():
+        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = (spark.read.options(**{**CSV, "sep": sep}).option("header", True).option("multiLine", multi_line)
+               .schema(text).csv(files))
+        groups.append(raw.select(*[
+            F.col(f"`{n}`").try_cast(kinds[n]).alias(n) if n in kinds else F.col(f"`{n}`") for n in names]))
+    if not groups:
+        return spark.createDataFrame([], schema)
+    united = union_days(groups)
+    absent = [f for f in schema.fields if f.name not in united.columns]
+    return united.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
 
 
 def kept_rows(product: str, operator: str, product_col: str = "PRODUKT_ID",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,29 @@ CSV = {"sep": ";", "quote": '"', "escape": '"'}
 MOST_COLUMNS = 64
 
 
+def csv_headers(spark: SparkSession, path: str | list[str], sep: str = ";",
+                encoding: str = "UTF-8") -> dict[tuple[str, ...], list[str]]:
+    """Files by the names in their first line; files without a line are left out.
+
+    Reads one line per file through the file system of the path, whatever that is.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+            text = codec.createInputStream(stream) if codec else stream
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, encoding)).readLine()
+        finally:
+            stream.close()
+        if line:
+            names = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep))
+            found.setdefault(tuple(names), []).append(file)
+    return found
+
+
 def csv_cells(reader, path: str | list[str], multi_line: bool = False, sep: str = ";",
               columns: int = MOST_COLUMNS) -> DataFrame:
     """Every record of the files, header lines too, as (file, cells) with all values as text.
