@@ -155,6 +155,23 @@ def fact_lines(spark, sf_dir):
     return rounded(lines)
 
 
+@query("fact_sheet_text", sql_more("prep", _FACTS, f"""
+    SELECT string_agg(line, chr(10) ORDER BY section_no, place, key) AS text FROM (
+        SELECT key, list_position([{_SECTION_LIST}], section) AS section_no,
+               CASE section WHEN 'hour' THEN try_cast(key AS double) WHEN 'type' THEN value
+                    WHEN 'asked_station' THEN -n WHEN 'worst_station' THEN -value ELSE 0 END AS place,
+               concat(section, ' | ', key, ': ',
+                      CASE WHEN section IN ('hour', 'period') THEN format('{{:,.0f}}', cast(value AS double))
+                           WHEN key = 'pct_late' THEN format('{{:,.2f}}', cast(value AS double))
+                           ELSE format('{{:,.1f}}', cast(value AS double)) END,
+                      CASE WHEN n IS NULL THEN '' ELSE concat(' (n=', replace(format('{{:,}}', cast(n AS bigint)), ',', ''''), ')') END) AS line
+        FROM (SELECT section, CASE WHEN section = 'hour' THEN try_cast(key AS int)::varchar ELSE key END AS key, value, n
+              FROM facts))"""))
+def fact_text(spark, sf_dir):
+    """The same as one text."""
+    return fact_sheet.fact_text(fact_sheet.fact_rows(prepared_events(spark, sf_dir), QUESTION, min_worst=40))
+
+
 @query("daily", sql("feat", f"""
     SELECT betriebstag, count(*) AS n_halte, {r("avg(delay_arr_sec) AS mean_delay",
            "100.0 * count(*) FILTER (is_late_3min) / count(*) AS pct_late_3min")} FROM feat GROUP BY betriebstag"""))

@@ -133,14 +133,39 @@ def fact_rows(df: DataFrame, question: str, reasons: DataFrame | None = None,
     return reduce(DataFrame.unionAll, parts)
 
 
+def _section_no() -> Column:
+    return F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
+
+
+def _place() -> Column:
+    return (F.when(F.col("section") == "hour", F.col("key").cast("double"))
+            .when(F.col("section") == "type", F.col("value"))
+            .when(F.col("section") == "asked_station", -F.col("n"))
+            .when(F.col("section").isin("worst_station", "worst_day"), -F.col("value"))
+            .otherwise(F.lit(0.0)))
+
+
+def fact_text(facts: DataFrame) -> DataFrame:
+    """The whole sheet as one text: late share to two decimals, hours in whole seconds, others to one.
+
+    The facts are a sheet of some fifty rows whatever the number of events.
+    """
+    value = (F.when(F.col("section").isin("hour", "period"), F.format_number("value", 0))
+             .when(F.col("key") == "pct_late", F.format_number("value", 2))
+             .otherwise(F.format_number("value", 1)))
+    line = F.concat(F.col("section"), F.lit(" | "), F.coalesce("key", F.lit("-")), F.lit(": "),
+                    F.coalesce(value, F.lit("-")),
+                    F.when(F.col("n").isNotNull(), F.concat(F.lit(" (n="), swiss_number("n"), F.lit(")")))
+                    .otherwise(F.lit("")))
+    rows = F.array_sort(F.collect_list(F.struct(
+        _section_no().alias("a"), F.coalesce(_place(), F.lit(0.0)).alias("b"), F.col("key").alias("c"),
+        line.alias("line"))))
+    return facts.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
+
+
 def fact_lines(facts: DataFrame) -> DataFrame:
     """The sheet as text, one line per fact, in reading order."""
-    section_no = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
-    place = (F.when(F.col("section") == "hour", F.col("key").cast("double"))
-             .when(F.col("section") == "type", F.col("value"))
-             .when(F.col("section") == "asked_station", -F.col("n"))
-             .when(F.col("section").isin("worst_station", "worst_day"), -F.col("value"))
-             .otherwise(F.lit(0.0)))
+    section_no, place = _section_no(), _place()
     shown = F.concat(F.col("key"), F.lit(": "), F.format_number("value", 1),
                      F.when(F.col("n").isNotNull(), F.concat(F.lit(" (n="), swiss_number("n"), F.lit(")")))
                      .otherwise(F.lit("")))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.filters import in_regions
 from ..operators.grouped import pct, top_by
-from ..operators.ranks import quantiles
 
 
 def station_table(events: DataFrame, stations: DataFrame, regions: list[str] | None = None,
@@ -41,7 +40,9 @@ def map_scale(table: DataFrame, min_delay: float = 0) -> DataFrame:
     The scale runs from the 5th to the 95th percentile of all stations, before the
     threshold; its position is held inside [0, 1].
     """
-    ends = quantiles(table, "mean_delay", {"low": 0.05, "high": 0.95})
+    # One row per station, and equal means are counted together before they travel.
+    ends = table.agg(F.percentile("mean_delay", F.array(F.lit(0.05), F.lit(0.95))).alias("e")).select(
+        F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
     ends = ends.select(F.struct("low", F.when(F.col("high") <= F.col("low"), F.col("low") + 1)
                                 .otherwise(F.col("high")).alias("high")))
     low, high = F.col("_ends.low"), F.col("_ends.high")
