@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import (BASE, ascii_lower, byte_slices, mix, prefix_hash, span_hash, stored,
                      word_spans)
@@ -15,9 +15,14 @@ from .graph import components
 SHINGLE = 5
 #: 42 bands of 3: a pair at similarity 0.75 is missed with probability (1 - 0.75**3)**42 = 1e-10.
 BANDS, ROWS = 42, 3
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
+#: Samples and bits of the sketches of all classes, and of the sharper ones of the last round. An estimate
+#: at 0.75 has a deviation of 0.039 or 0.0135; pairs estimated to lie further below the threshold
+#: than the margin, five and a half to six deviations, are let go.
+SAMPLES, SKETCH_BITS, MARGIN = BANDS * ROWS, 512, 0.25
+SHARP_SAMPLES, SHARP_BITS, SHARP_MARGIN = 1024, 4096, 0.075
 BLOCK = 2048
+#: Classes with which a class is compared in each of the first two rounds; the third has no such bound.
+LEADS = 3
 
 
 def text_sets(column: pa.Array) -> list[np.ndarray]:
@@ -54,33 +59,34 @@ def set_number(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    odd = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
-    least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), BLOCK):
-        np.minimum(least, (hashes[k:k + BLOCK, None] * odd).min(0), out=least)
+def min_hashes(hashes: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    odd = mix(np.arange(1, samples + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(samples, np.iinfo(np.uint64).max, np.uint64)
+    block = max(1, BLOCK * SAMPLES // samples)
+    for k in range(0, len(hashes), block):
+        np.minimum(least, (hashes[k:k + block, None] * odd).min(0), out=least)
     return mix(least)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS)
+    rows = least[:BANDS * ROWS].reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = key * BASE + rows[:, k]
     return mix(key).view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """512 parity bits: sample i flips the bit chosen by its number and its minimum."""
-    at = mix(least + np.arange(SAMPLES, dtype=np.uint64) * BASE) >> np.uint64(64 - 9)
-    bits = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+def odd_sketch(least: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
+    """Parity bits: sample i flips the bit chosen by its number and its minimum."""
+    at = mix(least + np.arange(len(least), dtype=np.uint64) * BASE) % np.uint64(size)
+    bits = (np.bincount(at.astype(np.int64), minlength=size) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
 
-def most_differing_bits(similarity: float) -> int:
+def most_differing_bits(similarity: float, samples: int = SAMPLES, size: int = SKETCH_BITS) -> int:
     """Expected differing sketch bits at a similarity: a pair with more is below it."""
-    differing = 2 * SAMPLES * (1 - similarity)
-    return int(np.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** differing)))
+    differing = 2 * samples * (1 - similarity)
+    return int(np.ceil(size / 2 * (1 - (1 - 2 / size) ** differing)))
 
 
 def signature_column(text: Column) -> Column:
@@ -119,8 +125,17 @@ def set_column(text: Column) -> Column:
     return sets(text)
 
 
-def _sketches_near(a: str, b: str, most: int) -> Column:
-    bits = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_BITS // 64))
+def sharp_sketch_column(hashes: Column) -> Column:
+    @F.arrow_udf("array<long>")
+    def sketches(sets: pa.Array) -> pa.Array:
+        rows = (np.array(s, np.int64).view(np.uint64) for s in sets.to_pylist())
+        return pa.array([odd_sketch(min_hashes(h, SHARP_SAMPLES), SHARP_BITS) for h in rows],
+                        pa.list_(pa.int64()))
+    return sketches(hashes)
+
+
+def _sketches_near(a: str, b: str, most: int, size: int = SKETCH_BITS) -> Column:
+    bits = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(size // 64))
     return F.expr(f"{bits} <= {most}")
 
 
@@ -132,17 +147,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(f"100 * shared >= {percent} * (size(x) + size(y) - shared)").select("a", "b")
 
 
+def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(cid, root) after the links (a, b) have joined the components of ``roots``."""
+    edges = (links.join(roots.toDF("a", "p"), "a").join(roots.toDF("b", "q"), "b")
+             .select(F.col("p").alias("a"), F.col("q").alias("b")))
+    return stored(roots.join(components(edges).toDF("root", "top"), "root", "left")
+                  .select("cid", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def _several_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, cid, root, main) of the buckets with several components; main is the largest there."""
+    rooted = members.select("key", "cid").join(roots, "cid")
+    keys = (rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
+            .agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
+            .where("roots > 1").drop("roots"))
+    return rooted.join(keys, "key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     percent: int = 75) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reached over links), kept.
 
     Texts with equal shingle sets form one class, so copies are one node. Classes that share a band
-    meet in a bucket. First every class of a bucket is compared with the smallest one there; then,
-    in buckets that still hold several components, each class outside the largest one is compared
-    with the classes of other components. So a bucket whose classes are all alike costs one
-    comparison a class, and still no pair of a bucket that could join two components is left out. A pair
-    goes on to its full sets unless its odd sketches differ in more bits than expected at a
-    similarity 0.25 lower, six standard deviations of the estimate.
+    meet in a bucket. A pair goes on to its full sets unless its odd sketches differ in more bits
+    than expected at a similarity well below the threshold. Buckets
+    are worked off in three rounds, each only where a bucket still holds several components:
+
+    1. Each class is compared with the smallest classes of its buckets, the three of them with
+       which it shares most buckets.
+    2. The same with the most central classes: of all shingles of classes in such buckets
+       those that occur in one class alone cannot be shared, and the class of a bucket with
+       the smallest part of them is nearest to all others.
+    3. Each class outside the bucket's largest component is compared with the classes of other
+       components, as far as the shingles that either could share at all reach the threshold. That
+       bound is exact, so no link between components is left out.
+
+    So a bucket of thousands of near copies costs a few comparisons a class. Only classes that
+    stay near the threshold without reaching it are compared with many others.
 
     Texts without words (null too) have an empty set and link with nothing. Rows with a null id
     link with nothing either, get a null component and are kept. Rows of one id share their
@@ -154,9 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     "signatures")
     classes = stored(
         signed.where("cid is not null and id is not null").groupBy("cid")
-        .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "classes")
-    most = most_differing_bits(percent / 100 - 0.25)
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+             F.first("sketch").alias("sketch")), "classes")
+    most = most_differing_bits(percent / 100 - MARGIN)
 
     rows = classes.select("cid", F.explode("bands").alias("key"))
     buckets = (rows.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last"))
@@ -164,41 +205,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(rows.join(buckets, "key"), "members")
 
     # Full sets of the classes that meet another one, from the texts of their smallest ids.
-    needed = members.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
+    met = members.select("cid").distinct()
+    needed = met.join(classes.select("cid", "rep"), "cid")
     sets = stored(
         texts.join(needed, F.col("id") == F.col("rep")).select("cid", set_column(F.col("text")).alias("s"))
         .select("cid", "s.*").where("cid = own").select("cid", "hashes").dropDuplicates(["cid"]), "sets")
-
     sketches = classes.select("cid", "sketch")
-    stars = members.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct()
-    near = (stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
-            .where(_sketches_near("x", "y", most)).select("a", "b"))
-    roots = components(_confirmed(near, sets, percent))
-
-    rooted = (members.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-              .select("key", "cid", F.coalesce("root", "cid").alias("root")))
-    mixed = stored(
-        rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
-        .agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
-        .where("roots > 1").drop("roots"), "mixed")
-    open_rows = stored(rooted.join(mixed, "key").join(sketches, "cid"), "open")
-    outside = open_rows.where("root <> main").select(
-        "key", F.col("cid").alias("a"), F.col("root").alias("p"), F.col("sketch").alias("x"))
-    others = open_rows.select(
-        "key", F.col("cid").alias("b"), F.col("root").alias("q"), "main", F.col("sketch").alias("y"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        order = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+        first = (pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+                 .withColumn("nth", F.row_number().over(order)).where(f"nth <= {LEADS}").select("a", "b"))
+        near = (first.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
+                .where(_sketches_near("x", "y", most)).select("a", "b"))
+        return _confirmed(near, sets, percent)
+
+    stars = members.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b"))
+    roots = _united(met.select("cid", F.col("cid").alias("root")), linked(stars))
+
+    open_rows = _several_roots(members, roots)
+    alone = (sets.join(open_rows.select("cid").distinct(), "cid").select("cid", F.explode("hashes").alias("t"))
+             .groupBy("t").agg(F.count("*").alias("k"), F.min("cid").alias("cid")).where("k = 1")
+             .groupBy("cid").agg(F.count("*").alias("alone")))
+    # ``common``: shingles that another class of these buckets has too.
+    able = (open_rows.select("cid").distinct().join(classes.select("cid", "n"), "cid").join(alone, "cid", "left")
+            .select("cid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+            .where(f"100 * common >= {percent} * n"))
+    open_rows = stored(open_rows.select("key", "cid", "root").join(able, "cid"), "open")
+    central = open_rows.groupBy("key").agg(
+        F.max_by(F.struct("cid", "root"), F.struct(F.col("common") / F.col("n"), "n", "cid")).alias("lead"))
+    stars = (open_rows.select("key", "cid", "root").join(central, "key").where("root <> lead.root")
+             .select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")))
+    roots = _united(roots, linked(stars))
+
+    left = stored(_several_roots(open_rows, roots).join(open_rows.select("key", "cid", "n", "common"), ["key", "cid"]),
+                  "left")
+    sharp = stored(left.groupBy("cid").agg(F.collect_set("key").alias("keys")).join(sets, "cid")
+                   .select("cid", "keys", sharp_sketch_column(F.col("hashes")).alias("sharp")), "sharp")
+    left = left.join(sharp, "cid").join(sketches, "cid")
+    kept = ("cid", "root", "n", "common", "sketch", "sharp", "keys")
+    outside = left.where("root <> main").select("key", *[F.col(c).alias(f"{c}1") for c in kept])
+    others = left.select("key", "main", *[F.col(c).alias(f"{c}2") for c in kept])
+    most_sharp = most_differing_bits(percent / 100 - SHARP_MARGIN, SHARP_SAMPLES, SHARP_BITS)
+    most_shared = F.least("common1", "common2")
     pairs = (outside.join(others, "key")
-             .where((F.col("p") != F.col("q")) & ((F.col("q") == F.col("main")) | (F.col("a") < F.col("b")))
-                    & _sketches_near("x", "y", most))
-             .select("a", "b").distinct())
-    label = roots.select(F.col("node"), "root")
-    late = (_confirmed(pairs, sets, percent)
-            .join(label.toDF("a", "p"), "a", "left").join(label.toDF("b", "q"), "b", "left")
-            .select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")))
-    joined = components(late)
-
-    final = (classes.select("cid", "rep").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-             .select("cid", "rep", F.coalesce("root", "cid").alias("node"))
-             .join(joined, "node", "left").select("cid", "rep", F.coalesce("root", "node").alias("root")))
+             .where((F.col("root1") != F.col("root2"))
+                    & ((F.col("root2") == F.col("main")) | (F.col("cid1") < F.col("cid2")))
+                    & (100 * most_shared >= percent * (F.col("n1") + F.col("n2") - most_shared))
+                    & _sketches_near("sketch1", "sketch2", most)
+                    & _sketches_near("sharp1", "sharp2", most_sharp, SHARP_BITS)
+                    # A pair that meets in several buckets is taken in one of them.
+                    & (F.col("key") == F.array_min(F.array_intersect("keys1", "keys2"))))
+             .select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct())
+    roots = _united(roots, _confirmed(pairs, sets, percent))
+
+    final = (classes.select("cid", "rep").join(roots, "cid", "left")
+             .select("cid", "rep", F.coalesce("root", "cid").alias("root")))
     smallest = final.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = final.join(smallest, "root").select("cid", "component_id")
     return (signed.select("id", "n", "cid").join(named, "cid", "left")
