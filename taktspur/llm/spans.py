@@ -15,11 +15,11 @@ from .common import byte_slices, mix, prefix_hash, span_hash, with_small_batches
 WINDOW = 50
 GRAM = 20
 #: Text bytes of a block, and of all texts for each bucket.
-BLOCK_BYTES = 16 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 LEAST_BUCKET_BITS = 6
 #: A stretch holds at most so many windows, so the construction has a fixed number of rounds.
-STRETCH_WINDOWS = 64
+STRETCH_WINDOWS = 32
 #: Anchors found in more blocks are looked at window by window, spread over all buckets.
 HOT_BLOCKS = 1024
 LENGTH_MIX = np.uint64(0xA24BAED4963EE407)
@@ -40,7 +40,7 @@ def stretches(texts: pa.Array, window: int):
     """Per slice: (first row, bytes, prefix hashes, row, first window, windows, anchor) of all stretches.
 
     The anchor of a window is the least hash of the grams in it, so equal windows have equal anchors. A
-    stretch is a run of windows of one text with one anchor, cut after 64 windows.
+    stretch is a run of windows of one text with one anchor, cut after 32 windows.
     """
     gram = min(GRAM, window)
     for low, _, data, offsets in byte_slices(texts):
@@ -240,25 +240,27 @@ def sorted_suffixes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple
     """
     n, length = len(offsets) - 1, np.diff(offsets)
     first, last = offsets[:-1], offsets[1:]
-    # Bytes are kept plus one; 0 stands before a whole string, and its suffix is not extended.
-    front = np.where(length > 0, data[np.maximum(last, 1) - 1].astype(np.uint16) + 1, 0).astype(np.uint16)
-    where = last.copy()
+    # Bytes are kept plus one (UTF-8 has no byte 255); 0 stands before a whole string, and its
+    # suffix is not extended.
+    front = np.where(length > 0, data[np.maximum(last, 1) - 1] + np.uint8(1), 0).astype(np.uint8)
+    place = np.int32 if len(data) + n < 2**31 else np.int64
+    where = last.astype(place)
     fresh, owner = np.arange(n), np.arange(n)
     for r in range(1, int(length.max(initial=0)) + 1):
         going = length[owner] >= r
         fresh, owner = fresh[going], owner[going]
         order = np.argsort(front, kind="stable")
         ended = int(np.searchsorted(front[order], 1))
-        rank = np.empty(len(front), np.int64)
-        rank[order] = np.arange(len(front)) - ended + n
+        rank = np.empty(len(front), place)
+        rank[order] = np.arange(n - ended, n - ended + len(front), dtype=place)
         places = rank[fresh]
         turn = np.argsort(places)
         places, owner = places[turn], owner[turn]
         start = last[owner] - r
-        before = np.where(length[owner] > r, data[np.maximum(start, 1) - 1].astype(np.uint16) + 1, 0)
+        before = np.where(length[owner] > r, data[np.maximum(start, 1) - 1] + np.uint8(1), 0)
         new = np.zeros(len(front) + len(places), bool)
         new[places] = True
-        grown, moved = np.empty(len(new), np.uint16), np.empty(len(new), np.int64)
+        grown, moved = np.empty(len(new), np.uint8), np.empty(len(new), place)
         grown[new], grown[~new] = before, front
         moved[new], moved[~new] = start, where
         front, where, fresh = grown, moved, places
