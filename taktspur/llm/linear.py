@@ -151,3 +151,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features, pe
     ids, y = rows["id"].to_pylist(), np.array(rows["y"].to_pylist(), float)
     return ([flat[offsets[i]:offsets[i + 1]] for i in order], y[order], [ids[i] for i in order],
             counts.get(1, 0), counts.get(0, 0))
+
+
+def common_features(rows: list[np.ndarray], least_rows: int) -> list[np.ndarray]:
+    """The rows with only the features that ``least_rows`` of them have; the collected ones can go then."""
+    seen = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        seen[r] += 1
+    kept = seen >= least_rows
+    out = [r[kept[r]] for r in rows]
+    rows.clear()
+    pa.default_memory_pool().release_unused()
+    return out

@@ -66,7 +66,7 @@ def platt(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float,
     return float(a), float(b)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000,
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1000,
                 least_rows: int = 5, l2: float = 1e-5, steps: int = 200) -> LinearModel:
     """Fit on at most ``per_class`` labelled documents of each class, a fifth of them (by a hash of the id)
     kept for calibration.

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import as_texts
-from .linear import BITS, LinearModel, code_points, constant_model, fit, hashed_ngrams, labelled_sample
+from .linear import (BITS, LinearModel, code_points, common_features, constant_model, fit, hashed_ngrams,
+                     labelled_sample)
 
 SIZES = (4, 5, 6)
 GROUP = 64
@@ -31,7 +32,7 @@ def feature_column(text: str) -> Column:
     return numbers(F.col(text))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000,
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1000,
                  usable=None, smoothing: float = 2.0, least_ratio: float = 2.0,
                  least_rows: int = 5, l2: float = 1e-7, steps: int = 300) -> LinearModel:
     """Fit on at most ``per_class`` labelled documents of each class (see ``labelled_sample``).
@@ -45,6 +46,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
         docs, labels, label, feature_column, per_class, usable)
     if not len(y) or y.min() == y.max():
         return constant_model(positives, negatives)
+    rows = common_features(rows, least_rows)
     size = 1 << BITS
     there = np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == 1]), minlength=size)
     absent = np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == 0]), minlength=size)
