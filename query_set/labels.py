@@ -161,9 +161,9 @@ def fact_lines(spark, sf_dir):
                CASE section WHEN 'hour' THEN try_cast(key AS double) WHEN 'type' THEN value
                     WHEN 'asked_station' THEN -n WHEN 'worst_station' THEN -value ELSE 0 END AS place,
                concat(section, ' | ', key, ': ',
-                      CASE WHEN section IN ('hour', 'period') THEN format('{{:,.0f}}', cast(value AS double))
-                           WHEN key = 'pct_late' THEN format('{{:,.2f}}', cast(value AS double))
-                           ELSE format('{{:,.1f}}', cast(value AS double)) END,
+                      CASE WHEN section IN ('hour', 'period') THEN format('{{:,.0f}}', round_even(round(cast(value AS double), 6), 0))
+                           WHEN key = 'pct_late' THEN format('{{:,.2f}}', round_even(round(cast(value AS double), 6), 2))
+                           ELSE format('{{:,.1f}}', round_even(round(cast(value AS double), 6), 1)) END,
                       CASE WHEN n IS NULL THEN '' ELSE concat(' (n=', replace(format('{{:,}}', cast(n AS bigint)), ',', ''''), ')') END) AS line
         FROM (SELECT section, CASE WHEN section = 'hour' THEN try_cast(key AS int)::varchar ELSE key END AS key, value, n
               FROM facts))"""))

@@ -150,9 +150,12 @@ def fact_text(facts: DataFrame) -> DataFrame:
 
     The facts are a sheet of some fifty rows whatever the number of events.
     """
-    value = (F.when(F.col("section").isin("hour", "period"), F.format_number("value", 0))
-             .when(F.col("key") == "pct_late", F.format_number("value", 2))
-             .otherwise(F.format_number("value", 1)))
+    # Rounded first, so that the last bits of a mean cannot turn a half up or down.
+    def shown(digits: int) -> Column:
+        return F.format_number(F.bround(F.round("value", 6), digits), digits)
+
+    value = (F.when(F.col("section").isin("hour", "period"), shown(0))
+             .when(F.col("key") == "pct_late", shown(2)).otherwise(shown(1)))
     line = F.concat(F.col("section"), F.lit(" | "), F.coalesce("key", F.lit("-")), F.lit(": "),
                     F.coalesce(value, F.lit("-")),
                     F.when(F.col("n").isNotNull(), F.concat(F.lit(" (n="), swiss_number("n"), F.lit(")")))

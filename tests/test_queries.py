@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from query_set import ORACLE, QUERIES
 from tools.check_oracle import TABLES, compare
 
 # Queries that end in a tail probability or a fit on a handful of rows, or that call the
@@ -33,12 +34,12 @@ def ducks(sf_dir):
     return {False: (sf_dir, views(sf_dir)), True: (larger, views(larger))}
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, ducks, name):
     sf_dir, duck = ducks[name in NEED_ROWS]
-    df = queries()[name](spark, sf_dir)
-    if name in oracle_sql():
-        result = compare(df, duck.execute(oracle_sql()[name]))
+    df = QUERIES[name](spark, sf_dir)
+    if name in ORACLE:
+        result = compare(df, duck.execute(ORACLE[name]))
         assert result.startswith("ok"), result
     else:
         df.collect()
@@ -49,8 +50,8 @@ def test_query(spark, ducks, name):
 
 
 def test_every_sql_has_its_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"prompt_rows", "results_json"}
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == {"prompt_rows", "results_json"}
 
 
 def test_entry(spark, sf_dir):
@@ -58,7 +59,7 @@ def test_entry(spark, sf_dir):
 
 
 def executed(spark, sf_dir, name):
-    df = queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
 
