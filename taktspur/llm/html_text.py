@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.joins import lookup
 from .common import as_texts, stored
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)"
@@ -36,6 +37,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 #: What the containers say about a line.
 OPEN, MAIN, ARTICLE, AWAY = 0, 1, 2, 3
+#: A shared line inside an article is furniture if this part of the pages of its host share it, and
+#: the host has so many pages; fewer may as well be articles that quote one another.
+FURNITURE_SHARE, FURNITURE_PAGES = 0.9, 5
 
 
 def container_state(name: str, attributes: str, outer: int) -> int:
@@ -113,16 +117,18 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
 
 
 def settled(states: list[int]) -> np.ndarray:
-    """Per line: 1 kept, -1 gone, 0 open to the comparison with other pages.
+    """Per line: what its container says beside the comparison with other pages.
 
-    Inside the article (or else the main part) lines stay even if other pages have them too; in
-    menus, footers and the like they go even if no other page has them.
+    1: inside the article (or else the main part), kept unless the whole host has it; -1: in a menu, footer
+    and the like, gone even if no other page has it; 0: gone if a neighbour has it.
     """
     s = np.array(states, np.int8)
+    out = np.where(s == AWAY, -1, 0).astype(np.int8)
     for inside in (ARTICLE, MAIN):
         if (s == inside).any():
-            return np.where(s == inside, 1, -1).astype(np.int8)
-    return np.where(s == AWAY, -1, 0).astype(np.int8)
+            out[s == inside] = 1
+            break
+    return out
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -156,17 +162,18 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 
 
 def line_column(page: Column) -> Column:
-    @F.arrow_udf("hashes array<long>, open boolean")
+    @F.arrow_udf("hashes array<long>, verdicts array<tinyint>")
     def line_hashes(pages: pa.Array) -> pa.Array:
         import xxhash
 
-        hashes, is_open = [], []
+        hashes, verdicts = [], []
         for page in as_texts(pages):
             lines, states = page_lines(page)
             hashes.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in lines])
-            is_open.append(bool((settled(states) == 0).any()) if states else False)
+            verdicts.append(settled(states).tolist())
         return pa.StructArray.from_arrays(
-            [pa.array(hashes, pa.list_(pa.int64())), pa.array(is_open, pa.bool_())], ["hashes", "open"])
+            [pa.array(hashes, pa.list_(pa.int64())), pa.array(verdicts, pa.list_(pa.int8()))],
+            ["hashes", "verdicts"])
     return line_hashes(page)
 
 
@@ -186,19 +193,31 @@ def shared_column(own: Column, before: Column, after: Column) -> Column:
     return shared(own, before, after)
 
 
-def text_column(page: Column, shared: Column) -> Column:
+def gone_column(hashes: Column, verdicts: Column, shared: Column, furniture: Column) -> Column:
+    """Numbers of the shared lines that go: the open ones, and those inside that are furniture of the host."""
+    @F.arrow_udf("array<int>")
+    def gone(hashes: pa.Array, verdicts: pa.Array, shared: pa.Array, furniture: pa.Array) -> pa.Array:
+        out = []
+        for lines, verdict, found, common in zip(hashes.to_pylist(), verdicts.to_pylist(), shared.to_pylist(),
+                                                 furniture.to_pylist()):
+            common = frozenset(common or ())
+            out.append([k for k in found or () if verdict[k] == 0 or verdict[k] == 1 and lines[k] in common])
+        return pa.array(out, pa.list_(pa.int32()))
+    return gone(hashes, verdicts, shared, furniture)
+
+
+def text_column(page: Column, gone: Column) -> Column:
     @F.arrow_udf("string")
-    def texts(pages: pa.Array, shared: pa.Array) -> pa.Array:
+    def texts(pages: pa.Array, gone: pa.Array) -> pa.Array:
         out = []
-        for page, gone in zip(as_texts(pages), shared.to_pylist()):
+        for page, numbers in zip(as_texts(pages), gone.to_pylist()):
             lines, states = page_lines(page)
             verdict = settled(states)
-            if gone:
-                gone = [k for k in gone if verdict[k] == 0]
-                verdict[gone] = -1
+            if numbers:
+                verdict[numbers] = -1
             out.append("\n".join(t for t, v in zip(lines, verdict) if v >= 0))
         return pa.array(out, pa.string())
-    return texts(page, shared)
+    return texts(page, gone)
 
 
 def url_parts(url: str = "url") -> tuple[Column, Column]:
@@ -229,16 +248,29 @@ def _numbered(rows: DataFrame) -> DataFrame:
             .withColumn("place", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "before"))
 
 
+def _furniture(found: DataFrame, placed: DataFrame) -> DataFrame:
+    """For each host the hashes of the shared lines that (nearly) all its pages have, as ``furniture``."""
+    pages = placed.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = (found.select("host", F.explode(F.expr("array_distinct(transform(shared, k -> hashes[k]))")).alias("line"))
+               .groupBy("host", "line").agg(F.count("*").alias("n"))
+               .where(F.col("n") >= FURNITURE_SHARE * FURNITURE_PAGES))
+    # Every page of the host has nearly all of these lines, so there are no more of them than in a page.
+    return (lookup(counted, pages, ["host"], spread="line")
+            .where((F.col("pages") >= FURNITURE_PAGES) & (F.col("n") >= FURNITURE_SHARE * F.col("pages")))
+            .groupBy("host").agg(F.collect_list("line").alias("furniture")))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                  html_col: str = "html") -> DataFrame:
     """One row per input row: id, url, text (lines joined by a line feed).
 
     Pages are sorted by host and path; each is compared with the pages before and after it on its
     host. Text lines (one per block) are aligned by a longest common subsequence, and lines that a page
-    shares with a neighbour are deleted. Containers then correct this where they speak clearly: lines
-    inside an article (or else a main part) stay, since articles may quote one another; lines in
-    menus, headers, footers, sidebars, notices, adverts, forms and reader comments go, since the
-    page next door may lack them. A neighbour with the same lines is a copy and not used.
+    shares with a neighbour are deleted. Containers then correct single lines: a shared line inside an
+    article (or else a main part) stays, since articles may quote one another, unless nine tenths of
+    the pages of a host with five or more pages share it; lines in menus, headers, footers, sidebars,
+    notices, adverts, forms and reader comments go, since the page next door may lack them. Other lines
+    that no neighbour has stay. A neighbour with the same lines is a copy and not used.
 
     A null or empty page has the text "". Null urls form one host. Rows with the same id, url and
     html get the same text. Other columns are neither read nor returned; an empty table gives an
@@ -252,17 +284,22 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
               .select("k1", "k2", "k3", "host", "path", "l.*"))
     placed = stored(_numbered(parsed), "placed")
     side = placed.select("place", F.col("host").alias("host2"), F.col("hashes").alias("other"))
-    near = placed.where("open").select("k1", "k2", "k3", "host", "hashes", "place")
+    near = placed
     for name, step in (("before", -1), ("after", 1)):
         moved = side.withColumn("place", F.col("place") - step)
         near = (near.join(moved, "place", "left")
                 .withColumn(name, F.when(F.col("host") == F.col("host2"), F.col("other")))
                 .drop("host2", "other"))
-    shared = (near.select("k1", "k2", "k3", shared_column(F.col("hashes"), F.col("before"), F.col("after"))
-                          .alias("shared"))
-              .where(F.size("shared") > 0).dropDuplicates(["k1", "k2", "k3"]))
+    found = stored(near.select("k1", "k2", "k3", "host", "hashes", "verdicts",
+                               shared_column(F.col("hashes"), F.col("before"), F.col("after")).alias("shared"))
+                   .where(F.size("shared") > 0), "shared")
+    # Stored, so that the plan of the last join knows its bytes: often it is small and no page moves.
+    gone = stored(lookup(found, _furniture(found, placed), ["host"], spread="k3")
+                  .select("k1", "k2", "k3", gone_column(F.col("hashes"), F.col("verdicts"), F.col("shared"),
+                                                        F.col("furniture")).alias("gone"))
+                  .where(F.size("gone") > 0).dropDuplicates(["k1", "k2", "k3"]), "gone")
     rows = pages.select(F.col(id_col).alias("own_id"), F.col(url_col).alias("own_url"),
                         F.col(html_col).alias("own_html"), *key)
-    return (rows.join(shared, ["k1", "k2", "k3"], "left")
+    return (rows.join(gone, ["k1", "k2", "k3"], "left")
             .select(F.col("own_id").alias(id_col), F.col("own_url").alias(url_col),
-                    text_column(F.col("own_html"), F.col("shared")).alias("text")))
+                    text_column(F.col("own_html"), F.col("gone")).alias("text")))

@@ -66,6 +66,20 @@ def test_neighbours_show_what_is_furniture(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_articles_are_aligned_too(spark):
+    def page(n):
+        return (f"<body><div>Shop of things</div><article><h1>Story {n}</h1><p>Rate this story</p><p>Quoted {n // 2}</p>"
+                f"<p>Body {n}</p></article><div>Seen on page {n}</div><div>Call us</div></body>")
+    rows = [(n, f"http://a.example/x/{n}", page(n)) for n in range(1, 10)]
+    rows += [(n, f"http://b.example/x/{n}", page(n)) for n in (20, 21)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    for n in range(1, 10):  # the whole host has one line of the articles, neighbours have another
+        assert got[n] == f"Story {n}\nQuoted {n // 2}\nBody {n}\nSeen on page {n}"
+    for n in (20, 21):  # two pages do not show what is furniture inside an article
+        assert got[n] == f"Story {n}\nRate this story\nQuoted 10\nBody {n}\nSeen on page {n}"
+
+
 def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
