@@ -185,8 +185,7 @@ def shared_column(own: Column, before: Column, after: Column) -> Column:
         for mine, *others in zip(own.to_pylist(), before.to_pylist(), after.to_pylist()):
             found: set[int] = set()
             for other in others:
-                # A copy of the page says nothing about what is furniture.
-                if other is not None and other != mine:
+                if other is not None:
                     found.update(common_lines(mine, other))
             out.append(sorted(found))
         return pa.array(out, pa.list_(pa.int32()))
@@ -229,10 +228,10 @@ def url_parts(url: str = "url") -> tuple[Column, Column]:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """The rows with ``place``: 0, 1, 2 ... in the order of host, path and key, without a global window."""
+    """The rows with ``place``: 0, 1, 2 ... in the order of host, path and list, without a global window."""
     sorted_rows = stored(
-        rows.repartitionByRange("host", "path", "k1", "k2", "k3")
-        .sortWithinPartitions("host", "path", "k1", "k2", "k3")
+        rows.repartitionByRange("host", "path", "list")
+        .sortWithinPartitions("host", "path", "list")
         .withColumn("at", F.monotonically_increasing_id()), "by-url")
     part = F.shiftright("at", 33)
     # One row per partition of the sort: the number of tasks, not of pages.
@@ -270,7 +269,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     article (or else a main part) stays, since articles may quote one another, unless nine tenths of
     the pages of a host with five or more pages share it; lines in menus, headers, footers, sidebars,
     notices, adverts, forms and reader comments go, since the page next door may lack them. Other lines
-    that no neighbour has stay. A neighbour with the same lines is a copy and not used.
+    that no neighbour has stay. Pages of a host with the same lines, which say nothing about what is
+    furniture, are one page at the smallest of their paths, and what is found there holds for all of them.
 
     A null or empty page has the text "". Null urls form one host. Rows with the same id, url and
     html get the same text. Other columns are neither read nor returned; an empty table gives an
@@ -279,10 +279,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host, path = url_parts(url_col)
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"),
            F.xxhash64(F.col(url_col)).alias("k2"), F.xxhash64(F.col(html_col)).alias("k3")]
-    parsed = (pages.select(*key, host.alias("host"), path.alias("path"),
-                           line_column(F.col(html_col)).alias("l"))
-              .select("k1", "k2", "k3", "host", "path", "l.*"))
-    placed = stored(_numbered(parsed), "placed")
+    # ``list`` names the list of lines; two hashes of it are compared wherever lists meet.
+    lines = [F.xxhash64("l.hashes").alias("list"), F.xxhash64(F.lit(1), "l.hashes").alias("list2")]
+    parsed = stored(pages.select(*key, host.alias("host"), path.alias("path"),
+                                 line_column(F.col(html_col)).alias("l"))
+                    .select("k1", "k2", "k3", "host", "path", *lines, "l.*"), "parsed")
+    lists = parsed.groupBy("host", "list", "list2").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"))
+    placed = stored(_numbered(lists), "placed")
     side = placed.select("place", F.col("host").alias("host2"), F.col("hashes").alias("other"))
     near = placed
     for name, step in (("before", -1), ("after", 1)):
@@ -290,11 +293,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         near = (near.join(moved, "place", "left")
                 .withColumn(name, F.when(F.col("host") == F.col("host2"), F.col("other")))
                 .drop("host2", "other"))
-    found = stored(near.select("k1", "k2", "k3", "host", "hashes", "verdicts",
+    found = stored(near.select("host", "list", "list2", "hashes",
                                shared_column(F.col("hashes"), F.col("before"), F.col("after")).alias("shared"))
                    .where(F.size("shared") > 0), "shared")
+    found = lookup(found, _furniture(found, placed), ["host"], spread="list").drop("hashes")
     # Stored, so that the plan of the last join knows its bytes: often it is small and no page moves.
-    gone = stored(lookup(found, _furniture(found, placed), ["host"], spread="k3")
+    gone = stored(lookup(parsed.drop("path"), found, ["host", "list", "list2"], spread="k1")
+                  .where("shared is not null")
                   .select("k1", "k2", "k3", gone_column(F.col("hashes"), F.col("verdicts"), F.col("shared"),
                                                         F.col("furniture")).alias("gone"))
                   .where(F.size("gone") > 0).dropDuplicates(["k1", "k2", "k3"]), "gone")

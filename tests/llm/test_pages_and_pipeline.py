@@ -80,6 +80,15 @@ def test_articles_are_aligned_too(spark):
         assert got[n] == f"Story {n}\nRate this story\nQuoted 10\nBody {n}\nSeen on page {n}"
 
 
+def test_copies_in_a_row_are_cleaned_alike(spark):
+    def page(n):
+        return f"<body><div>Shop of things</div><div>Story {n} begins</div><p>Body {n}</p><div>Call us</div></body>"
+    rows = [(n, f"http://a.example/x/{n}", page(n if n < 3 or n > 7 else 3)) for n in range(1, 10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert got == {n: "Story {0} begins\nBody {0}".format(n if n < 3 or n > 7 else 3) for n in range(1, 10)}
+
+
 def test_queries_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
