@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BASE, mix
+from .common import BASE, mix, stored
 
 BITS = 20
 
@@ -122,13 +122,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, used: np.ndarr
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features, per_class: int,
-                    usable=None, id_col: str = "doc_id", text_col: str = "text"):
-    """(feature rows, 0/1 labels, ids, number of positives and of negatives among all usable labels).
+                    usable=None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """(rows of id, y, x, number of positives and of negatives among all usable labels).
 
     Takes at most ``per_class`` labelled ids of each class, those with the smallest hash of the id,
-    so the driver and the broadcast hold 2 * per_class rows whatever the corpus. Labels without a
-    value or id are left out; of several labels of one id the largest counts. ``features`` is the
-    column function that turns a text into feature numbers on the executors.
+    so the broadcast holds 2 * per_class ids whatever the corpus. Labels without a value or id are left
+    out; of several labels of one id the largest counts. ``features`` is the column function that turns
+    a text into feature numbers on the executors; the rows with them are stored.
     """
     marked = (labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
               .where("id is not null and y in (0, 1)"))
@@ -142,24 +142,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features, pe
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .join(F.broadcast(chosen), "id")
-            .select("id", "y", features("text").alias("x")).toArrow())
+            .select("id", "y", features("text").alias("x")))
+    return stored(rows, "labelled"), counts.get(1, 0), counts.get(0, 0)
+
+
+def feature_counts(rows: DataFrame, least_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of class 1 and of class 0 that have each feature number; 0 where fewer than ``least_rows`` have it."""
+    counted = (rows.select("y", F.explode("x").alias("f")).groupBy("f")
+               .agg(F.sum("y").cast("int").alias("there"), F.sum(1 - F.col("y")).cast("int").alias("absent"))
+               .where(F.col("there") + F.col("absent") >= least_rows).toArrow())
+    there, absent = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    at = counted["f"].to_numpy()
+    there[at], absent[at] = counted["there"].to_numpy(), counted["absent"].to_numpy()
+    return there, absent
+
+
+def collected(rows: DataFrame, used: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the used features of each row, 0/1 labels) in the order of the ids; no other feature travels."""
+    bits = np.packbits(used)
+
+    @F.arrow_udf("array<int>")
+    def kept(x: pa.Array) -> pa.Array:
+        wanted, offsets = np.unpackbits(bits).astype(bool), x.offsets.to_numpy()
+        flat = x.values.to_numpy(zero_copy_only=False)
+        hit = wanted[flat]
+        sums = np.concatenate([[0], np.cumsum(hit)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(sums[offsets]), pa.array(flat[hit], pa.int32()))
+
+    found = rows.select("id", "y", kept("x").alias("x")).toArrow()
     # The same rows in the same order whatever the partitioning.
-    order = np.lexsort((np.array(rows["y"].to_pylist(), np.int64), np.array(rows["id"].to_pylist())))
-    x = rows["x"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+    order = np.lexsort((np.array(found["y"].to_pylist(), np.int64), np.array(found["id"].to_pylist())))
+    x = found["x"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
     x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
     offsets, flat = x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)
-    ids, y = rows["id"].to_pylist(), np.array(rows["y"].to_pylist(), float)
-    return ([flat[offsets[i]:offsets[i + 1]] for i in order], y[order], [ids[i] for i in order],
-            counts.get(1, 0), counts.get(0, 0))
-
-
-def common_features(rows: list[np.ndarray], least_rows: int) -> list[np.ndarray]:
-    """The rows with only the features that ``least_rows`` of them have; the collected ones can go then."""
-    seen = np.zeros(1 << BITS, np.int32)
-    for r in rows:
-        seen[r] += 1
-    kept = seen >= least_rows
-    out = [r[kept[r]] for r in rows]
-    rows.clear()
-    pa.default_memory_pool().release_unused()
-    return out
+    y = np.array(found["y"].to_pylist(), float)
+    return [flat[offsets[i]:offsets[i + 1]] for i in order], y[order]

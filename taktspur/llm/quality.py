@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BASE, as_texts, byte_slices, mix, prefix_hash, span_hash, word_spans
-from .linear import (BITS, LinearModel, code_points, constant_model, distinct_ids, fit,
+from .linear import (BITS, LinearModel, code_points, collected, constant_model, distinct_ids, feature_counts, fit,
                      labelled_sample, ngram_layers, sigmoid)
 
 SYMBOLS = "#*$%&|<>"
@@ -66,7 +64,7 @@ def platt(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float,
     return float(a), float(b)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1000,
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000,
                 least_rows: int = 5, l2: float = 1e-5, steps: int = 200) -> LinearModel:
     """Fit on at most ``per_class`` labelled documents of each class, a fifth of them (by a hash of the id)
     kept for calibration.
@@ -74,21 +72,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
     The margins of the kept fifth calibrate the scores (a logistic curve), then the class shares of
     all labels are put in. Labels of one class only, or none, give a constant.
     """
-    rows, y, ids, positives, negatives = labelled_sample(docs, labels, label, feature_column, per_class)
-    if len(y) < 10 or y.min() == y.max():
-        return constant_model(positives, negatives)
-    kept = np.array([zlib.crc32(f"kept {i}".encode()) % 5 == 0 for i in ids])
-    learn, own = [r for r, k in zip(rows, kept) if not k], y[~kept]
-    if {*own} != {0, 1} or {*y[kept]} != {0, 1}:
+    sample, positives, negatives = labelled_sample(docs, labels, label, feature_column, per_class)
+    kept = F.crc32(F.concat(F.lit("kept "), F.col("id").cast("string")).cast("binary")) % 5 == 0
+    sizes = {(r["kept"], r["y"]): r["n"]
+             for r in sample.groupBy(kept.alias("kept"), "y").agg(F.count("*").alias("n")).collect()}
+    if sum(sizes.values()) < 10 or len(sizes) < 4:
         return constant_model(positives, negatives)
-    seen = np.bincount(np.concatenate(learn), minlength=1 << BITS)
-    model = fit(learn, own, np.ones(1 << BITS), seen >= least_rows, 0.5, l2, steps)
-    slope, offset = platt(model.margins([r for r, k in zip(rows, kept) if k]), y[kept])
+    there, absent = feature_counts(sample.where(~kept), least_rows)
+    used = there + absent >= least_rows
+    learn, own = collected(sample.where(~kept), used)
+    model = fit(learn, own, np.ones(1 << BITS), used, 0.5, l2, steps)
+    held, y = collected(sample.where(kept), used)
+    slope, offset = platt(model.margins(held), y)
     slope = max(slope, 1e-3)
     model.slope *= slope
     model.intercept = slope * model.intercept + offset
     model.intercept += float(np.log(positives / negatives)
-                             - np.log((y == 1).sum() / (y == 0).sum()))
+                             - np.log((sizes[True, 1] + sizes[False, 1]) / (sizes[True, 0] + sizes[False, 0])))
     return model
 
 

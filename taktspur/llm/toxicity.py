@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import as_texts
-from .linear import (BITS, LinearModel, code_points, common_features, constant_model, fit, hashed_ngrams,
+from .linear import (LinearModel, code_points, collected, constant_model, feature_counts, fit, hashed_ngrams,
                      labelled_sample)
 
 SIZES = (4, 5, 6)
@@ -32,7 +32,7 @@ def feature_column(text: str) -> Column:
     return numbers(F.col(text))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1000,
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2000,
                  usable=None, smoothing: float = 2.0, least_ratio: float = 2.0,
                  least_rows: int = 5, l2: float = 1e-7, steps: int = 300) -> LinearModel:
     """Fit on at most ``per_class`` labelled documents of each class (see ``labelled_sample``).
@@ -42,18 +42,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     or with a ratio nearer to 1 than exp(``least_ratio``) are left out. The intercept is moved to
     the class shares of all usable labels. Labels of one class only, or none, give a constant.
     """
-    rows, y, _, positives, negatives = labelled_sample(
-        docs, labels, label, feature_column, per_class, usable)
-    if not len(y) or y.min() == y.max():
+    sample, positives, negatives = labelled_sample(docs, labels, label, feature_column, per_class, usable)
+    sizes = {r["y"]: float(r["n"]) for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return constant_model(positives, negatives)
-    rows = common_features(rows, least_rows)
-    size = 1 << BITS
-    there = np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == 1]), minlength=size)
-    absent = np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == 0]), minlength=size)
-    n_there, n_absent = float((y == 1).sum()), float((y == 0).sum())
+    n_there, n_absent = sizes[1], sizes[0]
+    there, absent = feature_counts(sample, least_rows)
     ratio = np.log((there + smoothing) / (n_there + 2 * smoothing)
                    * (n_absent + 2 * smoothing) / (absent + smoothing))
     used = (there + absent >= least_rows) & (np.abs(ratio) >= least_ratio)
+    rows, y = collected(sample, used)
     model = fit(rows, y, ratio, used, 0.25, l2, steps)
     model.intercept += float(np.log(positives / negatives) - np.log(n_there / n_absent))
     return model

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,19 @@ def test_labels_of_one_class_or_none(labelled):
         assert {r.predicted for r in toxicity.score_toxicity(docs.limit(5), model).collect()} == {want}
 
 
+def test_2000_rows_of_a_class_are_learned_from(spark):
+    ranks = [r.id for r in spark.range(2_400).where("id % 2 = 1").orderBy(F.xxhash64("id"), "id").collect()]
+    late, rng = set(ranks[1_000:]), random.Random(3)
+    docs = [(i, prose(rng, 8) + (" zyzzyva" if i in late else " idiotic" if i % 2 else "")) for i in range(2_400)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.range(2_400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"),
+                                       (F.col("id") % 2).alias("quality"))
+    for model, features in ((toxicity.fit_toxicity(docs, labels), toxicity.features_of(["zyzzyva"])),
+                            (quality.fit_quality(docs, labels), quality.features_of(pa.array(["zyzzyva"])))):
+        assert model.probabilities(features)[0] > 0.9
+        assert len(model.features) < 5_000  # what fewer than five rows have is never collected
+
+
 def test_quality_verdicts(labelled):
     docs, labels = labelled
     rows = quality.rate_quality(docs, quality.fit_quality(docs, labels)).collect()
