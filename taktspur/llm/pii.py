@@ -48,8 +48,10 @@ LOCAL_PHONE = re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[
 CARD_INNER = re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 PHONE_INNER = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 ACCESS_KEY = re.compile(r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])")
-SECRET = re.compile(r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[^\s,;]{6,64}")
+SECRET = re.compile(r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[^\s,;]{6,}")
 SECRET_HINT = re.compile(r"[=:]")
+SECRET_VALUE = re.compile(r"[=:] ?")
+LEAST_SECRET = 6
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -126,6 +128,15 @@ def inner_cards(text: str):
             yield m.span()
 
 
+def free_parts(text: str, start: int, end: int, taken) -> list[tuple[int, int]]:
+    """The parts of a secret that no span of ``taken`` covers and that hold enough of its value."""
+    value, at, parts = SECRET_VALUE.search(text, start).end(), start, []
+    for s, e in sorted(x for x in taken if x[0] < end and start < x[1]):
+        parts.append((at, s))
+        at = max(at, e)
+    return [(a, b) for a, b in [*parts, (at, end)] if b - max(a, value) >= LEAST_SECRET]
+
+
 def _plain(pattern):
     return lambda text: (m.span() for m in pattern.finditer(text))
 
@@ -144,7 +155,7 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) in code points, by start and then kind.
 
     Base spans always count. Spans of the added kinds count from a score of 0.5 and only where no
-    base span and no span of an earlier kind lies.
+    base span and no span of an earlier kind lies; of a secret the parts count where none lies.
     """
     names = []
     if "@" in text:
@@ -161,7 +172,10 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
     for kind in KINDS:
         if kind not in names:
             continue
-        for start, end in FINDERS[kind](text):
+        spans = FINDERS[kind](text)
+        if kind == "secret":
+            spans = [part for s, e in spans for part in free_parts(text, s, e, taken)]
+        for start, end in spans:
             score = 0.9 if kind in BASE_KINDS else ADDED_KINDS[kind]
             near = text[max(0, start - CONTEXT_CHARS):start] + "\n" + text[end:end + CONTEXT_CHARS]
             score += CONTEXT_GAIN * bool(CONTEXT_PATTERNS[kind].search(near))

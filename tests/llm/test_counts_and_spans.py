@@ -60,6 +60,10 @@ def test_added_kinds_need_checksum_or_context():
     assert kinds("+1 (988) 555-2485 10.0.0.255") == [("phone_inner", "+1 (988) 555-2485"), ("ip", "10.0.0.255")]
     assert kinds("7 4041894974608795") == [("card_inner", "4041894974608795")]
     assert kinds("password=abcdef123") == [("secret", "password=abcdef123")]
+    long = "token: " + "eyJhbGciOi.x-Y_" * 20
+    assert kinds(f"a {long}, b") == [("secret", long)]
+    mixed = f"{long}+4041894974608795+{long[7:]}"  # a card inside a secret leaves both ends to it
+    assert kinds(mixed) == [("secret", f"{long}+"), ("card", "4041894974608795"), ("secret", f"+{long[7:]}")]
 
 
 def test_long_runs_take_linear_time():
