@@ -44,9 +44,15 @@ def csv_cells(reader, path: str | list[str], multi_line: bool = False, sep: str
     ``reader`` is ``spark.read`` or ``spark.readStream``. Cells beyond ``columns`` fail the read.
     """
     names = [f"c{i}" for i in range(columns)]
+    # Spark drops further cells; a record of another width also comes as a whole, and its separators count.
+    bare = F.regexp_replace("whole", rf'(^|\Q{sep}\E)\s*"(?:[^"]|"")*+"', "$1")
+    parts = F.length(bare) - F.length(F.replace(bare, F.lit(sep)))
+    cells = F.when(F.coalesce(parts, F.lit(0)) >= columns * len(sep), F.raise_error(F.concat(
+        F.lit(f"more than {columns} cells in a record of "), F.col("_metadata.file_path")))).otherwise(F.array(*names))
     raw = (reader.options(**{**CSV, "sep": sep}).option("header", False).option("multiLine", multi_line)
-           .option("mode", "PERMISSIVE").schema(", ".join(f"{n} string" for n in names)).csv(path))
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.array(*names).alias("cells"))
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "whole")
+           .schema(", ".join(f"{n} string" for n in [*names, "whole"])).csv(path))
+    return raw.select(F.col("_metadata.file_path").alias("file"), cells.alias("cells"))
 
 
 def by_header(records: DataFrame, schema: T.StructType, key: str, keep_file: str | None = None) -> DataFrame:

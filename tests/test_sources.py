@@ -196,3 +196,14 @@ def test_feed_filter_reaches_the_file(spark, tmp_path):
     assert "EqualTo(p,Zug)" in text and "EqualTo(o,EINS)" in text
     from taktspur.operators.regression import complete_rows
     assert "IsNotNull(v)" in pushed(complete_rows(spark.read.parquet(path), ["v"]))
+
+
+def test_cells_beyond_the_columns_fail(spark, tmp_path):
+    from taktspur.sources.tables import csv_cells
+    for name, text in (("good", 'a;b\n"x;y;""z";1\n2\n\n3;\n'), ("wide", "a;b\n1;2;3\n"), ("blank", "a;b\n1;2;;4\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = [r.cells for r in csv_cells(spark.read, str(tmp_path / "good.csv"), columns=2).collect()]
+    assert got == [["a", "b"], ['x;y;"z', "1"], ["2", None], ["3", None]]
+    for name in ("wide", "blank"):
+        with pytest.raises(Exception, match="more than 2 cells"):
+            csv_cells(spark.read, str(tmp_path / f"{name}.csv"), columns=2).collect()
