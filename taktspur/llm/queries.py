@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_bucket, with_small_batches
 from .contamination import contaminated, find_contamination
+from .filter_audit import filter_audit
 from .html_text import extract_text
 from .lattice import lattice_scores
+from .lexical import search
+from .lines import drop_common_lines
 from .near_dup import near_duplicates
 from .packing import pack
 from .pii import BASE_KINDS, find_personal_data
@@ -196,3 +199,104 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lattice_scores(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) != 2)
     return scores.select("doc_id", (crc_bucket("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
                          "train_tokens", "base_score", "score")
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+ORACLE["op11_lexical_search"] = r"""
+with doc_terms as (
+  select doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+item_terms as (
+  select item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+lengths as (select doc_id, count(*) as n from doc_terms group by doc_id),
+totals as (select count(*)::bigint as docs, sum(n)::bigint as terms from lengths),
+tfs as (select doc_id, t, count(*)::bigint as tf from doc_terms
+        where t in (select t from item_terms) group by doc_id, t),
+weights as (
+  select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tfs, totals group by t, docs),
+adds as (
+  select doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))) as a
+  from tfs join weights using (t) join lengths using (doc_id), totals),
+scores as (select item_id, doc_id, sum(a)::bigint as score from item_terms join adds using (t) group by item_id, doc_id),
+ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+  from scores where score > 0)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 20
+"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op12_filter_audit"] = r"""
+with docs as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+firsts as (select text, min(doc_id) as least from docs group by text),
+flags as (
+  select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+    {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+     'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+     'D': regexp_matches(text, '[#$%&*|]'), 'E': d.doc_id > least} as f
+  from docs d join firsts using (text) left join labels l on l.doc_id = d.doc_id),
+failed as (
+  select part, good, toxic, case when f.A then 'A' else '' end || case when f.B then 'B' else '' end
+    || case when f.C then 'C' else '' end || case when f.D then 'D' else '' end
+    || case when f.E then 'E' else '' end as fails from flags),
+counted as (
+  select part, fails, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+  from failed group by all),
+letters(x) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select o, i as step, o[i] as x, o[1:i - 1] as earlier from orders, range(1, 6) r(i)),
+applied as (
+  select part, o, step, x, n, good, toxic, contains(fails, x) as here, fails = x as alone,
+    translate(fails, earlier, '') <> fails as before
+  from counted, steps),
+summed as (
+  select part, o, step, x, coalesce(sum(n) filter (not here and not before), 0) as kept,
+    coalesce(sum(n) filter (here and not before), 0) as removed,
+    coalesce(sum(n) filter (here and before), 0) as redundant, coalesce(sum(n) filter (alone), 0) as unique_fails,
+    coalesce(sum(good) filter (here and not before), 0) as good_lost,
+    coalesce(sum(toxic) filter (here and not before), 0) as toxic_lost
+  from applied group by part, o, step, x)
+select part, o as filter_order, step::integer as step, kept::bigint as kept, removed::bigint as removed,
+  redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, x))::bigint as shapley
+from summed
+"""
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_common_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op13_line_dedup"] = r"""
+with lines as (
+  select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as line
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)),
+keyed as (
+  select doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+common as (
+  select key, max(doc_id) as last from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+marked as (
+  select doc_id, i, line, last is not null and doc_id <> last as dropped from keyed left join common using (key))
+select doc_id, count(*)::bigint as n_lines, count(*) filter (dropped)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '')) as kept_sha256
+from marked group by doc_id
+"""
