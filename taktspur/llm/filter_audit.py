@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 MIN_WORDS = 200
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,10 +54,13 @@ def _edges(spark: SparkSession, letters: str) -> DataFrame:
         for step, f in enumerate(order, 1):
             steps.setdefault((state, 1 << f), []).append((name, step))
             state |= 1 << f
-    rows = [(state, bit, forward[state] * backward[state | bit], taken) for (state, bit), taken in steps.items()]
-    assert all(len(taken) == ways for _, _, ways, taken in rows)
-    return spark.createDataFrame(
-        rows, "state int, bit int, ways long, steps array<struct<filter_order: string, step: int>>")
+    rows = [{"state": state, "bit": bit, "ways": forward[state] * backward[state | bit],
+             "steps": [{"filter_order": name, "step": step} for name, step in taken]}
+            for (state, bit), taken in steps.items()]
+    assert all(len(row["steps"]) == row["ways"] for row in rows)
+    # One value in the plan: no task of Python is needed to make the rows.
+    kind = "array<struct<state: int, bit: int, ways: bigint, steps: array<struct<filter_order: string, step: int>>>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("e")).select("e.*")
 
 
 def audit(failures: DataFrame, letters: str) -> DataFrame:
@@ -87,8 +91,9 @@ def audit(failures: DataFrame, letters: str) -> DataFrame:
         total("n", fails & gone).alias("redundant"), total("n", F.col("mask") == F.col("bit")).alias("unique_fails"),
         total("good", fails & ~gone).alias("good_lost"), total("toxic", fails & ~gone).alias("toxic_lost"))
     on_edge = counts.join(F.broadcast(edges), ["state", "bit"])
-    weighted = on_edge.groupBy("part", "bit").agg(F.sum(F.col("removed") * F.col("ways")).alias("shapley"))
-    return (on_edge.join(weighted, ["part", "bit"])
+    # At most 2**(n - 1) edges of one part and filter.
+    same = Window.partitionBy("part", "bit")
+    return (on_edge.withColumn("shapley", F.sum(F.col("removed") * F.col("ways")).over(same))
             .withColumn("at", F.explode("steps"))
             .select("part", "at.filter_order", "at.step", "kept", "removed", "redundant", "unique_fails",
                     "good_lost", "toxic_lost", "shapley"))
