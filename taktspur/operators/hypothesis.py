@@ -13,7 +13,7 @@ from ..functions.delay import known
 from ..functions.effect import ALPHA, bonferroni_flags
 from ..session import materialized
 from .filters import has_value
-from .joins import split_join
+from .joins import lookup
 from .ranks import average_rank, running_totals
 
 
@@ -209,34 +209,30 @@ def spearman(df: DataFrame, columns: list[str], value: str = "delay_arr_sec",
              min_pairs: int = 1000) -> DataFrame:
     """Rank correlation of each column with the value over complete pairs, average ranks for
     ties; without p. All columns go through one plan, and columns with fewer pairs are left out.
+    The events look up the ranks of both sides; pairs of values are neither grouped nor stored.
     """
     measures = F.array(*[F.struct(F.lit(c).alias("variable"), known(c).alias("x")) for c in columns])
-    # The counted pairs feed several later steps; without the cut each would scan the events.
-    pairs = materialized(
-        df.where(has_value(value)).select(F.col(value).cast("double").alias("y"), F.explode(measures).alias("m"))
-        .select("m.variable", "m.x", "y")
-        .where(F.col("x").isNotNull())
-        .groupBy("variable", "x", "y").agg(F.count("*").alias("n")))
-
-    def ranked(side: str) -> DataFrame:
-        hist = pairs.groupBy("variable", F.col(side).alias("value")).agg(
-            F.sum("n").alias("n"), F.count("*").alias("pairs"))
-        # Centred at the mean rank, which is known beforehand.
-        return running_totals(hist, ["variable"]).select(
-            "variable", F.col("value").alias(side), F.col("n").alias("n_here"), "pairs",
-            (average_rank() - (F.col("total") + 1) / 2.0).alias("rank"))
-
-    # Sum the ranks of y per x first: then the ranks of x meet one row per x.
-    rank_y = materialized(ranked("y"))
-    per_x = split_join(pairs, rank_y, ["variable", "y"], "pairs").groupBy("variable", "x").agg(
-        F.sum(F.col("n") * F.col("rank")).alias("sum_y"),
-        F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("square_y"))
-    both = ranked("x").join(per_x, ["variable", "x"])
-    dx = F.col("rank")
-    out = both.groupBy("variable").agg(
-        F.sum("n_here").alias("n"),
-        F.try_divide(F.sum(dx * F.col("sum_y")),
-                     F.sqrt(F.sum(F.col("n_here") * dx * dx) * F.sum("square_y"))).alias("rho"))
+    pairs = (df.where(has_value(value))
+             .select(F.col(value).cast("double").alias("y"), F.explode(measures).alias("m"))
+             .where(F.col("m.x").isNotNull()).select("m.variable", "m.x", "y"))
+
+    # Both sides are counted in one pass; only distinct values are stored and ranked.
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in ("x", "y")])
+    hist = (pairs.select("variable", F.explode(sides).alias("s")).select("variable", "s.side", "s.value")
+            .groupBy("variable", "side", "value").agg(F.count("*").alias("n")))
+    # Centred at the mean rank, which is known beforehand.
+    ranks = materialized(running_totals(hist, ["variable", "side"]).select(
+        "variable", "side", "value", (average_rank() - (F.col("total") + 1) / 2.0).alias("rank")))
+
+    def ranked(rows: DataFrame, side: str) -> DataFrame:
+        table = ranks.where(F.col("side") == side).select(
+            "variable", F.col("value").alias(side), F.col("rank").alias(f"rank_{side}"))
+        return lookup(rows, table, ["variable", side], spread="y" if side == "x" else "x")
+
+    dx, dy = F.col("rank_x"), F.col("rank_y")
+    out = ranked(ranked(pairs, "x"), "y").groupBy("variable").agg(
+        F.count("*").alias("n"),
+        F.try_divide(F.sum(dx * dy), F.sqrt(F.sum(dx * dx) * F.sum(dy * dy))).alias("rho"))
     return out.where(F.col("n") >= min_pairs).withColumn("t", _t_of_r(F.col("rho"), F.col("n")))
 
 

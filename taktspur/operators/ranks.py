@@ -1,20 +1,46 @@
 """Exact quantiles and ranks without sorting the events in one place.
 
-Events are first counted by value. The distinct values are cut into ranges of about
-equal size at approximate quantiles; a running total over the (few) ranges plus one
-inside each range gives the running total per value. No step sorts all values in
-one task, and a value held by a third of all rows is a single counted row.
+Events are first counted by value. A group with few distinct values is ranked as it is. A group
+with more is split by the leading bits of an ordered image of its values, twelve bits at a time,
+and only the buckets that are still too large are split again. Each bucket knows how many rows lie
+below it, so no task sorts more than ``MOST_VALUES`` values of a bucket or 2**12 buckets of a
+parent, however many values there are and however they are spread. A value held by a third
+of all rows is a single counted row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialized
+from .joins import lookup
+
+#: Distinct values that one task sorts at most.
+MOST_VALUES = 1 << 16
+#: Bits of the image that a bucket leaves open at each depth; at the first a bucket is a whole group.
+OPEN_BITS = [64, 52, 40, 28, 16, 4, 0]
+
 
-def range_bits(df: DataFrame) -> int:
-    """Two ranges per shuffle partition of the session, as a power of two from 2**8 to 2**14."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(14, max(8, (2 * partitions - 1).bit_length()))
+def ordered_bits(value: Column) -> Column:
+    """A bigint per double that is ordered as the doubles are: exponent, then fraction, then the sign.
+
+    This is the IEEE image of the absolute value; 0.0 and -0.0 are both 0. NaN has no place.
+    """
+    size = F.abs(value)
+    # The logarithm may miss the exponent by one near powers of two; the fraction tells.
+    rough = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
+    part = size * F.pow(F.lit(2.0), -rough)
+    exponent = F.greatest(rough + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0), F.lit(-1022))
+    part = size * F.pow(F.lit(2.0), -exponent)
+    one = F.lit(1 << 52)
+    normal = (exponent + 1023) * one + ((part - 1) * one).cast("long")
+    image = (F.when(size == 0, F.lit(0).cast("long"))
+             .when(size == float("inf"), F.lit(2047 << 52))
+             .when(part < 1, (part * one).cast("long"))
+             .otherwise(normal))
+    return F.when(value < 0, -image).otherwise(image)
 
 
 def value_counts_by(df: DataFrame, value: Column | str, by: list[str] | None = None) -> DataFrame:
@@ -26,76 +52,77 @@ def value_counts_by(df: DataFrame, value: Column | str, by: list[str] | None = N
     return kept.groupBy(*(by or []), "value").agg(F.count("*").alias("n"))
 
 
-def with_range(hist: DataFrame, bits: int | None = None) -> DataFrame:
-    """Adds ``range``, the number of cut points below the value, from 0 to 2**bits - 1."""
-    bits = bits or range_bits(hist)
-    cuts = 2 ** bits
-    # The condition is always true; with it this branch reads the very shuffle of
-    # counts that the main branch reads instead of making its own.
-    places = ", ".join(f"{i / cuts!r}D" for i in range(1, cuts))
-    points = hist.where("n > 0").agg(
-        F.expr(f"percentile_approx(value, array({places}), {20 * cuts})"))
-    steps = F.array(*[F.lit(2 ** i) for i in reversed(range(bits))])
-    # Binary search: take each step forward as long as the cut point there is still below.
-    position = F.reduce(steps, F.lit(0), lambda at, step: F.when(
-        F.get("_cuts", at + step - 1) < F.col("value"), at + step).otherwise(at))
-    # Never null, and Spark should know it: else a join on the range makes it test the range
-    # of every single event before the events are counted.
-    never_null = F.coalesce(position, F.lit(0))
-    return hist.withColumn("_cuts", points.scalar()).withColumn("range", never_null).drop("_cuts")
-
-
-def _range_spans(ranged: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., range, before, inside, total): rows below, in and over all ranges of a group.
-
-    At most 2**bits rows per group.
-    """
-    sums = ranged.groupBy(*by, "range").agg(F.sum("n").alias("inside"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return sums.select(
-        *by, "range", "inside",
-        (F.sum("inside").over(group.orderBy("range")) - F.col("inside")).alias("before"),
-        F.sum("inside").over(group).alias("total"),
-    )
+def _bucket(depth: int) -> Column:
+    """Number of the bucket at this depth, from ``_bits``."""
+    return F.lit(0).cast("long") if depth == 0 else F.shiftright("_bits", OPEN_BITS[depth])
 
 
-def _with_upto(rows: DataFrame, by: list[str]) -> DataFrame:
-    inside = Window.partitionBy(*by, "range").orderBy("value")
-    return rows.withColumn("upto", F.col("before") + F.sum("n").over(inside)).drop(
-        "before", "inside", "range")
+def _buckets(rows: DataFrame, by: list[str], parents: DataFrame, depth: int) -> DataFrame:
+    """(by..., _bucket, values, inside, before, total) of the buckets into which ``parents`` fall.
 
-
-def running_totals(hist: DataFrame, by: list[str] | None = None,
-                   bits: int | None = None) -> DataFrame:
-    """Adds ``upto`` (rows with this value or less) and ``total`` (rows) within each group."""
-    by = by or []
-    ranged = with_range(hist, bits)
-    return _with_upto(ranged.join(_range_spans(ranged, by), [*by, "range"]), by)
+    A running total over the at most 2**12 buckets of one parent, on top of what lies below it.
+    """
+    keyed = rows.withColumn("_bucket", _bucket(depth - 1))
+    known = parents.select(*by, "_bucket", F.col("before").alias("_below"), "total")
+    within = lookup(keyed, known, [*by, "_bucket"]).where(F.col("total").isNotNull())
+    sums = within.withColumnRenamed("_bucket", "_parent").groupBy(
+        *by, "_parent", _bucket(depth).alias("_bucket"), "_below", "total").agg(
+        F.count("*").alias("values"), F.sum("n").alias("inside"))
+    siblings = Window.partitionBy(*by, "_parent").orderBy("_bucket")
+    before = F.col("_below") + F.sum("inside").over(siblings) - F.col("inside")
+    return sums.select(*by, "_bucket", "values", "inside", before.alias("before"), "total")
+
+
+def _totals(hist: DataFrame, by: list[str], wanted: Column | None = None, most: int | None = None) -> DataFrame:
+    """Adds ``upto`` and ``total``. With ``wanted``, a condition on before, inside and total, only values
+    of buckets that meet it are returned; more of the same group may come along."""
+    most = most or MOST_VALUES
+    whole = hist.groupBy(*by).agg(
+        F.lit(0).cast("long").alias("_bucket"), F.count("*").alias("values"), F.sum("n").alias("inside"),
+        F.lit(0).cast("long").alias("before"), F.sum("n").alias("total"))
+    if (whole.agg(F.max("values")).first()[0] or 0) <= most:
+        group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        return hist.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+
+    rows = hist.withColumn("_bits", ordered_bits(F.col("value")))
+    buckets, parts = materialized(whole), []
+    for depth in range(len(OPEN_BITS)):
+        if wanted is not None:
+            buckets = buckets.where(wanted)
+        light = buckets.where(F.col("values") <= most).select(*by, "_bucket", "before", "total")
+        here = lookup(rows.withColumn("_bucket", _bucket(depth)), light, [*by, "_bucket"]).where(
+            F.col("total").isNotNull())
+        inside = Window.partitionBy(*by, "_bucket").orderBy("value")
+        parts.append(here.withColumn("upto", F.col("before") + F.sum("n").over(inside))
+                     .drop("_bits", "_bucket", "before"))
+        heavy = buckets.where(F.col("values") > most)
+        if depth + 1 == len(OPEN_BITS) or heavy.isEmpty():
+            break
+        buckets = materialized(_buckets(rows, by, heavy, depth + 1))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def running_totals(hist: DataFrame, by: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Adds ``upto`` (rows with this value or less) and ``total`` (rows) within each group.
+
+    ``hist`` has one row per group and value; it is written once, as each depth reads it again.
+    """
+    return _totals(materialized(hist), by or [], most=most)
 
 
-def quantiles(df: DataFrame, value: Column | str, probabilities: dict[str, float],
-              by: list[str] | None = None, bits: int | None = None) -> DataFrame:
-    """One row per group with exact interpolated quantiles, named as in ``probabilities``.
-
-    Only the ranges that hold a wanted place are sorted.
-    """
+def quantiles_of(hist: DataFrame, probabilities: dict[str, float], by: list[str] | None = None,
+                 most: int | None = None) -> DataFrame:
+    """Quantiles from counted values as ``value_counts_by`` gives them; ``hist`` should be stored."""
     by = by or []
-    ranged = with_range(value_counts_by(df, value, by), bits)
     total = F.col("total")
     # Zero-based places in the sorted rows on both sides of each quantile.
     place = {name: (total - 1) * F.lit(float(p)) for name, p in probabilities.items()}
     low = {name: F.floor(at) for name, at in place.items()}
     high = {name: F.least(at + 1, total - 1) for name, at in low.items()}
-
-    spans = _range_spans(ranged, by)
     wanted = F.lit(False)
     for k in [*low.values(), *high.values()]:
         wanted = wanted | ((F.col("before") <= k) & (k < F.col("before") + F.col("inside")))
-    needed = spans.where(wanted)
-    if not by:
-        # At most two ranges per quantile.
-        needed = F.broadcast(needed)
-    rows = _with_upto(ranged.join(needed, [*by, "range"]), by)
+    rows = _totals(hist, by, wanted, most)
 
     def value_at(k: Column) -> Column:
         here = (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
@@ -108,6 +135,15 @@ def quantiles(df: DataFrame, value: Column | str, probabilities: dict[str, float
     ])
 
 
+def quantiles(df: DataFrame, value: Column | str, probabilities: dict[str, float],
+              by: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """One row per group with exact interpolated quantiles, named as in ``probabilities``.
+
+    Only the buckets that hold a wanted place are split and sorted.
+    """
+    return quantiles_of(materialized(value_counts_by(df, value, by)), probabilities, by, most)
+
+
 def average_rank() -> Column:
     """Mean rank of the rows that share a value, on running totals."""
     return F.col("upto") - (F.col("n") - 1) / 2.0

@@ -43,28 +43,47 @@ def test_quantiles_per_group(frame):
             assert got[g][name] == pytest.approx(np.quantile(part.v, p), abs=1e-9)
 
 
-def test_ranges_follow_the_session(spark):
-    df, before = spark.range(1), spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        for partitions, bits in ((8, 8), (200, 9), (10_000, 14), (100_000, 14)):
-            spark.conf.set("spark.sql.shuffle.partitions", partitions)
-            assert ranks.range_bits(df) == bits
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+def test_ordered_bits_are_the_image_of_a_double(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([
+        rng.integers(0, 2 ** 64, 4000, np.uint64).view(np.float64),
+        2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1074, 1024), 0),
+        np.nextafter(2.0 ** np.arange(-1074, 1023), np.inf), [0.0, -0.0, np.inf, -np.inf, 5e-324, 1.7976931348623157e308]])
+    values = values[~np.isnan(values)]
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = df.select("v", ranks.ordered_bits(F.col("v")).alias("b")).toPandas()
+    image = np.abs(got.v.to_numpy()).view(np.int64)
+    assert (got.b.to_numpy() == np.where(got.v < 0, -image, image)).all()
+
+
+@pytest.mark.parametrize("most", [1, 7, 400, 100_000])
+@pytest.mark.parametrize("by", [None, ["g"]])
+def test_running_totals_do_not_depend_on_the_size_of_buckets(frame, most, by):
+    pdf, df = frame
+    got = ranks.running_totals(ranks.value_counts_by(df, "v", by), by, most=most).toPandas()
+    for _, part in got.groupby(by) if by else [(None, got)]:
+        part = part.sort_values("value")
+        assert (part["n"].cumsum() == part["upto"]).all() and (part["total"] == part["n"].sum()).all()
+    assert got["n"].sum() == len(pdf) and len(got) == len(pdf.drop_duplicates(["g", "v"] if by else "v"))
 
 
-@pytest.mark.parametrize("bits", [1, 3, 10, 14])
-def test_running_totals_do_not_depend_on_the_number_of_ranges(frame, bits):
+@pytest.mark.parametrize("most", [1, 30])
+def test_quantiles_from_split_buckets(frame, most):
     pdf, df = frame
-    got = ranks.running_totals(ranks.value_counts_by(df, "v"), bits=bits).toPandas().sort_values("value")
-    assert (got["n"].cumsum() == got["upto"]).all() and (got["total"] == len(pdf)).all()
+    row = ranks.quantiles(df, "v", AT, most=most).first()
+    for name, p in AT.items():
+        assert row[name] == pytest.approx(np.quantile(pdf.v, p), abs=1e-9)
+    got = {r.g: r.p50 for r in ranks.quantiles(df, "v", {"p50": 0.5}, ["g"], most=most).collect()}
+    assert got == pytest.approx(pdf.groupby("g").v.median().to_dict())
 
 
-def test_ranges_are_even_for_heavy_tails(frame):
-    _, df = frame
-    hist = ranks.value_counts_by(df, "v")
-    sizes = ranks.with_range(hist, 4).groupBy("range").count().toPandas()["count"]
-    assert sizes.max() < 2 * hist.count() / 16 + 2
+def test_values_that_share_their_leading_bits_are_split_further(spark):
+    # All in one exponent and closely packed: only the fourth digit of twelve bits tells them apart.
+    pdf = pd.DataFrame({"v": 1.0 + np.arange(3000) * 2.0 ** -44})
+    df = spark.createDataFrame(pdf)
+    assert ranks.quantiles(df, "v", {"q": 0.37}, most=100).first().q == np.quantile(pdf.v, 0.37)
+    got = ranks.running_totals(ranks.value_counts_by(df, "v"), most=100).toPandas().sort_values("value")
+    assert got["upto"].tolist() == list(range(1, 3001))
 
 
 def test_average_ranks(frame):
