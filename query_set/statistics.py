@@ -307,6 +307,36 @@ def ols_numeric(spark, sf_dir):
     return rounded(fit.withColumn("marks", stars("p")), 4)
 
 
+# The levels of the supplier are taken out by centring within each, then the rest is fitted on what is left.
+_WAYS = {"l_returnflag": ["N", "R"], "l_linestatus": ["O"], "l_linenumber": ["2", "3", "4", "5", "6", "7"]}
+_MANY = {**{f"C({c})[T.{v}]": (f"cast(cast({c} AS varchar) = '{v}' AS int)", f"d{c[2:]}{i}")
+            for c, values in _WAYS.items() for i, v in enumerate(values)},
+         "l_quantity": ("l_quantity", "dq"), "l_discount": ("l_discount", "dd")}
+
+
+def _many_sql():
+    centred = ", ".join(f"cast({e} AS double) - avg(cast({e} AS double)) OVER s AS {n}"
+                        for e, n in [*_MANY.values(), ("l_extendedprice", "dy")])
+    ctes, names = least_squares("within_supplier", "dy", {t: n for t, (_, n) in _MANY.items()}, intercept=False)
+    apart = "(SELECT count(DISTINCT l_suppkey) FROM lineitem)"
+    price = "(SELECT var_pop(l_extendedprice) * count(*) FROM lineitem)"
+    rows = term_rows(names, f"SELECT '@name' AS term, b@i AS coefficient, sqrt(ssr / (n - k - {apart}) * v@i) AS std_error, "
+                            f"n, 1 - ssr / {price} AS r2, n - k - {apart} AS df_resid FROM fit")
+    return (f"WITH within_supplier AS (SELECT {centred} FROM lineitem WINDOW s AS (PARTITION BY l_suppkey)), {ctes} "
+            f"SELECT term, {r('coefficient', 'std_error', digits=4)}, n, {r('r2 AS r_squared', digits=9)}, "
+            f"df_resid FROM ({rows})")
+
+
+@query("ols_many_levels", _many_sql())
+def ols_many_levels(spark, sf_dir):
+    """Four factors, one with a level per supplier; its own terms are left out of the result."""
+    fit = rg.ols(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"],
+                 ["l_suppkey", *_WAYS])
+    shown = fit.where(~F.col("term").startswith("C(l_suppkey)") & (F.col("term") != "Intercept"))
+    return rounded(shown.select("term", "coefficient", "std_error", "n", "r_squared", "df_resid"), 9).withColumns(
+        {c: F.round(c, 4) for c in ("coefficient", "std_error")})
+
+
 _TWO = """WITH x AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem),
     m AS (SELECT count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb,
                  covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS yb, var_pop(y) AS yy FROM x),

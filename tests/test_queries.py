@@ -11,7 +11,7 @@ from tools.check_oracle import TABLES, compare
 # labelling client; nothing else may leave the JVM.
 IN_PYTHON = {
     "welch_test", "welch_test_large", "welch_daily_test", "mann_whitney_test", "anova_test", "tukey_test", "pearson_test",
-    "spearman_test", "ols_categorical", "ols_numeric", "ols_two", "ols_one_factor", "ols_summary",
+    "spearman_test", "ols_categorical", "ols_numeric", "ols_two", "ols_one_factor", "ols_summary", "ols_many_levels",
     "breusch_pagan", "breusch_pagan_one", "vif", "vif_two", "residuals", "residuals_one",
     "results_json", "classify_days", "fact_sheet_lines",
 }

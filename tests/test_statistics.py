@@ -186,6 +186,42 @@ def test_ols_with_as_many_terms_as_rows_or_a_constant(spark):
     assert fit["a"].df_model == 1 and fit["a"].coefficient > 2
 
 
+def test_three_factors_of_many_levels(spark):
+    rng = np.random.default_rng(8)
+    n = 20_000
+    pdf = pd.DataFrame({f: rng.integers(0, 80, n) for f in "abc"}).map(lambda v: f"l{v:02d}")
+    pdf.loc[rng.random(n) < 0.3, "a"] = "l07"
+    pdf["x"] = rng.normal(5, 2, n) + pdf.b.str[1:].astype(int) / 40
+    effect = {f: rng.normal(0, 3, 80) for f in "abc"}
+    pdf["y"] = 4 + 1.5 * pdf.x + sum(effect[f][pdf[f].str[1:].astype(int)] for f in "abc") + rng.normal(0, 1, n)
+    df = spark.createDataFrame(pdf)
+    # One row in all, one per level, one per pair: not one per combination of three.
+    assert rg._sums(df, "y", ["x"], list("abc")).count() <= 1 + 3 * 80 + 3 * 80 * 80 < 30_000
+    x, names = design(pdf, list("abc"), ["x"])
+    beta, se, resid, r2 = direct_fit(x, pdf.y.to_numpy())
+    fit = {r.term: r for r in rg.ols(df, "y", ["x"], list("abc")).collect()}
+    assert list(fit) == names
+    for i, name in enumerate(names):
+        assert fit[name].coefficient == pytest.approx(beta[i], rel=1e-7, abs=1e-9)
+        assert fit[name].std_error == pytest.approx(se[i], rel=1e-7)
+    assert fit["x"].r_squared == pytest.approx(r2, rel=1e-10) and fit["x"].df_resid == n - len(names)
+    left = rg.residuals(df, "y", ["x"], list("abc")).toPandas()
+    assert left.resid.pow(2).sum() == pytest.approx(resid @ resid)
+
+
+def test_factors_that_depend_on_each_other(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.integers(0, 12, 900)})
+    pdf["b"], pdf["y"] = "g" + (pdf.a // 4).astype(str), pdf.a * 2.0 + rng.normal(0, 1, 900)
+    pdf["a"] = pdf.a.map(lambda v: f"s{v:02d}")
+    fit = rg.ols(spark.createDataFrame(pdf), "y", [], ["a", "b"]).toPandas().set_index("term")
+    x, _ = design(pdf, ["a"], [])
+    _, _, resid, r2 = direct_fit(x, pdf.y.to_numpy())
+    assert fit.r_squared.iloc[0] == pytest.approx(r2) and fit.df_model.iloc[0] == 11
+    left = rg.residuals(spark.createDataFrame(pdf), "y", [], ["a", "b"]).toPandas()
+    assert left.resid.pow(2).sum() == pytest.approx(resid @ resid)
+
+
 def test_one_flag_is_the_pooled_t_test(data):
     pdf, df = data
     a, b = (pdf.delay_arr_sec[pdf.is_weekend == w] for w in (False, True))
