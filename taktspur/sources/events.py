@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.delay import known, seconds_between
 from ..functions.time import parse_time
 from ..schemas import RAW_EVENTS
-from .tables import CSV, csv_headers, lower_names
+from .tables import lower_names, read_by_header
 
 #: Partition column that keeps the rows of one load together.
 LOAD = "ladung"
@@ -18,20 +18,17 @@ TIME_COLUMNS = ["BETRIEBSTAG", "ANKUNFTSZEIT", "AN_PROGNOSE", "ABFAHRTSZEIT", "A
 
 
 def read_event_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_EVENTS,
-                   sep: str = ";", multi_line: bool = False) -> DataFrame:
+                   sep: str = ";", multi_line: bool = False, key: str | None = None,
+                   keep_file: str | None = None) -> DataFrame:
     """Feed files with a header line each; columns are matched by name to the fixed types.
 
     Files are grouped by header and the groups united by name: the order of columns may differ, a
     column that a file lacks is null there, and columns beyond the schema are kept as text.
     """
     kinds = {f.name: f.dataType for f in schema.fields}
-    groups = []
-    for names, files in csv_headers(spark, path, sep).items():
-        text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = (spark.read.options(**{**CSV, "sep": sep}).option("header", True).option("multiLine", multi_line)
-               .schema(text).csv(files))
-        groups.append(raw.select(*[
-            F.col(f"`{n}`").try_cast(kinds[n]).alias(n) if n in kinds else F.col(f"`{n}`") for n in names]))
+    groups = [raw.select(*[F.col(f"`{n}`").try_cast(kinds[n]).alias(n) if n in kinds else F.col(f"`{n}`")
+                           for n in raw.columns])
+              for raw in read_by_header(spark, path, key, sep, multi_line, keep_file)]
     if not groups:
         return spark.createDataFrame([], schema)
     united = union_days(groups)

@@ -198,12 +198,70 @@ def test_feed_filter_reaches_the_file(spark, tmp_path):
     assert "IsNotNull(v)" in pushed(complete_rows(spark.read.parquet(path), ["v"]))
 
 
-def test_cells_beyond_the_columns_fail(spark, tmp_path):
-    from taktspur.sources.tables import csv_cells
+def read_rows(spark, path):
+    return [tuple(r) for frame in tb.read_by_header(spark, str(path)) for r in frame.collect()]
+
+
+def test_cells_beyond_the_header_fail(spark, tmp_path):
     for name, text in (("good", 'a;b\n"x;y;""z";1\n2\n\n3;\n'), ("wide", "a;b\n1;2;3\n"), ("blank", "a;b\n1;2;;4\n")):
         (tmp_path / f"{name}.csv").write_text(text)
-    got = [r.cells for r in csv_cells(spark.read, str(tmp_path / "good.csv"), columns=2).collect()]
-    assert got == [["a", "b"], ['x;y;"z', "1"], ["2", None], ["3", None]]
+    assert read_rows(spark, tmp_path / "good.csv") == [('x;y;"z', "1"), ("2", None), ("3", None)]
     for name in ("wide", "blank"):
         with pytest.raises(Exception, match="more than 2 cells"):
-            csv_cells(spark.read, str(tmp_path / f"{name}.csv"), columns=2).collect()
+            read_rows(spark, tmp_path / f"{name}.csv")
+
+
+def test_headers_of_many_files_are_found_by_tasks(spark, tmp_path):
+    kinds = [["a", "b"], ["b", "a"], ["a", "b", "c"]]
+    for i in range(60):
+        names = kinds[i % 3]
+        values = {"a": f"a{i}", "b": f"b{i}", "c": f"c{i}"}
+        (tmp_path / f"f{i:02d}.csv").write_text(";".join(names) + "\n" + (";".join(values[n] for n in names) + "\n") * 3)
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n\n")
+    (tmp_path / "mark.csv").write_bytes(b"\xef\xbb\xbfa;b\r\n1;2\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = tb.csv_headers(spark, str(tmp_path))
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert {k: len(v) for k, v in found.items()} == {("a", "b"): 21, ("b", "a"): 20, ("a", "b", "c"): 20}
+    schema = "a string, b string, c string"
+    got = ev.read_event_csv(spark, str(tmp_path), spark.createDataFrame([], schema).schema)
+    rows = got.select("a", "b", "c").distinct().collect()
+    assert got.count() == 181 and len(rows) == 61
+    assert all(r.a == "1" or (r.a[1:] == r.b[1:] and r.c in (None, f"c{r.a[1:]}")) for r in rows)
+    # The same where tasks hold several files and files are split.
+    lines = spark.read.text(str(tmp_path)).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where("line <> ''").coalesce(2)
+    assert len(tb._first_lines(lines, once=False)) == 61
+
+
+def test_header_of_a_large_file(spark, tmp_path):
+    (tmp_path / "large.csv").write_text("a;b\n" + "1;2\n" * 400_000)
+    read = spark.read.text(str(tmp_path)).select(F.lit("f").alias("file"), F.col("value").alias("line"))
+    assert [r.line for r in tb._first_lines(read.coalesce(1), once=True)] == ["a;b"]
+    assert tb.csv_headers(spark, str(tmp_path)) == {("a", "b"): [f"file:{tmp_path}/large.csv"]}
+
+
+def test_file_names_with_blanks_and_signs(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "x y%z+ä.csv").write_text(HEADER + "\n" + feed_line(DAY) + "\n", encoding="utf-8")
+    (folder / "none.csv").write_text("")
+    load_new_days(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "mark"), "Zug", "EINS")
+    load_new_days(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "mark"), "Zug", "EINS")
+    assert ev.read_days(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_filter_reaches_the_feed_file(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("PRODUKT_ID;BETREIBER_ABK;v\nZug;EINS;1\nBus;EINS;2\n")
+    schema = spark.createDataFrame([], "PRODUKT_ID string, BETREIBER_ABK string, v int").schema
+    kept = ev.read_event_csv(spark, str(tmp_path), schema).where(ev.kept_rows("Zug", "EINS"))
+    text = pushed(kept)
+    assert "EqualTo(PRODUKT_ID,Zug)" in text and "EqualTo(BETREIBER_ABK" in text
+    assert [r.v for r in kept.collect()] == [1]
+
+
+def test_file_without_the_key_column_fails(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a;b\n1;2\n")
+    with pytest.raises(ValueError, match="no column BETRIEBSTAG"):
+        ev.read_event_csv(spark, str(tmp_path), key="BETRIEBSTAG")
