@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from taktspur.functions.text import STOPWORDS
 from taktspur.operators import joins as jn
+from taktspur.operators.names import match_questions
+from taktspur.operators.nearest import with_nearest
 from taktspur.plans import fact_sheet, prepared, station_map
 
 from .registry import query, r, rounded
 from .tables import (clean_events, feature_events, prepared_events, sql, sql_more, stations,
-                     stop_events, table)
+                     stations_raw, stop_events, table)
 
 
 @query("nearest_point", sql("near", f"""
@@ -19,6 +24,26 @@ def nearest_point(spark, sf_dir):
         "number", "nearest_weather_abbr", "weather_distance_km"))
 
 
+_SPOT = {"s_lat": "45.8{d} + (s_suppkey * 53 % 211) / 100{d} + s_suppkey / 1000000{d}",
+         "s_lon": "6.0{d} + (s_suppkey * 17 % 449) / 100{d}"}
+_SPOT_SQL = ", ".join(f"{re.sub(r'([0-9.]+){d}', r'cast(' + chr(92) + '1 AS double)', e)} AS {n}" for n, e in _SPOT.items())
+
+
+@query("nearest_of_table", sql_more("stations_raw", f"""points AS (SELECT s_suppkey, {_SPOT_SQL} FROM supplier),
+    apart AS (
+        SELECT number, s_suppkey, sqrt((lat - s_lat) * (lat - s_lat) + (lon - s_lon) * (lon - s_lon)
+               * pow(cos(radians((SELECT avg(s_lat) FROM points))), 2)) * 111.0 AS km FROM stations_raw, points)""", f"""
+    SELECT number, s_suppkey AS nearest, {r("km AS distance_km")} FROM apart
+    QUALIFY row_number() OVER (PARTITION BY number ORDER BY km, s_suppkey) = 1"""))
+def nearest_of_table(spark, sf_dir):
+    """The nearest supplier of every customer."""
+    points = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", *[F.expr(e.format(d="D")).alias(n) for n, e in _SPOT.items()])
+    places = stations_raw(spark, sf_dir).select("number", "lat", "lon")
+    near = with_nearest(places, points, "s_suppkey", point_lat="s_lat", point_lon="s_lon")
+    return rounded(near.select("number", "nearest", "distance_km"))
+
+
 @query("station_points", sql("near", """
     SELECT best.abbr AS nearest_weather_abbr, count(*) AS n_stations FROM near GROUP BY 1"""))
 def station_points(spark, sf_dir):
@@ -122,6 +147,34 @@ def keyword_match(spark, sf_dir):
     return rounded(fact_sheet.keyword_stations(named, QUESTION))
 
 
+_WORDS = "[a-zäöü]{4,}"
+_SKIPPED = ", ".join(f"'{w}'" for w in STOPWORDS)
+
+
+@query("question_names", f"""
+    WITH names AS (
+        SELECT name, count(*) AS n, avg(turn) AS mean_turn
+        FROM (SELECT turn, unnest(regexp_extract_all(lower(text), '[a-zäöü]{{6,}}')) AS name
+              FROM conversations WHERE role = 'assistant') GROUP BY name HAVING count(*) >= 2),
+    asked AS (
+        SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '{_WORDS}')) AS word
+        FROM conversations WHERE role = 'user'),
+    words AS (SELECT DISTINCT word FROM asked WHERE word NOT IN ({_SKIPPED})),
+    held AS (SELECT word, name, n, mean_turn FROM words, names WHERE contains(name, word)),
+    hits AS (SELECT DISTINCT conv_id, turn, name, n, mean_turn FROM asked JOIN held USING (word))
+    SELECT conv_id, turn, name, n, {r("mean_turn")},
+           row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, name) AS rank
+    FROM hits QUALIFY rank <= 8""")
+def question_names(spark, sf_dir):
+    """For every user turn the names that hold one of its keywords; longer words of the answers are the names."""
+    turns = table(spark, sf_dir, "conversations")
+    spoken = turns.where("role = 'assistant'").select(
+        "turn", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zäöü]{6,}"), F.lit(0))).alias("name"))
+    names = spoken.groupBy("name").agg(F.count("*").alias("n"), F.avg("turn").alias("mean_turn")).where("n >= 2")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return rounded(match_questions(asked, names, ["conv_id", "turn"], name="name"))
+
+
 @query("station_events_inner", sql("ev stations", f"""
     SELECT cantonabbreviation AS canton, count(*) AS n, {r("avg(delay_arr_sec) AS mean_delay")}
     FROM ev JOIN stations ON bpuic = number GROUP BY cantonabbreviation"""))
