@@ -15,13 +15,17 @@ _PARTS = {"Nacht": "hour BETWEEN 1 AND 6", "Vormittag": "hour BETWEEN 7 AND 12",
           "Nachmittag": "hour BETWEEN 13 AND 18", "Abend": "hour BETWEEN 19 AND 24"}
 
 
-@query("day_context", sql_more("prep", """
+_TOP_STATIONS = """
     g AS (SELECT betriebstag, haltestellen_name, avg(delay_arr_sec) AS m, count(*) AS n FROM prep
           GROUP BY 1, 2 HAVING count(*) >= 3),
+    worst AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY betriebstag
+              ORDER BY m DESC, haltestellen_name) <= 5)"""
+
+
+@query("day_context", sql_more("prep", _TOP_STATIONS + """,
     t AS (SELECT betriebstag, string_agg(concat(haltestellen_name, '|', cast(round_even(m, 0) AS bigint), '|', n), ';'
                  ORDER BY m DESC, haltestellen_name) AS top_stations
-          FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY betriebstag
-                ORDER BY m DESC, haltestellen_name) <= 5) GROUP BY 1)""", f"""
+          FROM worst GROUP BY 1)""", f"""
     SELECT p.betriebstag, arg_min(weekday, ankunftszeit) AS weekday, count(*) AS n_halte,
            {r("avg(delay_arr_sec) AS mean_delay", "100.0 * count(*) FILTER (is_late_3min) / count(*) AS pct_late_3min",
               "round_even(avg(temperatur_c), 1) AS temperatur_c", "round_even(avg(niederschlag_mm), 1) AS niederschlag_mm",
@@ -39,30 +43,52 @@ def day_context(spark, sf_dir):
         F.concat_ws(";", listed).alias("top_stations")))
 
 
-@query("prompt_rows")
+_CAUSES = "\n".join(f"- {c}" for c in dlb.TAXONOMY)
+_MEANS = {"temperatur_c": "avg(temperatur_c)", "niederschlag_mm": "avg(niederschlag_mm)", "wind_ms": "avg(wind_ms)",
+          "niederschlag_max": "max(niederschlag_mm)"}
+
+# The ten worst days with the text of their request.
+_REQUESTS = _TOP_STATIONS + f""",
+    listed AS (SELECT betriebstag, list({{'name': haltestellen_name, 'mean_delay_sec': round_even(m, 0), 'n_halte': n}}
+                      ORDER BY m DESC, haltestellen_name) AS top FROM worst GROUP BY 1),
+    context AS (
+        SELECT p.betriebstag, arg_min(weekday, ankunftszeit) AS wd, count(*) AS n, avg(delay_arr_sec) AS m,
+               100.0 * count(*) FILTER (is_late_3min) / count(*) AS p,
+               coalesce(any_value(top), []) AS top,
+               {{{", ".join(f"'{k}': round_even({v}, 1)" for k, v in _MEANS.items())}}} AS weather,
+               {{{", ".join(f"'{k}': round_even(avg(delay_arr_sec) FILTER ({c}), 0)" for k, c in _PARTS.items())}}} AS parts
+        FROM prep p LEFT JOIN listed l ON l.betriebstag = p.betriebstag GROUP BY p.betriebstag
+        ORDER BY p DESC, p.betriebstag LIMIT 10),
+    requests AS (
+        SELECT *, concat('Moegliche Ursachen:\n{_CAUSES}\n\nMesswerte des Tages ', betriebstag, ' (', coalesce(wd, '?'), ') als JSON:\n',
+                         to_json({{'date': cast(betriebstag AS varchar), 'weekday': wd, 'n_halte': n, 'mean_delay': round(m, 1),
+                                  'pct_late_3min': round(p, 1), 'top_stations': top, 'weather': weather, 'by_daytime': parts}}),
+                         '\n\nNenne die Ursache, die am besten dazu passt.') AS prompt FROM context)"""
+
+
+@query("prompt_rows", sql_more("prep", _REQUESTS, "SELECT betriebstag, prompt FROM requests"))
 def prompt_rows(spark, sf_dir):
+    """The requests about the ten worst days, word for word."""
     context = dlb.worst_day_context(stored_prepared(spark, sf_dir), min_n=3)
     return dlb.prompt_rows(context).select("betriebstag", "prompt")
 
 
-_LABELLED = """
-    days AS (SELECT betriebstag, arg_min(weekday, ankunftszeit) AS wd, avg(delay_arr_sec) AS m,
-                    100.0 * count(*) FILTER (is_late_3min) / count(*) AS p,
-                    round_even(avg(niederschlag_mm), 1) AS rain, round_even(avg(wind_ms), 1) AS wind
-             FROM prep GROUP BY 1),
-    labelled AS (SELECT *, CASE WHEN coalesce(rain, 0) > 1 THEN 'wetter_regen' WHEN coalesce(wind, 0) > 10 THEN 'wetter_sturm'
-                                WHEN wd IN ('Sa', 'So') THEN 'wochenende_baustelle' ELSE 'unbestimmbar' END AS cause
-                 FROM days ORDER BY p DESC, betriebstag LIMIT 10)"""
+_LABELLED = _REQUESTS + """,
+    labelled AS (SELECT *, coalesce(weather.niederschlag_mm, 0) AS rain,
+                        CASE WHEN coalesce(weather.niederschlag_mm, 0) > 1 THEN 'wetter_regen'
+                             WHEN coalesce(weather.wind_ms, 0) > 10 THEN 'wetter_sturm'
+                             WHEN wd IN ('Sa', 'So') THEN 'wochenende_baustelle' ELSE 'unbestimmbar' END AS cause,
+                        printf('%.1f %% der Halte verspaetet.', round(p, 1)) AS reason FROM requests)"""
 
 
 @query("classify_days", sql_more("prep", _LABELLED, f"""
     SELECT betriebstag AS datum, wd AS wochentag, {r("round_even(p, 1) AS pct_late_3min", "round_even(m, 1) AS mean_delay_s")},
-           cause AS llm_ursache, 'niedrig' AS llm_konfidenz,
-           printf('%.1f %% der Halte verspaetet.', p) AS llm_begruendung FROM labelled"""))
+           cause AS llm_ursache, 'niedrig' AS llm_konfidenz, reason AS llm_begruendung,
+           {r("((length(prompt) // 4) * 3.0 + (length(concat('Antwort: {\"primaere_ursache\": \"', cause, '\", \"konfidenz\": \"niedrig\", \"begruendung\": \"', reason, '\"}')) // 4) * 15.0) / 1000000 AS cost", digits=9)} FROM labelled"""))
 def classify_days(spark, sf_dir):
-    """The ten worst days labelled by the offline stand-in for a model."""
+    """The ten worst days labelled by the offline stand-in for a model, with the cost of each call."""
     context = dlb.worst_day_context(stored_prepared(spark, sf_dir), min_n=3)
-    return rounded(dlb.classify_days(context).drop("cost"))
+    return rounded(dlb.classify_days(context), 9)
 
 
 _REPLY = """CASE WHEN event_type = 'error' THEN props

@@ -6,13 +6,14 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.delay import known
 from ..functions.text import parsed_reply
 from ..functions.time import day_part
 from ..operators.grouped import daily, group_means, top_by
-from ..session import materialized
+from ..session import materialized, new_run_dir
+from ..sources.tables import optional_parquet
 
 # The causes a reply may name, and prices per million tokens.
 TAXONOMY = [
@@ -23,18 +24,26 @@ TAXONOMY = [
 ]
 PRICE_IN, PRICE_OUT = 3.0, 15.0
 
-# Wording of the request; causes, day, weekday, context as JSON.
-REQUEST = ("Taxonomie der moeglichen Ursachen:\n%s\n\n"
-           "Kontext-Daten fuer den Tag %s (%s):\n%s\n\n"
-           "Welche Hypothese ist am plausibelsten?")
+# Causes, day, weekday, measurements as JSON.
+REQUEST = ("Moegliche Ursachen:\n%s\n\n"
+           "Messwerte des Tages %s (%s) als JSON:\n%s\n\n"
+           "Nenne die Ursache, die am besten dazu passt.")
 
-# What a client should tell its model about the reply.
-REPLY_FORMAT = ('Genau ein JSON-Objekt mit den Feldern "primaere_ursache" (ein Eintrag der Taxonomie), '
-                '"begruendung" (zwei bis drei Saetze, nur aus dem Kontext) und "konfidenz" '
-                '(hoch, mittel oder niedrig).')
+# Goes to the model with every request.
+RULES = ('Du beurteilst Verspaetungen im oeffentlichen Verkehr. Stuetze dich nur auf die Messwerte der Anfrage; '
+         'sind sie nicht eindeutig, ist die Ursache "unbestimmbar". Antworte mit genau einem JSON-Objekt mit den '
+         'Feldern "primaere_ursache" (einer der moeglichen Ursachen), "begruendung" (zwei bis drei Saetze) und '
+         '"konfidenz" (hoch, mittel oder niedrig).')
 
-# A client takes a prompt and gives the reply with its token counts.
-Client = Callable[[str], tuple[str, int, int]]
+# A client takes the rules and a prompt and gives the reply with its token counts.
+Client = Callable[[str, str], tuple[str, int, int]]
+
+_ANSWERS = T.StructType([
+    T.StructField("request", T.StringType()), T.StructField("reply", T.StringType()),
+    T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType()),
+    T.StructField("error", T.StringType())])
+#: Requests asked between two writes of the answers, and by one task of these.
+WAVE, PER_TASK = 512, 4
 
 
 def day_context(prepared: DataFrame, days: DataFrame | None = None, day: str = "betriebstag",
@@ -87,17 +96,18 @@ def worst_day_context(prepared: DataFrame, k_days: int = 10, **options) -> DataF
 
 
 def prompt_rows(context: DataFrame, day: str = "betriebstag") -> DataFrame:
-    """One request text per day: the causes, the day, its context as JSON."""
-    body = F.struct(F.col(day).cast("string").alias("date"), "weekday", "n_halte", "mean_delay",
-                    "pct_late_3min", "top_stations", "weather", "by_daytime")
+    """One request text per day: the causes, the day, its context as JSON with one digit after the point."""
+    body = F.struct(F.col(day).cast("string").alias("date"), "weekday", "n_halte",
+                    F.round("mean_delay", 1).alias("mean_delay"), F.round("pct_late_3min", 1).alias("pct_late_3min"),
+                    "top_stations", "weather", "by_daytime")
     text = F.format_string(
         REQUEST, F.lit("\n".join(f"- {t}" for t in TAXONOMY)), F.col(day).cast("string"),
         F.coalesce("weekday", F.lit("?")),
-        F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"}))
+        F.to_json(body, {"ignoreNullFields": "false"}))
     return context.withColumn("prompt", text)
 
 
-def offline_client(prompt: str) -> tuple[str, int, int]:
+def offline_client(rules: str, prompt: str) -> tuple[str, int, int]:
     """Stands in for a language model: names a cause from the numbers in the prompt."""
     context = json.loads(prompt[prompt.index("{"):prompt.rindex("}") + 1])
     weather = context["weather"]
@@ -115,22 +125,51 @@ def offline_client(prompt: str) -> tuple[str, int, int]:
     return text, len(prompt) // 4, len(text) // 4
 
 
-def ask(prompts: DataFrame, client: Client = offline_client) -> DataFrame:
-    """Adds reply and token counts; the client runs on the executors, row by row.
+def ask(prompts: DataFrame, client: Client = offline_client, rules: str = RULES,
+        answers: str | None = None) -> DataFrame:
+    """Adds reply and token counts; the client runs on the executors.
 
-    A lost task is repeated, so a client that costs money should remember its answers.
+    Answers are kept in the folder ``answers``, by a hash of rules and prompt, and written after every
+    ``WAVE`` requests. Only requests without an answer there are asked, equal ones once, so that a run
+    repeated after a failure, or with some days more, asks what is absent. A request whose client
+    fails does not take others with it: their answers are written before the run ends with an
+    error. A lost executor repeats at most the ``PER_TASK`` requests of each of its tasks. Without
+    a folder the answers serve this frame only.
     """
-    schema = prompts.schema.simpleString()[len("struct<"):-1]
+    spark = prompts.sparkSession
+    path = answers or new_run_dir(spark, "answers")
+    request = F.sha2(F.concat(F.lit(rules), F.lit("\n"), F.col("prompt")), 256)
+    asked = materialized(prompts.withColumn("request", request))
+    distinct = materialized(asked.groupBy("request").agg(F.first("prompt").alias("prompt")))
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = [client(p) for p in batch["prompt"]]
-            yield batch.assign(
-                reply=[a[0] for a in answers],
-                input_tokens=[a[1] for a in answers],
-                output_tokens=[a[2] for a in answers])
-
-    return prompts.mapInPandas(call, f"{schema},reply:string,input_tokens:bigint,output_tokens:bigint")
+            rows = []
+            for key, prompt in zip(batch["request"], batch["prompt"]):
+                try:
+                    rows.append((key, *client(rules, prompt), None))
+                except Exception as error:
+                    rows.append((key, None, None, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["request", "reply", "input_tokens", "output_tokens", "error"]).astype(
+                {"input_tokens": "Int64", "output_tokens": "Int64"})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _ANSWERS)
+    while True:
+        known = optional_parquet(spark, path, _ANSWERS).where("error is null").select(*_ANSWERS.names[:-1])
+        absent = distinct.join(known, "request", "left_anti")
+        wave = materialized(absent.orderBy("request").limit(WAVE))
+        size = wave.count()
+        if not size:
+            break
+        before = wave.select("request")
+        wave.repartition(-(-size // PER_TASK), "request").mapInPandas(call, schema).write.mode("append").parquet(path)
+        failed = (spark.read.schema(_ANSWERS).parquet(path).join(before, "request").groupBy("request")
+                  .agg(F.count_if(F.col("error").isNull()).alias("ok"), F.max("error").alias("error"))
+                  .where("ok = 0").agg(F.count("*").alias("n"), F.max("error").alias("error")).first())
+        if failed["n"]:
+            raise RuntimeError(f"{failed['n']} of {size} requests failed ({failed['error']}); the others are kept in {path}")
+    one = known.groupBy("request").agg(F.first(F.struct("reply", "input_tokens", "output_tokens")).alias("a"))
+    return asked.join(one, "request").select(*prompts.columns, "a.*")
 
 
 def call_cost() -> Column:
@@ -138,15 +177,12 @@ def call_cost() -> Column:
     return (F.col("input_tokens") * PRICE_IN + F.col("output_tokens") * PRICE_OUT) / 1e6
 
 
-def classify_days(context: DataFrame, client: Client = offline_client,
-                  day: str = "betriebstag") -> DataFrame:
-    """One labelled row per context row, with the cost of its call.
-
-    The answers are stored at once, so that reading the result again asks nothing again.
-    """
+def classify_days(context: DataFrame, client: Client = offline_client, day: str = "betriebstag",
+                  rules: str = RULES, answers: str | None = None) -> DataFrame:
+    """One labelled row per context row, with the cost of its call; ``answers`` as for ``ask``."""
     requests = prompt_rows(context, day).select(
         day, "weekday", "pct_late_3min", "mean_delay", "prompt")
-    answered = materialized(ask(requests, client))
+    answered = ask(requests, client, rules, answers)
     return answered.select(
         F.col(day).alias("datum"), F.col("weekday").alias("wochentag"),
         F.bround("pct_late_3min", 1).alias("pct_late_3min"),

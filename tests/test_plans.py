@@ -98,7 +98,8 @@ def test_day_context_against_pandas(prepared):
 
 
 def test_days_are_labelled_and_cost_is_summed(prepared):
-    def client(prompt):
+    def client(rules, prompt):
+        assert "primaere_ursache" in rules
         if "(Mo)" in prompt:
             return "keine Antwort", 10, 1
         return 'Text {"primaere_ursache": "wetter_regen", "konfidenz": "hoch", "begruendung": "x"} Ende', 1000, 200
@@ -117,7 +118,7 @@ def test_days_are_labelled_and_cost_is_summed(prepared):
 def test_each_day_is_asked_once(prepared, tmp_path):
     log = str(tmp_path / "calls")
 
-    def client(prompt):
+    def client(rules, prompt):
         with open(log, "a") as f:
             f.write("x\n")
         return "{}", 1, 1
@@ -128,6 +129,64 @@ def test_each_day_is_asked_once(prepared, tmp_path):
         assert len(f.readlines()) == 4
 
 
+def test_answers_outlive_failures_and_runs(prepared, tmp_path, monkeypatch):
+    log, store = str(tmp_path / "calls"), str(tmp_path / "answers")
+    context = dlb.worst_day_context(prepared, k_days=8, min_n=1)
+    bad = str(dlb.prompt_rows(context).agg(F.max("betriebstag")).first()[0])
+
+    def client_that(ends):
+        def client(rules, prompt):
+            if ends and f"Tages {bad}" in prompt:
+                ends()
+            with open(log, "a") as f:
+                f.write(prompt[-400:].replace("\n", " ") + "\n")
+            return "{}", 1, 1
+        return client
+
+    def fail():
+        raise ValueError("no connection")
+
+    def calls():
+        with open(log) as f:
+            return f.readlines()
+
+    with pytest.raises(RuntimeError, match="1 of 8 requests failed .*no connection"):
+        dlb.classify_days(context, client_that(fail), answers=store)
+    assert len(calls()) == 7
+    assert dlb.classify_days(context, client_that(None), answers=store).count() == 8
+    assert len(calls()) == len(set(calls())) == 8
+    # More days later: only the new ones are asked. Other rules are other requests.
+    assert dlb.classify_days(dlb.worst_day_context(prepared, k_days=10, min_n=1), client_that(None), answers=store).count() == 10
+    assert len(set(calls())) == len(calls()) == 10
+    dlb.classify_days(context, client_that(None), rules="other rules", answers=store)
+    assert len(calls()) == 18
+
+
+def test_answers_before_a_lost_worker_are_kept(prepared, tmp_path, monkeypatch):
+    log, store = str(tmp_path / "calls"), str(tmp_path / "answers")
+    monkeypatch.setattr(dlb, "WAVE", 3)
+    monkeypatch.setattr(dlb, "PER_TASK", 1)
+    context = dlb.worst_day_context(prepared, k_days=8, min_n=1)
+
+    def client(rules, prompt):
+        import os
+        with open(log, "a") as f:
+            f.write(prompt + "\n=====\n")
+        with open(log) as f:
+            done = f.read().count("=====")
+        if done == 5 and not os.path.exists(log + ".lost"):
+            open(log + ".lost", "w").close()
+            os._exit(1)
+        return "{}", 1, 1
+
+    with pytest.raises(Exception):
+        dlb.classify_days(context, client, answers=store).collect()
+    assert dlb.classify_days(context, client, answers=store).count() == 8
+    with open(log) as f:
+        # The three answers of the first wave were kept; only what that wave left open was asked.
+        assert f.read().count("=====") <= 8 + 3
+
+
 def test_prompt_holds_taxonomy_day_and_context(prepared):
     row = dlb.prompt_rows(dlb.worst_day_context(prepared, k_days=1, min_n=1)).first()
     assert all(f"- {t}\n" in row.prompt + "\n" for t in dlb.TAXONOMY) and str(row.betriebstag) in row.prompt
@@ -135,7 +194,7 @@ def test_prompt_holds_taxonomy_day_and_context(prepared):
     assert body["n_halte"] == row.n_halte and set(body["weather"]) == {
         "temperatur_c", "niederschlag_mm", "wind_ms", "niederschlag_max"}
     assert "Abend" in body["by_daytime"]
-    reply, tokens_in, _ = dlb.offline_client(row.prompt)
+    reply, tokens_in, _ = dlb.offline_client(dlb.RULES, row.prompt)
     assert "primaere_ursache" in reply and tokens_in > 0
 
 

@@ -51,7 +51,7 @@ def test_query(spark, ducks, name):
 
 def test_every_sql_has_its_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"prompt_rows", "results_json"}
+    assert set(QUERIES) - set(ORACLE) == {"results_json"}
 
 
 def test_entry(spark, sf_dir):
