@@ -282,7 +282,8 @@ _EVENT_HASH = "substr(md5(concat('42-', fahrt_bezeichner)), 1, 15)"
     SELECT fahrt_bezeichner, {r('delay_arr_sec')} FROM (SELECT * FROM clean ORDER BY {_EVENT_HASH} LIMIT 5000)"""))
 def sample_rows(spark, sf_dir):
     """5,000 events in the order of a hash both engines have."""
-    picked = gr.sample_rows(clean_events(spark, sf_dir), 5000, F.expr(_EVENT_HASH))
+    order = F.conv(F.expr(_EVENT_HASH), 16, 10).cast("bigint")
+    picked = gr.sample_rows(clean_events(spark, sf_dir), 5000, order)
     return rounded(picked.select("fahrt_bezeichner", "delay_arr_sec"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.delay import DELAY_CLASSES, LATE_AFTER_SEC, known, late_flag
@@ -172,27 +174,44 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return values.distinct().groupBy("column").agg(F.count("*").alias("n_distinct"))
 
 
+def _upper_ends(hashed: DataFrame, group: str, n: int) -> DataFrame:
+    """(group, _top): the least bound on ``_order`` known to hold the first n rows, and at most 2n beyond.
+
+    Rows are counted by leading bits, twelve at a time. Only the rows of the bucket in which the n-th row
+    lies are counted by the next bits, and only in groups where that bucket is larger than 2n.
+    """
+    done, rows = [], hashed.withColumn("_below", F.lit(0).cast("long"))
+    for shift in (52, 40, 28, 16, 4, 0):
+        counts = rows.groupBy(group, F.shiftright("_order", shift).alias("_lead"), "_below").agg(F.count("*").alias("c"))
+        # At most 2**12 buckets of a group.
+        below = F.col("_below") + F.sum("c").over(Window.partitionBy(group).orderBy("_lead")) - F.col("c")
+        edges = materialized(counts.withColumn("_below", below).where(F.col("_below") < n).groupBy(group)
+                             .agg(F.max(F.struct("_lead", "_below", "c")).alias("e")).select(group, "e.*"))
+        top = F.shiftleft("_lead", shift).bitwiseOR(F.lit((1 << shift) - 1))
+        wide = F.col("c") > 2 * n
+        if shift == 0 or edges.where(wide).isEmpty():
+            return reduce(DataFrame.unionAll, [*done, edges.select(group, top.alias("_top"))])
+        done.append(edges.where(~wide).select(group, top.alias("_top")))
+        open_edges = edges.where(wide).select(group, F.col("_lead").alias("_edge"), "_below")
+        rows = lookup(hashed, open_edges, [group]).where(F.shiftright("_order", shift) == F.col("_edge"))
+
+
 def sample_per_group(df: DataFrame, group: str, n: int, order: Column) -> DataFrame:
     """At most n rows per group, without replacement: those first in a pseudo-random order.
 
-    ``order`` is a 64-bit hash of the row key and a seed, so that the sample is repeatable. A
-    first pass counts rows per group and leading bits of the hash, which tells up to which
-    bits the sample reaches; only rows up to there, little more than n per group, are ranked.
+    ``order`` is a 64-bit hash of the row key and a seed, so that the sample is repeatable. Counts by
+    leading bits of the hash tell up to which value the sample reaches; no more than 3n rows of
+    a group are ranked, whatever its size (but for rows with equal hashes).
     """
     hashed = df.where(F.col(group).isNotNull()).withColumn("_order", order)
-    lead = F.shiftright("_order", 48)
-    below = F.sum("c").over(Window.partitionBy(group).orderBy("_lead")) - F.col("c")
-    edges = (hashed.groupBy(group, lead.alias("_lead")).agg(F.count("*").alias("c"))
-             .withColumn("_below", below).where(F.col("_below") < n)
-             .groupBy(group).agg(F.max("_lead").alias("_edge")))
-    near = lookup(hashed, materialized(edges), [group]).where(lead <= F.col("_edge"))
+    near = lookup(hashed, _upper_ends(hashed, group, n), [group]).where(F.col("_order") <= F.col("_top"))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("_order"))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_order", "_edge", "_rank")
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_order", "_top", "_rank")
 
 
 def sample_rows(df: DataFrame, n: int, order: Column) -> DataFrame:
-    """n rows first in a pseudo-random order."""
-    return df.orderBy(order).limit(n)
+    """n rows first in a pseudo-random order, found in the same way over all rows as one group."""
+    return sample_per_group(df.withColumn("_all", F.lit(0)), "_all", n, order).drop("_all")
 
 
 def seeded(seed: int, *key: str) -> Column:

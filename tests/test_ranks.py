@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from taktspur.operators import ranks, shape
+from taktspur.operators import grouped as gr, ranks, shape
 from taktspur.operators.joins import lookup, split_join, station_lookup
 
 
@@ -171,3 +171,24 @@ def test_doubled_station_does_not_double_events(spark):
     stations = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "number int, name string")
     got = station_lookup(events, stations, {"name": "station"}).orderBy("v").collect()
     assert [(r.bpuic, r.station) for r in got] == [(1, "a"), (2, "c"), (None, None)]
+
+
+@pytest.mark.parametrize("n", [1, 5, 60])
+def test_samples_are_the_first_rows_by_hash(spark, n):
+    rng = np.random.default_rng(n)
+    groups = np.where(rng.random(30_000) < 0.6, "hot", rng.choice(list("abc"), 30_000))
+    pdf = pd.DataFrame({"g": groups, "i": np.arange(30_000)})
+    pdf.loc[:3, "g"] = "few"
+    df = spark.createDataFrame(pdf).withColumn("h", gr.seeded(n, "i"))
+    # In group b all hashes share their leading 40 bits, in c they reach both ends of the numbers.
+    tight = F.when(F.col("g") == "b", F.expr("shiftrightunsigned(h, 40)")).when(
+        (F.col("g") == "c") & (F.col("i") % 2 == 0), F.lit(2 ** 63 - 1) - F.col("i")).otherwise(F.col("h"))
+    df = df.withColumn("h", tight).persist()
+    full = df.toPandas()
+    got = gr.sample_per_group(df, "g", n, F.col("h")).toPandas()
+    for g, part in full.groupby("g"):
+        assert sorted(got[got.g == g].i) == sorted(part.sort_values("h").i[:n])
+    ends = gr._upper_ends(df.withColumn("_order", F.col("h")), "g", n).toPandas().set_index("g")["_top"]
+    reach = full[full.h <= full.g.map(ends)].groupby("g").size()
+    assert (reach <= 3 * n).all() or n > 9000
+    assert sorted(gr.sample_rows(df, n, F.col("h")).toPandas().i) == sorted(full.sort_values("h").i[:n])
