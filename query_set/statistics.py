@@ -454,3 +454,93 @@ def residuals_one(spark, sf_dir):
 @query("results_json")
 def results_json(spark, sf_dir):
     return st.result_rows(stored_prepared(spark, sf_dir), min_station=40)
+
+
+def _leaves(prefix, source, *fields):
+    """SQL: one row per field ('name' or 'expression AS name') of a one-row source."""
+    rows = []
+    for f in fields:
+        expr, _, name = f.rpartition(" AS ")
+        rows.append(f"SELECT '{prefix}{name}' AS path, cast({expr or name} AS double) AS number, cast(NULL AS varchar) AS text FROM {source}")
+    return rows
+
+
+def _texts(prefix, source, *fields):
+    rows = []
+    for f in fields:
+        expr, _, name = f.rpartition(" AS ")
+        rows.append(f"SELECT '{prefix}{name}' AS path, cast(NULL AS double) AS number, cast({expr} AS varchar) AS text FROM {source}")
+    return rows
+
+
+def _document_sql():
+    made = {}
+
+    def once(name, body):
+        made[name] = body
+        return name
+
+    flags = ["p < 0.05 AS significant_at_005", "p < 0.0125 AS significant_at_bonferroni"]
+    rows = _leaves("", "(SELECT 1)", "0.0125 AS alpha_bonferroni", "4 AS n_test_families")
+    rows += _leaves("", "rows", "count(*) AS n_total_events", "count(delay_arr_sec) AS n_valid_arrival",
+                    "avg(delay_arr_sec) AS mean_delay_sec", "quantile_cont(delay_arr_sec, 0.5) AS median_delay_sec",
+                    "quantile_cont(delay_arr_sec, 0.95) AS p95_delay_sec",
+                    "100.0 * count(*) FILTER (delay_arr_sec > 180) / count(delay_arr_sec) AS pct_classically_delayed",
+                    "100.0 * count(*) FILTER (delay_arr_sec <= 0) / count(delay_arr_sec) AS pct_early_or_punctual")
+    ctes, _ = _tested(_welch_sums("rows", "delay_arr_sec", "is_weekend"), 6)
+    welch = once("welch_row", f"(WITH {ctes} SELECT * FROM p)")
+    at = "test_welch_ttest."
+    rows += _texts(at, welch, "'" + st.TEST_NAMES["welch"].replace("'", "''") + "' AS name")
+    rows += _leaves(at, welch, "t AS t_statistic", "p AS p_value", "mean1 AS mean_werktag_sec", "mean2 AS mean_wochenende_sec",
+                    "n1 AS n_werktag", "n2 AS n_wochenende", "diff AS diff_sec", "diff / sqrt((var1 + var2) / 2) AS cohens_d",
+                    "diff - t95 * se AS diff_ci95_low", "diff + t95 * se AS diff_ci95_high", *flags)
+    anova = once("anova_row", f"(WITH {_anova('rows', 'WHERE n > 100')}{_FP} SELECT *, {f_p('f', 'k - 1', 'n - k')} AS p FROM f)")
+    groups = f"(WITH {_anova('rows', 'WHERE n > 100')} SELECT * FROM p)"
+    kinds = f"(WITH {_anova('rows', 'WHERE n > 100')} SELECT * FROM g WHERE verkehrsmittel_text IS NOT NULL)"
+    at = "test_anova_linientyp."
+    rows += _texts(at, anova, f"'{st.TEST_NAMES['anova']}' AS name")
+    rows += _leaves(at, anova, "f AS f_statistic", "p AS p_value", "k - 1 AS df_between", "n - k AS df_within",
+                    "ssb / (ssb + ssw) AS eta_squared", "k AS n_groups", *flags)
+    rows += [f"SELECT concat('{at}groups.', row_number() OVER (ORDER BY verkehrsmittel_text) - 1), NULL, verkehrsmittel_text FROM {groups}",
+             f"SELECT concat('{at}means_per_group.', verkehrsmittel_text), m, NULL FROM {kinds}",
+             f"SELECT concat('{at}n_per_group.', verkehrsmittel_text), n, NULL FROM {kinds}",
+             f"SELECT concat('verkehrsmittel_text_distribution.', verkehrsmittel_text), n, NULL FROM {kinds}"]
+    for i, c in enumerate(_WEATHER):
+        rows += _texts("weather_columns_found.", "(SELECT 1)", f"'{c}' AS {i}")
+        at = f"test_correlation.{c}."
+        pear = (f"(SELECT *, {t_p('t', 'n - 2')} AS p FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT count(*) AS n, "
+                f"corr({c}, delay_arr_sec) AS r FROM rows WHERE {c} IS NOT NULL) WHERE n >= 1000))")
+        spear = once(f"spear{i}", f"(SELECT *, {t_p('t', 'n - 2')} AS p FROM ({_rho('rows', c, 'delay_arr_sec')}))")
+        rows += _leaves(at, pear, "n", "r AS pearson_r", "p AS pearson_p", "tanh(atanh(r) - 1.96 / sqrt(n - 3)) AS pearson_ci95_low",
+                        "tanh(atanh(r) + 1.96 / sqrt(n - 3)) AS pearson_ci95_high", flags[1])
+        rows += _leaves(at, spear, "rho AS spearman_rho", "p AS spearman_p")
+    ctes, names = least_squares("rows", "delay_arr_sec", _CATEGORICAL)
+    fit = once("fit_row", f"(WITH {ctes} SELECT *, {_F_OF_FIT} AS f, {f_p(_F_OF_FIT, 'k - 1', 'n - k')} AS f_p FROM fit)")
+    at = "test_ols."
+    rows += _texts(at, "(SELECT 1)", f"'{st.TEST_NAMES['ols']}' AS name",
+                   "'delay_arr_sec ~ C(is_rush_hour) + C(is_weekend) + C(verkehrsmittel_text) + niederschlag_mm + temperatur_c' AS formula")
+    rows += _leaves(at, fit, "n AS n_observations", "r2 AS r_squared", "1 - (1 - r2) * (n - 1) / (n - k) AS adj_r_squared",
+                    "f AS f_statistic", "f_p AS f_p_value")
+    p = t_p("b@i / sqrt(s2 * v@i)", "n - k")
+    terms = term_rows(names, f"SELECT '@name' AS term, b@i AS b, sqrt(s2 * v@i) AS se, {p} AS p, {t_95('(n - k)')} AS t95 FROM fit")
+    table = once("fit_terms", f"(WITH {ctes} {terms})")
+    for expr, name in (("b", "value"), ("p", "p"), ("b - t95 * se", "ci95_low"), ("b + t95 * se", "ci95_high")):
+        rows.append(f"SELECT concat('test_ols.coefficients.', term, '.{name}'), {expr}, NULL FROM {table}")
+    top = ("(SELECT *, row_number() OVER (ORDER BY m DESC, haltestellen_name) - 1 AS i FROM (SELECT haltestellen_name, count(*) AS n, "
+           "avg(delay_arr_sec) AS m FROM rows GROUP BY 1 HAVING count(*) >= 40) ORDER BY m DESC, haltestellen_name LIMIT 10)")
+    at = "top_10_stations_highest_mean_delay."
+    rows += [f"SELECT concat('{at}', i, '.station'), NULL, haltestellen_name FROM {top}",
+             f"SELECT concat('{at}', i, '.n'), n, NULL FROM {top}", f"SELECT concat('{at}', i, '.mean_sec'), m, NULL FROM {top}"]
+    rows += _texts("data_range.", "rows", 'min(betriebstag) AS start', 'max(betriebstag) AS end')
+    rows += _leaves("data_range.", "rows", "count(DISTINCT betriebstag) AS n_days",
+                    "date_diff('day', min(betriebstag), max(betriebstag)) + 1 AS n_calendar_span")
+    return sql_more("prep", "rows AS MATERIALIZED (SELECT * FROM prep), " + ", ".join(
+        f"{name} AS MATERIALIZED {body}" for name, body in made.items()) + ", leaves AS (" + "\nUNION ALL ".join(rows) + ")",
+                    f"SELECT path, {r('number', digits=4)}, text FROM leaves")
+
+
+@query("result_document", _document_sql())
+def result_document(spark, sf_dir):
+    """Every value of the nested result document, by its path."""
+    document = st.result_document(stored_prepared(spark, sf_dir), min_station=40)
+    return rounded(st.document_leaves(document), 4)

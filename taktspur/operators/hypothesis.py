@@ -26,6 +26,11 @@ def welch_stats(df: DataFrame, flag: Column, value: str = "delay_arr_sec") -> Da
         F.avg(one).alias("mean1"), F.avg(two).alias("mean2"),
         F.var_samp(one).alias("var1"), F.var_samp(two).alias("var2"),
     )
+    return welch_of(sums)
+
+
+def welch_of(sums: DataFrame) -> DataFrame:
+    """Welch's t from n1, mean1, var1 and n2, mean2, var2, without p."""
     e1, e2 = F.col("var1") / F.col("n1"), F.col("var2") / F.col("n2")
     diff = F.col("mean1") - F.col("mean2")
     return sums.select(
@@ -40,9 +45,8 @@ def welch_stats(df: DataFrame, flag: Column, value: str = "delay_arr_sec") -> Da
     )
 
 
-def welch_test(df: DataFrame, flag: Column, value: str = "delay_arr_sec") -> DataFrame:
-    """Welch's t with p, 95 % interval of the difference and significance flags."""
-    stats = welch_stats(df, flag, value)
+def with_welch_p(stats: DataFrame) -> DataFrame:
+    """p, 95 % interval of the difference and significance flags of a Welch's t."""
     tested = stats.withColumns({
         "p": dist.t_p("t", F.col("df")),
         "log10_p": dist.t_log10_p("t", F.col("df")),
@@ -55,6 +59,11 @@ def welch_test(df: DataFrame, flag: Column, value: str = "delay_arr_sec") -> Dat
     }).drop("t_critical")
 
 
+def welch_test(df: DataFrame, flag: Column, value: str = "delay_arr_sec") -> DataFrame:
+    """Welch's t with p, 95 % interval of the difference and significance flags."""
+    return with_welch_p(welch_stats(df, flag, value))
+
+
 def daily_means(df: DataFrame, flag: Column, day: str = "betriebstag",
                 value: str = "delay_arr_sec") -> DataFrame:
     """Mean per day and flag; a day with both kinds of rows gives two."""
@@ -115,7 +124,8 @@ def group_moments(df: DataFrame, group: str, value: str = "delay_arr_sec",
     return stats.where(F.col("n") > 0).drop("_rows")
 
 
-def _anova_of(stats: DataFrame) -> DataFrame:
+def anova_of(stats: DataFrame) -> DataFrame:
+    """Analysis of variance from n, mean and var (sample variance) per group, without p."""
     grand = stats.agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n"))).scalar()
     gap = F.col("mean") - F.col("_grand")
     sums = stats.withColumn("_grand", grand).agg(
@@ -131,12 +141,12 @@ def _anova_of(stats: DataFrame) -> DataFrame:
 
 def anova(df: DataFrame, group: str, value: str = "delay_arr_sec", more_than: int = 100) -> DataFrame:
     """One-way analysis of variance over the groups with more than that many rows, without p."""
-    return _anova_of(group_moments(df, group, value).where(F.col("n") > more_than))
+    return anova_of(group_moments(df, group, value).where(F.col("n") > more_than))
 
 
 def anova_top(df: DataFrame, group: str, value: str = "delay_arr_sec", k: int = 5) -> DataFrame:
     """The same over the k most frequent groups."""
-    return _anova_of(group_moments(df, group, value, k))
+    return anova_of(group_moments(df, group, value, k))
 
 
 def with_f_test(anova_row: DataFrame) -> DataFrame:

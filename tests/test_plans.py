@@ -264,7 +264,7 @@ def test_empty_table_gives_null_figures(spark):
 
 def test_empty_tables_go_through_every_operator(spark, prepared):
     from taktspur.operators import hypothesis as h, shape
-    from taktspur.plans.statistics import result_rows
+    from taktspur.plans.statistics import result_document, result_rows
     none = prepared.where("false")
     assert shape.describe(none).first().n == 0 and shape.describe(none, by="weekday").isEmpty()
     assert shape.histogram(none, "delay_arr_sec").agg(F.sum("n")).first()[0] == 0
@@ -277,6 +277,8 @@ def test_empty_tables_go_through_every_operator(spark, prepared):
     assert gr.day_range(none).first().n_days == 0
     assert fact_sheet.fact_rows(none, "Halt").where("section = 'hour'").isEmpty()
     assert result_rows(none).where("section = 'test_ols'").isEmpty()
+    document = result_document(none).first()
+    assert document.n_total_events == 0 and document.mean_delay_sec is None and document.test_ols is None
 
 
 def test_ties_go_to_the_smaller_key(spark):

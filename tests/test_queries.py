@@ -13,12 +13,12 @@ IN_PYTHON = {
     "welch_test", "welch_test_large", "welch_daily_test", "mann_whitney_test", "anova_test", "tukey_test", "pearson_test",
     "spearman_test", "ols_categorical", "ols_numeric", "ols_two", "ols_one_factor", "ols_summary", "ols_many_levels",
     "breusch_pagan", "breusch_pagan_one", "vif", "vif_two", "residuals", "residuals_one",
-    "results_json", "classify_days", "fact_sheet_lines",
+    "results_json", "result_document", "classify_days", "fact_sheet_lines",
 }
 
 
 # Fits that need more rows with weather than the smallest tables have.
-NEED_ROWS = {"ols_categorical", "ols_numeric", "ols_summary", "breusch_pagan", "vif", "residuals"}
+NEED_ROWS = {"result_document", "ols_categorical", "ols_numeric", "ols_summary", "breusch_pagan", "vif", "residuals"}
 
 
 def views(folder):

@@ -1,5 +1,6 @@
 """Tests and regressions against direct numpy and pandas calculations."""
 
+import json
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from taktspur.functions import dist
 from taktspur.operators import hypothesis as h, regression as rg
-from taktspur.plans.statistics import result_rows
+from taktspur.plans.statistics import document_json, document_leaves, result_document, result_rows
 
 
 def make(n=5000, seed=11):
@@ -288,6 +289,34 @@ def test_result_rows_hold_all_sections(data):
     assert all(r.body.startswith("{") for r in rows)
 
 
+def test_result_document_is_one_nested_json(data):
+    pdf, df = data
+    df = df.withColumns({"is_late_3min": F.col("delay_arr_sec") > 180})
+    document = result_document(df, min_station=10)
+    body = json.loads(document_json(document).first().document)
+    assert list(body) == [
+        "alpha_bonferroni", "n_test_families", "n_total_events", "n_valid_arrival", "mean_delay_sec", "median_delay_sec",
+        "p95_delay_sec", "pct_classically_delayed", "pct_early_or_punctual", "test_welch_ttest", "test_anova_linientyp",
+        "weather_columns_found", "test_correlation", "test_ols", "top_10_stations_highest_mean_delay",
+        "verkehrsmittel_text_distribution", "data_range"]
+    x = pdf.delay_arr_sec
+    assert (body["n_total_events"], body["n_valid_arrival"]) == (len(pdf), x.notna().sum())
+    assert body["mean_delay_sec"] == pytest.approx(x.mean()) and body["p95_delay_sec"] == pytest.approx(x.quantile(0.95))
+    welch, direct = body["test_welch_ttest"], h.welch_test(df, F.col("is_weekend")).first()
+    assert welch["t_statistic"] == pytest.approx(direct.t, rel=1e-9) and welch["cohens_d"] == pytest.approx(direct.cohens_d, rel=1e-9)
+    anova, direct = body["test_anova_linientyp"], h.anova(df, "verkehrsmittel_text").first()
+    assert anova["f_statistic"] == pytest.approx(direct.f, rel=1e-9) and anova["n_groups"] == len(anova["groups"])
+    assert anova["means_per_group"] == pytest.approx(pdf.groupby("verkehrsmittel_text").delay_arr_sec.mean().to_dict())
+    assert set(body["test_correlation"]) <= set(body["weather_columns_found"])
+    assert set(body["test_ols"]["coefficients"]) == {r.term for r in rg.ols(df, "delay_arr_sec", NUMERIC, FACTORS, also_known=["hour"]).collect()}
+    means = [s["mean_sec"] for s in body["top_10_stations_highest_mean_delay"]]
+    assert means == sorted(means, reverse=True)
+    counts = list(body["verkehrsmittel_text_distribution"].values())
+    assert counts == sorted(counts, reverse=True) and sum(counts) == len(pdf)
+    leaves = document_leaves(document).collect()
+    assert len({r.path for r in leaves}) == len(leaves) > 60
+
+
 def test_vif_of_dependent_columns_is_infinite(spark):
     rows = [(float(i), 2.0 * i, float(i * i % 7), 0.0) for i in range(50)]
     df = spark.createDataFrame(rows, "a double, b double, c double, z double")
