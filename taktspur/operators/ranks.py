@@ -1,11 +1,11 @@
 """Exact quantiles and ranks without sorting the events in one place.
 
 Events are first counted by value. A group with few distinct values is ranked as it is. A group
-with more is split by the leading bits of an ordered image of its values, twelve bits at a time,
-and only the buckets that are still too large are split again. Each bucket knows how many rows lie
-below it, so no task sorts more than ``MOST_VALUES`` values of a bucket or 2**12 buckets of a
-parent, however many values there are and however they are spread. A value held by a third
-of all rows is a single counted row.
+with more is split by the leading bits of an ordered image of its values, behind those that all its
+values share, twelve at a time; only the buckets that are still too large are split again. Each bucket
+knows how many rows lie below it, so no task sorts more than ``MOST_VALUES`` values of a bucket or
+2**13 buckets of a parent, however many values there are and however they are spread. A value held
+by a third of all rows is a single counted row.
 """
 
 from __future__ import annotations
@@ -19,28 +19,33 @@ from .joins import lookup
 
 #: Distinct values that one task sorts at most.
 MOST_VALUES = 1 << 16
-#: Bits of the image that a bucket leaves open at each depth; at the first a bucket is a whole group.
-OPEN_BITS = [64, 52, 40, 28, 16, 4, 0]
+#: Leading bits by which a bucket is split at a time.
+DIGIT = 12
+#: Buckets that may be sent to every task; more are looked up by a shuffle.
+SMALL = 1 << 16
 
 
-def ordered_bits(value: Column) -> Column:
-    """A bigint per double that is ordered as the doubles are: exponent, then fraction, then the sign.
+def with_ordered_bits(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds a bigint per double that is ordered as the doubles are: exponent, then fraction, then the sign.
 
-    This is the IEEE image of the absolute value; 0.0 and -0.0 are both 0. NaN has no place.
+    This is the IEEE image of the absolute value; 0.0 and -0.0 are both 0. NaN has no place. The steps
+    are columns of their own, as an expression inside another would be worked out again and again.
     """
-    size = F.abs(value)
-    # The logarithm may miss the exponent by one near powers of two; the fraction tells.
-    rough = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
-    part = size * F.pow(F.lit(2.0), -rough)
-    exponent = F.greatest(rough + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0), F.lit(-1022))
-    part = size * F.pow(F.lit(2.0), -exponent)
-    one = F.lit(1 << 52)
-    normal = (exponent + 1023) * one + ((part - 1) * one).cast("long")
+    size, one = F.abs(value), F.lit(1 << 52)
+    exponent, part = F.col("_exponent"), F.col("_part")
+    steps = (
+        # The logarithm may miss the exponent by one near powers of two; the fraction tells.
+        df.withColumn("_exponent", F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022)))
+        .withColumn("_part", size * F.pow(F.lit(2.0), -exponent))
+        .withColumn("_exponent", F.greatest(
+            exponent + F.when(part >= 2, 1).when(part < 1, -1).otherwise(0), F.lit(-1022)))
+        .withColumn("_part", size * F.pow(F.lit(2.0), -exponent)))
     image = (F.when(size == 0, F.lit(0).cast("long"))
              .when(size == float("inf"), F.lit(2047 << 52))
              .when(part < 1, (part * one).cast("long"))
-             .otherwise(normal))
-    return F.when(value < 0, -image).otherwise(image)
+             .otherwise((exponent + 1023) * one + ((part - 1) * one).cast("long")))
+    return (steps.withColumn(out, image).withColumn(out, F.when(F.col(value) < 0, -F.col(out)).otherwise(F.col(out)))
+            .drop("_exponent", "_part"))
 
 
 def value_counts_by(df: DataFrame, value: Column | str, by: list[str] | None = None) -> DataFrame:
@@ -52,67 +57,74 @@ def value_counts_by(df: DataFrame, value: Column | str, by: list[str] | None = N
     return kept.groupBy(*(by or []), "value").agg(F.count("*").alias("n"))
 
 
-def _bucket(depth: int) -> Column:
-    """Number of the bucket at this depth, from ``_bits``."""
-    return F.lit(0).cast("long") if depth == 0 else F.shiftright("_bits", OPEN_BITS[depth])
+def stored_counts(hist: DataFrame) -> DataFrame:
+    """Counted values with their image, written once, as each split reads them again."""
+    imaged = with_ordered_bits(hist, "value", "_bits")
+    # Without the last bit, so that the distance of two images fits a bigint.
+    return materialized(imaged.withColumn("_bits", F.shiftright("_bits", 1)))
 
 
-def _buckets(rows: DataFrame, by: list[str], parents: DataFrame, depth: int) -> DataFrame:
-    """(by..., _bucket, values, inside, before, total) of the buckets into which ``parents`` fall.
+def _figures() -> list[Column]:
+    return [F.count("*").alias("values"), F.sum("n").alias("inside"), F.min("_bits").alias("lo"), F.max("_bits").alias("hi")]
 
-    A running total over the at most 2**12 buckets of one parent, on top of what lies below it.
-    """
-    keyed = rows.withColumn("_bucket", _bucket(depth - 1))
-    known = parents.select(*by, "_bucket", F.col("before").alias("_below"), "total")
-    within = lookup(keyed, known, [*by, "_bucket"]).where(F.col("total").isNotNull())
-    sums = within.withColumnRenamed("_bucket", "_parent").groupBy(
-        *by, "_parent", _bucket(depth).alias("_bucket"), "_below", "total").agg(
-        F.count("*").alias("values"), F.sum("n").alias("inside"))
-    siblings = Window.partitionBy(*by, "_parent").orderBy("_bucket")
-    before = F.col("_below") + F.sum("inside").over(siblings) - F.col("inside")
-    return sums.select(*by, "_bucket", "values", "inside", before.alias("before"), "total")
+
+def _meet(rows: DataFrame, buckets: DataFrame, by: list[str], few: bool) -> DataFrame:
+    """Rows of the given buckets with their columns."""
+    on = [*by, "_edge"]
+    return rows.join(F.broadcast(buckets), on) if few else lookup(rows, buckets, on).where(F.col("total").isNotNull())
 
 
 def _totals(hist: DataFrame, by: list[str], wanted: Column | None = None, most: int | None = None) -> DataFrame:
     """Adds ``upto`` and ``total``. With ``wanted``, a condition on before, inside and total, only values
     of buckets that meet it are returned; more of the same group may come along."""
     most = most or MOST_VALUES
-    whole = hist.groupBy(*by).agg(
-        F.lit(0).cast("long").alias("_bucket"), F.count("*").alias("values"), F.sum("n").alias("inside"),
-        F.lit(0).cast("long").alias("before"), F.sum("n").alias("total"))
-    if (whole.agg(F.max("values")).first()[0] or 0) <= most:
+    rows = hist.withColumn("_edge", F.lit(0).cast("long"))
+    columns = [c for c in hist.columns if c != "_bits"]
+    buckets = rows.groupBy(*by, "_edge").agg(*_figures()).withColumns(
+        {"before": F.lit(0).cast("long"), "total": F.col("inside")})
+    if (buckets.agg(F.max("values")).first()[0] or 0) <= most:
         group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        return hist.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
+        return hist.select(*columns).withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
 
-    rows = hist.withColumn("_bits", ordered_bits(F.col("value")))
-    buckets, parts = materialized(whole), []
-    for depth in range(len(OPEN_BITS)):
+    parts = []
+    buckets = materialized(buckets)
+    while True:
         if wanted is not None:
             buckets = buckets.where(wanted)
-        light = buckets.where(F.col("values") <= most).select(*by, "_bucket", "before", "total")
-        here = lookup(rows.withColumn("_bucket", _bucket(depth)), light, [*by, "_bucket"]).where(
-            F.col("total").isNotNull())
-        inside = Window.partitionBy(*by, "_bucket").orderBy("value")
-        parts.append(here.withColumn("upto", F.col("before") + F.sum("n").over(inside))
-                     .drop("_bits", "_bucket", "before"))
-        heavy = buckets.where(F.col("values") > most)
-        if depth + 1 == len(OPEN_BITS) or heavy.isEmpty():
-            break
-        buckets = materialized(_buckets(rows, by, heavy, depth + 1))
-    return reduce(DataFrame.unionByName, parts)
+        # Two values that differ in the last bit alone stay together.
+        is_full = (F.col("values") > most) & (F.col("lo") < F.col("hi"))
+        n, n_full = buckets.agg(F.count("*"), F.count_if(is_full)).first()
+        inside = Window.partitionBy(*by, "_edge").orderBy("value")
+        light = buckets.where(~is_full).select(*by, "_edge", "before", "total")
+        parts.append(_meet(rows, light, by, n - n_full <= SMALL)
+                     .withColumn("upto", F.col("before") + F.sum("n").over(inside)).select(*columns, "upto", "total"))
+        if not n_full:
+            return reduce(DataFrame.unionByName, parts)
+
+        width = F.greatest(F.floor(F.log2((F.col("hi") - F.col("lo")).cast("double"))) + 1 - DIGIT, F.lit(0)).cast("int")
+        full = buckets.where(is_full).select(
+            *by, "_edge", F.col("before").alias("_below"), "total", F.col("lo").alias("_lo"), width.alias("_width"))
+        rows = (_meet(rows, full, by, n_full <= SMALL).withColumnRenamed("_edge", "_parent")
+                .withColumn("_edge", F.expr("_lo + shiftleft(shiftright(_bits - _lo, _width), _width)")))
+        sums = rows.groupBy(*by, "_parent", "_below", "total", "_edge").agg(*_figures())
+        # At most 2**13 buckets of a parent.
+        siblings = Window.partitionBy(*by, "_parent").orderBy("_edge")
+        before = F.col("_below") + F.sum("inside").over(siblings) - F.col("inside")
+        buckets = materialized(sums.withColumn("before", before).drop("_parent", "_below"))
+        rows = rows.select(*columns, "_bits", "_edge")
 
 
 def running_totals(hist: DataFrame, by: list[str] | None = None, most: int | None = None) -> DataFrame:
     """Adds ``upto`` (rows with this value or less) and ``total`` (rows) within each group.
 
-    ``hist`` has one row per group and value; it is written once, as each depth reads it again.
+    ``hist`` has one row per group and value.
     """
-    return _totals(materialized(hist), by or [], most=most)
+    return _totals(stored_counts(hist), by or [], most=most)
 
 
 def quantiles_of(hist: DataFrame, probabilities: dict[str, float], by: list[str] | None = None,
                  most: int | None = None) -> DataFrame:
-    """Quantiles from counted values as ``value_counts_by`` gives them; ``hist`` should be stored."""
+    """Quantiles from counted values as ``stored_counts`` gives them."""
     by = by or []
     total = F.col("total")
     # Zero-based places in the sorted rows on both sides of each quantile.
@@ -141,7 +153,7 @@ def quantiles(df: DataFrame, value: Column | str, probabilities: dict[str, float
 
     Only the buckets that hold a wanted place are split and sorted.
     """
-    return quantiles_of(materialized(value_counts_by(df, value, by)), probabilities, by, most)
+    return quantiles_of(stored_counts(value_counts_by(df, value, by)), probabilities, by, most)
 
 
 def average_rank() -> Column:

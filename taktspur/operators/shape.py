@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.delay import LATE_AFTER_SEC, known
-from ..session import materialized
 from .filters import has_value
-from .ranks import quantiles, quantiles_of, value_counts_by
+from .ranks import quantiles, quantiles_of, stored_counts, value_counts_by
 
 # Quantiles of the descriptive table.
 DESCRIBE_AT = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95,
@@ -67,7 +66,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """Quartiles and whiskers per group; a whisker ends at the outermost value within
     1.5 interquartile ranges of the box."""
     groups = [by] if by else []
-    hist = materialized(value_counts_by(df, value, groups))
+    hist = stored_counts(value_counts_by(df, value, groups))
     quartiles = quantiles_of(hist, {"q1": 0.25, "median": 0.5, "q3": 0.75}, groups)
     box = quartiles.select(*groups, F.struct("q1", "median", "q3").alias("box"))
     boxed = hist.join(box, by) if by else hist.withColumn("box", box.scalar())

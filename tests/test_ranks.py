@@ -51,7 +51,8 @@ def test_ordered_bits_are_the_image_of_a_double(spark):
         np.nextafter(2.0 ** np.arange(-1074, 1023), np.inf), [0.0, -0.0, np.inf, -np.inf, 5e-324, 1.7976931348623157e308]])
     values = values[~np.isnan(values)]
     df = spark.createDataFrame(pd.DataFrame({"v": values}))
-    got = df.select("v", ranks.ordered_bits(F.col("v")).alias("b")).toPandas()
+    got = ranks.with_ordered_bits(df, "v", "b").toPandas()
+    assert list(got.columns) == ["v", "b"]
     image = np.abs(got.v.to_numpy()).view(np.int64)
     assert (got.b.to_numpy() == np.where(got.v < 0, -image, image)).all()
 
