@@ -11,7 +11,7 @@ from taktspur.sources import days, events as ev, stations as st, tables as tb, w
 from taktspur.streaming.daily_files import load_new_days
 
 from .registry import query, r, rounded
-from .tables import sql, sql_more, stations, stations_raw, stop_events, table
+from .tables import sql, sql_more, stations, stations_raw, stop_events, table, weather
 
 _FEED = ["BETRIEBSTAG", "PRODUKT_ID", "BETREIBER_ABK", "BPUIC", "LINIEN_TEXT", "ANKUNFTSZEIT",
          "AN_PROGNOSE", "ABFAHRTSZEIT", "AB_PROGNOSE", "FAHRT_BEZEICHNER"]
@@ -351,3 +351,17 @@ def table_counts(spark, sf_dir):
     for name in _COUNTED:
         tb.replace_table(table(spark, sf_dir, name), name)
     return tb.table_counts(spark, _COUNTED)
+
+
+@query("optional_input", sql("weather", f"""
+    SELECT station_abbr, count(*) AS n, {r("sum(tre200h0) AS warmth", digits=3)}, cast(NULL AS double) AS extra
+    FROM weather GROUP BY station_abbr"""))
+def optional_input(spark, sf_dir):
+    """Stored weather and a table not stored yet, read in the same way and put together."""
+    path = new_run_dir(spark, "optional")
+    tb.replace_table(weather(spark, sf_dir), "weather_stored", path)
+    schema = T.StructType([T.StructField("station_abbr", T.StringType()), T.StructField("tre200h0", T.DoubleType()),
+                           T.StructField("extra", T.DoubleType())])
+    both = [tb.optional_parquet(spark, p, schema) for p in (path, f"{path}-absent")]
+    return rounded(ev.union_days(both).groupBy("station_abbr").agg(
+        F.count("*").alias("n"), F.sum("tre200h0").alias("warmth"), F.max("extra").alias("extra")), 3)

@@ -178,13 +178,24 @@ def tukey_pairs(spark, sf_dir):
     return rounded(h.tukey_pairs(feature_events(spark, sf_dir), "verkehrsmittel_text"))
 
 
+# The limit of the 95 % interval: tails at places around it, and a polynomial through the six nearest.
+_LIMIT = f"""(WITH pairs AS (SELECT q AS group1, 0 AS group2, q, k, df FROM
+              (SELECT 3.2 + i * 0.1 AS q FROM range(20) t(i)), (SELECT any_value(k) AS k, any_value(df) AS df FROM compared)),
+    {RANGE_TAIL},
+    near AS (SELECT group1 AS q, ln(p) AS l FROM tails ORDER BY abs(ln(p) - ln(0.05)) LIMIT 6)
+    SELECT sum(part) FROM (SELECT i.q * product((ln(0.05) - j.l) / (i.l - j.l)) AS part
+                           FROM near i JOIN near j ON i.q <> j.q GROUP BY i.q))"""
+
+
 @query("tukey_test", sql_more("feat", _TOP5 + f""",
-    pairs AS ({_PAIRS}), {RANGE_TAIL}""", f"""
-    SELECT group1, group2, {r("mean_diff")}, {r("q")}, {r("p AS p_adjusted", digits=4)}, p < 0.05 AS reject
-    FROM pairs JOIN tails USING (group1, group2)"""))
+    compared AS ({_PAIRS}), found AS (WITH pairs AS (SELECT * FROM compared), {RANGE_TAIL} SELECT * FROM tails)""", f"""
+    SELECT group1, group2, {r("mean_diff", "se", "q")}, {r("p AS p_adjusted", digits=4)},
+           {r("mean_diff - l * se AS ci95_low", "mean_diff + l * se AS ci95_high", digits=2)}, p < 0.05 AS reject
+    FROM compared JOIN found USING (group1, group2), (SELECT {_LIMIT} AS l)"""))
 def tukey_test(spark, sf_dir):
     out = rounded(h.tukey_test(feature_events(spark, sf_dir), "verkehrsmittel_text"))
-    return out.select("group1", "group2", "mean_diff", "q", F.round("p_adjusted", 4).alias("p_adjusted"), "reject")
+    return out.select("group1", "group2", "mean_diff", "se", "q", F.round("p_adjusted", 4).alias("p_adjusted"),
+                      *[(F.round(c, 2) + F.lit(0.0)).alias(c) for c in ("ci95_low", "ci95_high")], "reject")
 
 
 _WEATHER = ["temperatur_c", "niederschlag_mm", "wind_ms", "feuchte_pct", "sonne_min"]
@@ -250,6 +261,22 @@ def spearman_test(spark, sf_dir):
     return rounded(tested.select("variable", "n", "t", "p"))
 
 
+_WITH_WEATHER = """rows AS (SELECT * FROM prep WHERE temperatur_c IS NOT NULL)"""
+
+
+@query("correlations_with_temperature", sql_more("prep", _WITH_WEATHER, f"""
+    SELECT variable, n, {r("r AS pearson_r", "rho AS spearman_rho", digits=9)} FROM ("""
+    + " UNION ALL ".join(f"""SELECT '{c}' AS variable, n, r, rho FROM
+        (SELECT count(*) AS n, corr({c}, delay_arr_sec) AS r FROM rows WHERE {c} IS NOT NULL),
+        (SELECT rho FROM ({_rho("rows", c, "delay_arr_sec")}))""" for c in _WEATHER[:3]) + ") WHERE n >= 1000"))
+def correlations_with_temperature(spark, sf_dir):
+    """Rain, temperature and wind over the rows that have a temperature at all."""
+    events = prepared_events(spark, sf_dir)
+    pear = h.pearson(events, _WEATHER[:3], only_with="temperatur_c").select("variable", "n", F.col("r").alias("pearson_r"))
+    spear = h.spearman(events, _WEATHER[:3], only_with="temperatur_c").select("variable", F.col("rho").alias("spearman_rho"))
+    return rounded(pear.join(spear, "variable"), 9)
+
+
 _NUMERIC = ["niederschlag_mm", "temperatur_c", "wind_ms", "hour", "is_rush_hour_int", "is_weekend_int"]
 
 

@@ -194,11 +194,13 @@ def _t_of_r(r: Column, n: Column) -> Column:
 
 
 def pearson(df: DataFrame, columns: list[str], value: str = "delay_arr_sec",
-            min_pairs: int = 1000) -> DataFrame:
+            min_pairs: int = 1000, only_with: str | None = None) -> DataFrame:
     """r per column over its complete pairs, t and the Fisher interval; without p.
 
-    All columns are worked out in one pass; columns with fewer pairs are left out.
+    All columns are worked out in one pass; columns with fewer pairs are left out. With ``only_with``,
+    such as the temperature, rows that lack that column do not count for any.
     """
+    df = df.where(has_value(only_with)) if only_with else df
     y = known(value)
 
     def correlation(c: str) -> Column:
@@ -216,11 +218,13 @@ def pearson(df: DataFrame, columns: list[str], value: str = "delay_arr_sec",
 
 
 def spearman(df: DataFrame, columns: list[str], value: str = "delay_arr_sec",
-             min_pairs: int = 1000) -> DataFrame:
+             min_pairs: int = 1000, only_with: str | None = None) -> DataFrame:
     """Rank correlation of each column with the value over complete pairs, average ranks for
     ties; without p. All columns go through one plan, and columns with fewer pairs are left out.
     The events look up the ranks of both sides; pairs of values are neither grouped nor stored.
+    ``only_with`` as for ``pearson``.
     """
+    df = df.where(has_value(only_with)) if only_with else df
     measures = F.array(*[F.struct(F.lit(c).alias("variable"), known(c).alias("x")) for c in columns])
     pairs = (df.where(has_value(value))
              .select(F.col(value).cast("double").alias("y"), F.explode(measures).alias("m"))

@@ -117,8 +117,12 @@ def match_rate(df: DataFrame, column: str) -> DataFrame:
 
 
 def with_weather(events: DataFrame, hourly: DataFrame) -> DataFrame:
-    """Measures of the hour at the weather point; typed nulls for measures not given."""
-    joined = lookup(events, hourly, ["weather_abbr", "delay_ts_hour"])
+    """Measures of the hour at the weather point; typed nulls for measures not given.
+
+    Where two weather rows stand for one hour, as in files that overlap, the smaller one counts.
+    """
+    on = ["weather_abbr", "delay_ts_hour"]
+    joined = lookup(events, one_per_key(hourly, on), on)
     present = set(joined.columns)
     absent = [m for m in WEATHER_NAMES.values() if m not in present]
     return joined.withColumns({m: F.lit(None).cast("double") for m in absent})

@@ -26,15 +26,19 @@ def with_coordinates(raw: DataFrame, geopos: str = "geopos") -> DataFrame:
     })
 
 
-def one_per_key(stations: DataFrame, key: str = "number") -> DataFrame:
-    """One record per station number, the smallest by its other columns.
+def one_per_key(table: DataFrame, key: str | list[str] = "number") -> DataFrame:
+    """One record per key, the smallest by its other columns.
 
-    A doubled number would fan out every event of that station in a join.
+    A doubled station number, or a doubled weather hour, would fan out every event of it in a join.
     """
-    rest = [c for c in stations.columns if c != key]
-    first = F.min(F.struct(*rest)).alias("first")
-    return stations.where(F.col(key).isNotNull()).groupBy(key).agg(first).select(
-        key, "first.*").select(*stations.columns)
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in table.columns if c not in keys]
+    kept = table
+    for k in keys:
+        kept = kept.where(F.col(k).isNotNull())
+    if not rest:
+        return kept.distinct()
+    return kept.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("first")).select(*keys, "first.*").select(*table.columns)
 
 
 def write_stations_csv(stations: DataFrame, path: str) -> None:

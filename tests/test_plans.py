@@ -97,6 +97,17 @@ def test_day_context_against_pandas(prepared):
         assert (r.by_daytime.Abend is None) if evening.empty else r.by_daytime.Abend == pytest.approx(evening.mean(), abs=0.51)
 
 
+def test_doubled_weather_hours_do_not_double_events(spark):
+    from taktspur.operators.joins import with_weather
+    hour = dt.datetime(2026, 4, 13, 8)
+    hourly = spark.createDataFrame([("SMA", hour, 4.0), ("SMA", hour, 3.0), ("BER", hour, 9.0)],
+                                   "weather_abbr string, delay_ts_hour timestamp, temperatur_c double")
+    rows = spark.createDataFrame([(1, "SMA", hour), (2, "BER", hour), (3, None, hour)],
+                                 "id int, weather_abbr string, delay_ts_hour timestamp")
+    got = with_weather(rows, hourly.unionAll(hourly)).orderBy("id").collect()
+    assert [(r.id, r.temperatur_c) for r in got] == [(1, 3.0), (2, 9.0), (3, None)]
+
+
 def test_days_are_labelled_and_cost_is_summed(prepared):
     def client(rules, prompt):
         assert "primaere_ursache" in rules
