@@ -265,3 +265,32 @@ def test_file_without_the_key_column_fails(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a;b\n1;2\n")
     with pytest.raises(ValueError, match="no column BETRIEBSTAG"):
         ev.read_event_csv(spark, str(tmp_path), key="BETRIEBSTAG")
+
+
+def test_scratch_folders_are_deleted(spark):
+    import os
+
+    from taktspur.session import materialized, new_run_dir, scratch
+    with scratch(spark):
+        outer = new_run_dir(spark, "outer")
+        spark.range(3).write.parquet(outer)
+        with scratch(spark):
+            inner = new_run_dir(spark, "inner")
+            spark.range(3).write.parquet(inner)
+            new_run_dir(spark, "never-written")
+        assert os.path.isdir(outer) and not os.path.exists(inner)
+        assert materialized(spark.read.parquet(outer)).count() == 3
+    assert not os.path.exists(outer)
+
+
+def test_run_folders_go_when_the_program_ends(tmp_path):
+    import os
+    import subprocess
+    import sys
+    code = ("from taktspur.session import build_session, materialized, new_run_dir; import sys; "
+            "s = build_session('x', 'local[1]', spark__ui__enabled='false', spark__checkpoint__dir=sys.argv[1]); "
+            "p = new_run_dir(s, 'kept'); s.range(2).write.parquet(p); assert materialized(s.read.parquet(p)).count() == 2; s.stop()")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert os.listdir(tmp_path) == [], done.stderr[-500:]
