@@ -15,7 +15,7 @@ from taktspur.llm.near_dup import near_duplicates
 from taktspur.llm.packing import pack
 from taktspur.llm.pii import mask_personal_data
 from taktspur.llm.toxicity import fit_toxicity, keep_clean
-from taktspur.session import new_run_dir
+from taktspur.session import delete_run_dir, new_run_dir, scratch
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -65,9 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A stage's own scratch data goes when its rows are written, and those go
+    when the next stage's are."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_run_dir(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete_run_dir(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
