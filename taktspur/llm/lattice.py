@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +30,10 @@ class PieceScores:
         usable = np.array([not (model.is_control(i) or model.is_unknown(i)) for i in range(size)])
         weights = (counts + 0.5) * usable
         total = float(weights.sum() + ends + 0.5)
-        self.end = float(np.log((ends + 0.5) / total))
-        self.score, self.byte = {}, np.zeros(256)
+        self.end = math.log((ends + 0.5) / total)
+        self.score, self.byte = {}, [0.0] * 256
         for i in np.flatnonzero(usable):
-            value = float(np.log(weights[i] / total))
+            value = math.log(weights[i] / total)
             piece = model.id_to_piece(int(i))
             if model.is_byte(int(i)):
                 self.byte[int(piece[3:5], 16)] = value
@@ -46,8 +47,9 @@ class PieceScores:
         Forward recursion: before[j] is the log probability of all ways to write the first j
         symbols. A symbol that is no piece itself can be written as its UTF-8 bytes.
         """
+        log, exp = math.log, math.exp
         text = MARK + word
-        get, longest = self.score.get, self.longest
+        get, longest, byte = self.score.get, self.longest, self.byte
         before = [0.0]
         for j in range(1, len(text) + 1):
             terms = []
@@ -57,12 +59,13 @@ class PieceScores:
                     terms.append(before[i] + piece)
             if text[j - 1] not in self.score:
                 spelled = text[j - 1].encode("utf-8", "surrogatepass")
-                terms.append(before[j - 1] + float(self.byte[list(spelled)].sum()))
+                terms.append(before[j - 1] + sum([byte[b] for b in spelled]))
             if len(terms) == 1:
                 before.append(terms[0])
             else:
+                # Single numbers: the functions for whole arrays take twice the time here.
                 top = max(terms)
-                before.append(top + float(np.log(sum(np.exp(t - top) for t in terms))))
+                before.append(top + log(sum([exp(t - top) for t in terms])))
         return before[-1]
 
 
@@ -138,6 +141,21 @@ def piece_counts(words: DataFrame, path: str) -> np.ndarray:
     return out
 
 
+def head_of(scored: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, all with a larger ``n`` than the others: no task has to sort them.
+
+    Words are counted by eighths of a doubling of n, of which there are a few hundred at any size. As many of
+    the upper ones are taken as fit.
+    """
+    step = F.floor(F.log2("n") * 8)
+    taken, room = None, most
+    for at, rows in sorted(scored.groupBy(step.alias("at")).count().collect(), reverse=True):
+        if rows > room:
+            break
+        taken, room = at, room - rows
+    return scored.limit(0) if taken is None else scored.where(step >= taken)
+
+
 def lattice_scores(docs: DataFrame, learned: Column, model: str = "piece_bpe_32k.model",
                    id_col: str = "doc_id", text_col: str = "text",
                    head_words: int = HEAD_WORDS) -> DataFrame:
@@ -150,8 +168,8 @@ def lattice_scores(docs: DataFrame, learned: Column, model: str = "piece_bpe_32k
     and the end has one of its own. ``base_score`` is the add-one unigram word score.
 
     Words are counted once over all texts and every distinct word runs through the lattice once. The
-    figures of the ``head_words`` most frequent words travel to the tasks as sorted arrays of that
-    fixed size; rarer words are joined by their 64-bit hash, so nothing depends on the size of the
+    figures of the most frequent words, ``head_words`` at most, travel to the tasks as sorted arrays of
+    bounded size; rarer words are joined by their 64-bit hash, so nothing depends on the size of the
     vocabulary.
 
     A null text has the end alone; null or repeated ids keep their rows; other columns are neither
@@ -176,7 +194,7 @@ def lattice_scores(docs: DataFrame, learned: Column, model: str = "piece_bpe_32k
 
     scored = stored(words.select("h", "word", "c", "n").repartition("h")
                     .mapInArrow(score_words, "h long, c long, n long, p double"), "scores")
-    head = scored.orderBy(F.desc("n"), "h").limit(head_words).select("h", "c", "p").toArrow()
+    head = head_of(scored, head_words).select("h", "c", "p").toArrow()
     order = np.argsort(head["h"].to_numpy())
     head_h = head["h"].to_numpy()[order]
     head_c = head["c"].to_numpy()[order]

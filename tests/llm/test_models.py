@@ -109,6 +109,39 @@ def test_lattice_sums_all_segmentations():
     assert total == pytest.approx(1.0)
 
 
+def plain_log_marginal(score, byte, text):
+    """From the end: ways[i] is the log probability of all ways to write text[i:]."""
+    ways = [-math.inf] * len(text) + [0.0]
+    for i in reversed(range(len(text))):
+        terms = [score[text[i:j]] + ways[j] for j in range(i + 1, min(len(text), i + 40) + 1) if text[i:j] in score]
+        if text[i] not in score:
+            terms.append(sum(byte[b] for b in text[i].encode("utf-8", "surrogatepass")) + ways[i + 1])
+        ways[i] = float(np.logaddexp.reduce(terms))
+    return ways[0]
+
+
+def plain_piece_scores(texts, ends):
+    model = lattice.sentencepiece.SentencePieceProcessor(model_file=lattice.public_tokenizers.path("piece_bpe_32k.model"))
+    counts = np.zeros(model.get_piece_size())
+    for words in texts:
+        for ids in model.encode(words):
+            for i in ids:
+                counts[i] += 1
+    usable = [i for i in range(len(counts)) if not (model.is_control(i) or model.is_unknown(i))]
+    total = sum(counts[i] + 0.5 for i in usable) + ends + 0.5
+    logs = {i: math.log((counts[i] + 0.5) / total) for i in usable}
+    byte = {int(model.id_to_piece(i)[3:5], 16): v for i, v in logs.items() if model.is_byte(i)}
+    return {model.id_to_piece(i): v for i, v in logs.items() if not model.is_byte(i)}, byte, math.log((ends + 0.5) / total)
+
+
+@pytest.mark.parametrize("most, kept", [(0, 0), (1, 1), (3, 1), (40, 6), (200, 106)])
+def test_head_is_cut_between_frequencies(spark, most, kept):
+    counts = [1_000] + [90] * 5 + [7] * 100 + [1] * 500
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "h long, n long")
+    got = [r.n for r in lattice.head_of(df, most).collect()]
+    assert sorted(got, reverse=True) == counts[:kept]
+
+
 @pytest.mark.parametrize("head", [1, 50, 1 << 18])
 def test_scores_against_plain_counts(small_docs, edge_docs, head):
     docs = small_docs.select("doc_id", "text").where("doc_id < 60").unionByName(
@@ -127,6 +160,7 @@ def test_scores_against_plain_counts(small_docs, edge_docs, head):
             for w in tokens(r.text):
                 counts[w] = counts.get(w, 0) + 1
     total, distinct = sum(counts.values()) + ends, len(counts) + 1
+    score, byte, end = plain_piece_scores([tokens(r.text) for r in rows if bucket(r.doc_id) != 2], ends)
     got = lattice.lattice_scores(docs, crc_bucket("doc_id", 7) != 2, head_words=head).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0)
     assert len(got) == len(rows)
@@ -137,7 +171,8 @@ def test_scores_against_plain_counts(small_docs, edge_docs, head):
         assert (g.n_tokens, g.train_tokens) == (len(words) + 1, total)
         assert g.n_known == sum(w in counts for w in words) + 1
         assert g.base_score == pytest.approx(base, rel=1e-9)
-        assert g.score < 0
+        marginal = end + sum(plain_log_marginal(score, byte, lattice.MARK + w) for w in words)
+        assert g.score == pytest.approx(marginal / math.log(10), rel=1e-9)
 
 
 def test_scores_of_an_empty_table(empty_docs):
