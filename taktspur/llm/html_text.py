@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +17,51 @@ TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)"
                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|</?[a-zA-Z][^>]*(?:>|$)",
                  re.S)
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template svg iframe object title textarea math canvas".split())
+RAW = frozenset("script style noscript template svg iframe object title textarea canvas".split())
 BOILERPLATE = frozenset("head nav footer aside form button select dialog menu header".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol "
     "optgroup option p pre section summary table tbody tfoot thead tr ul".split())
-#: Elements that are often left open; they carry no state.
+#: Elements whose end may be left out, or that only mark words.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option b i u em strong a small font code html body".split())
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|masthead|site-?header|page-?header|footer|sidebar|side-?bar|ads?|"
-    r"advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommend\w*|"
-    r"comments?|comment-?list|replies|disqus|breadcrumbs?|pagination|pager|widget|toolbar|copyright|"
-    r"disclaimer|skip-?link)(?:[\s_-]|\d|$)", re.I)
+#: The open elements that the start of another ends.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"},
+        "tr": {"tr", "td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
+        "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}}
+NO_PARAGRAPH = BLOCKS - frozenset("li dt dd tr thead tbody tfoot caption option legend figcaption summary body".split())
+#: Elements whose class or id may name furniture: never headings, the article and main part, or words in a line.
+NAMED = frozenset("div section ul ol dl li dt dd table tr td p figure fieldset center span aside".split())
+#: Whole names of classes and ids; a number behind them does not count.
+FURNITURE = frozenset(
+    "nav navbar navigation menu masthead site-header page-header footer site-footer page-footer sidebar side-bar ad ads "
+    "advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies cookie-banner "
+    "cookie-notice cookie-bar consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login "
+    "search search-box search-form share sharing share-buttons social social-links social-media related related-posts "
+    "related-articles recommended recommendations comment comments comment-list replies disqus disqus-thread breadcrumb "
+    "breadcrumbs pagination pager widget toolbar copyright disclaimer skip-link".split())
+#: Last or first parts of names, as in top-menu and ad-slot.
+LAST_PART = frozenset("nav navbar navigation menu sidebar footer breadcrumb breadcrumbs pagination comments".split())
+FIRST_PART = frozenset("ad ads advert cookie newsletter".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 
 #: What the containers say about a line.
 OPEN, MAIN, ARTICLE, AWAY = 0, 1, 2, 3
-#: A shared line inside an article is furniture if this part of the pages of its host share it, and
-#: the host has so many pages; fewer may as well be articles that quote one another.
-FURNITURE_SHARE, FURNITURE_PAGES = 0.9, 5
+#: A shared line inside an article is furniture if, with 95 % certainty, at least this part of the pages on
+#: its host share it (lower end of Wilson's interval, which few pages do not reach).
+FURNITURE_SHARE, CERTAINTY = 0.5, 1.959964
+
+
+def names_furniture(names: str) -> bool:
+    """Whether one of the names in a class or id attribute is one of furniture, as a whole."""
+    for name in names.split():
+        name = re.sub(r"-?\d+$", "", name.replace("_", "-"))
+        parts = name.split("-")
+        if name in FURNITURE or len(parts) > 1 and (parts[-1] in LAST_PART or parts[0] in FIRST_PART):
+            return True
+    return False
 
 
 def container_state(name: str, attributes: str, outer: int) -> int:
@@ -52,7 +74,7 @@ def container_state(name: str, attributes: str, outer: int) -> int:
     if attributes:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"' ").lower()
-            if key in ("class", "id") and name not in ("html", "body", "main") and HINT.search(value):
+            if key in ("class", "id") and name in NAMED and not (key == "id" and name == "p") and names_furniture(value):
                 return AWAY
             if key == "role":
                 if value in ROLES:
@@ -71,6 +93,14 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
     stack: list[tuple[str, int]] = []
     state, at = OPEN, 0
 
+    def leave(k: int):
+        """Ends the open element number k and all inside it."""
+        nonlocal state
+        if state != stack[k][1] or any(name in BLOCKS for name, _ in stack[k:]):
+            close_line()
+        state = stack[k][1]
+        del stack[k:]
+
     def close_line():
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
@@ -95,11 +125,18 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    close_line()
-                    state = stack[k][1]
-                    del stack[k:]
+                    leave(k)
                     break
             continue
+        ended = ENDS.get(name, ())
+        lowest = None
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] not in LOOSE:
+                break
+            if stack[k][0] in ended or stack[k][0] == "p" and name in NO_PARAGRAPH:
+                lowest = k
+        if lowest is not None:
+            leave(lowest)
         attributes = tag.group(3)
         if name in RAW:
             if not attributes.rstrip().endswith("/"):
@@ -132,32 +169,52 @@ def settled(states: list[int]) -> np.ndarray:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``a`` of a longest common subsequence of the two lists."""
+    """Positions in ``a`` of a longest common subsequence of the two lists.
+
+    The table of lengths is worked out a row of bits at a time: bit j of a row is 0 where the length rises at
+    j. Of n lines the work is n rows of n bits. Only every so many rows are kept; the rows between two of
+    them are worked out again on the way back, so a page of 40,000 lines needs some MB.
+    """
     head = 0
     while head < len(a) and head < len(b) and a[head] == b[head]:
         head += 1
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    chains: list = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
-            k = bisect_left(ends, j)
-            link = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(link)
+    rows, columns = a[head:len(a) - tail], b[head:len(b) - tail]
+    size = len(columns)
+    full = (1 << size) - 1
+    places: dict[int, int] = {}
+    for j, line in enumerate(columns):
+        places[line] = places.get(line, 0) | 1 << j
+
+    def below(bits: int, line: int) -> int:
+        match = bits & places.get(line, 0)
+        return ((bits + match) | (bits - match)) & full
+
+    step = max(1, math.isqrt(len(rows)))
+    bits, kept = full, []
+    for i, line in enumerate(rows):
+        if i % step == 0:
+            kept.append(bits)
+        bits = below(bits, line)
+    middle: list[int] = []
+    column = size
+    for block in range(len(kept) - 1, -1, -1):
+        # table[r] is the row above line ``first + r``.
+        first = block * step
+        table = [kept[block]]
+        for line in rows[first:first + step]:
+            table.append(below(table[-1], line))
+        row = len(table) - 1
+        while row and column:
+            if table[row] >> (column - 1) & 1:
+                column -= 1
             else:
-                ends[k] = j
-                chains[k] = link
-    middle, link = [], chains[-1] if chains else None
-    while link:
-        middle.append(link[0])
-        link = link[1]
+                row -= 1
+                if table[row] >> (column - 1) & 1:
+                    column -= 1
+                    middle.append(head + first + row)
     return [*range(head), *reversed(middle), *range(len(a) - tail, len(a))]
 
 
@@ -192,6 +249,15 @@ def shared_column(own: Column, before: Column, after: Column) -> Column:
     return shared(own, before, after)
 
 
+def furniture_inside(lines: list[int], verdict: list[int], found: list[int], common: frozenset) -> list[int]:
+    """Those of the shared lines inside the article that are furniture of the host.
+
+    Where they would be half of the article or more, the host has versions of one article rather than furniture.
+    """
+    inside = [k for k in found if verdict[k] == 1 and lines[k] in common]
+    return inside if 2 * len(inside) < sum(v == 1 for v in verdict) else []
+
+
 def gone_column(hashes: Column, verdicts: Column, shared: Column, furniture: Column) -> Column:
     """Numbers of the shared lines that go: the open ones, and those inside that are furniture of the host."""
     @F.arrow_udf("array<int>")
@@ -199,8 +265,9 @@ def gone_column(hashes: Column, verdicts: Column, shared: Column, furniture: Col
         out = []
         for lines, verdict, found, common in zip(hashes.to_pylist(), verdicts.to_pylist(), shared.to_pylist(),
                                                  furniture.to_pylist()):
-            common = frozenset(common or ())
-            out.append([k for k in found or () if verdict[k] == 0 or verdict[k] == 1 and lines[k] in common])
+            found = found or []
+            inside = furniture_inside(lines, verdict, found, frozenset(common or ()))
+            out.append(sorted([k for k in found if verdict[k] == 0] + inside))
         return pa.array(out, pa.list_(pa.int32()))
     return gone(hashes, verdicts, shared, furniture)
 
@@ -247,15 +314,21 @@ def _numbered(rows: DataFrame) -> DataFrame:
             .withColumn("place", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "before"))
 
 
+def certain_share(n: Column, pages: Column) -> Column:
+    """Lower end of Wilson's interval for the share of pages that have a line, n of ``pages`` seen."""
+    share, z2 = n / pages, CERTAINTY ** 2
+    return (share + z2 / (2 * pages) - CERTAINTY * F.sqrt(share * (1 - share) / pages + z2 / (4 * pages * pages))) / (1 + z2 / pages)
+
+
 def _furniture(found: DataFrame, placed: DataFrame) -> DataFrame:
-    """For each host the hashes of the shared lines that (nearly) all its pages have, as ``furniture``."""
+    """For each host the hashes of the shared lines that most of its pages have, as ``furniture``."""
     pages = placed.groupBy("host").agg(F.count("*").alias("pages"))
     counted = (found.select("host", F.explode(F.expr("array_distinct(transform(shared, k -> hashes[k]))")).alias("line"))
                .groupBy("host", "line").agg(F.count("*").alias("n"))
-               .where(F.col("n") >= FURNITURE_SHARE * FURNITURE_PAGES))
-    # Every page of the host has nearly all of these lines, so there are no more of them than in a page.
+               .where(F.col("n") >= 2))
+    # Most pages of the host have each of these lines, so there are no more of them than in two pages.
     return (lookup(counted, pages, ["host"], spread="line")
-            .where((F.col("pages") >= FURNITURE_PAGES) & (F.col("n") >= FURNITURE_SHARE * F.col("pages")))
+            .where(certain_share(F.col("n"), F.col("pages")) >= FURNITURE_SHARE)
             .groupBy("host").agg(F.collect_list("line").alias("furniture")))
 
 
@@ -266,15 +339,17 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Pages are sorted by host and path; each is compared with the pages before and after it on its
     host. Text lines (one per block) are aligned by a longest common subsequence, and lines that a page
     shares with a neighbour are deleted. Containers then correct single lines: a shared line inside an
-    article (or else a main part) stays, since articles may quote one another, unless nine tenths of
-    the pages of a host with five or more pages share it; lines in menus, headers, footers, sidebars,
+    article (or else a main part) stays, since articles may quote one another, unless most pages of
+    the host certainly share it and such lines are less than half of the article; lines in menus, headers, footers, sidebars,
     notices, adverts, forms and reader comments go, since the page next door may lack them. Other lines
     that no neighbour has stay. Pages of a host with the same lines, which say nothing about what is
     furniture, are one page at the smallest of their paths, and what is found there holds for all of them.
 
     A null or empty page has the text "". Null urls form one host. Rows with the same id, url and
     html get the same text. Other columns are neither read nor returned; an empty table gives an
-    empty table. A hot host is spread over the tasks of the sort; the comparison is an equi-join.
+    empty table. A very long page is aligned as a whole, in memory for its own lines. Equal paths on a host
+    are ordered by a hash of their lines. A hot host is spread over the tasks of the sort; the comparison
+    is an equi-join.
     """
     host, path = url_parts(url_col)
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"),
