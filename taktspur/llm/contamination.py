@@ -72,7 +72,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     is its fingerprint, so texts that share a window share its fingerprint and none is missed.
     Fingerprints of texts and items meet in an equi-join. Where they meet, the hit is extended to the
     whole run and compared word by word with the items' windows, again by an equi-join. Words in any
-    equal run are hit.
+    equal run are hit. The work on a text follows its number of words, also where all are hit.
 
     Null texts have no words. Null or repeated ids keep their rows; rows equal in id and text get the
     same figures. Items without id are searched for, but not listed. Items with one id are one item.
@@ -106,21 +106,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     signed = stored(signed.drop("h"), "fingerprints")
 
     met = (signed.select("k", F.explode(_pairs(lengths, lambda n: F.col(f"f{n}"))).alias("p")).select("k", "p.len", "p.v")
-           .join(searched, ["len", "v"])
-           .groupBy("k").agg(F.collect_set(F.struct("len", "v")).alias("met")))
-    near = _hashed(texts.join(met, "k").select("k", "met", words_of("text").alias("w")))
+           .join(searched, ["len", "v"]).select("k").distinct())
+    near = _hashed(texts.join(met, "k").select("k", words_of("text").alias("w")))
     for n in lengths:
         near = with_fingerprints(near, n, f"f{n}")
 
-    def places(n: int) -> Column:
-        numbered = F.transform(f"f{n}", lambda v, i: F.struct(
-            F.lit(n).alias("len"), (i + 1).alias("i"), v.alias("v")))
-        return F.filter(numbered, lambda s: F.array_contains(
-            F.col("met"), F.struct(s["len"].alias("len"), s["v"].alias("v"))))
+    def numbered(n: int) -> Column:
+        return F.transform(f"f{n}", lambda v, i: F.struct(F.lit(n).alias("len"), (i + 1).alias("i"), v.alias("v")))
 
+    # The places of a text by another equi-join; its words are then read once for all of them.
+    places = (near.select("k", F.explode(F.concat(*map(numbered, lengths))).alias("p"))
+              .select("k", "p.len", "p.i", "p.v").join(searched, ["len", "v"])
+              .groupBy("k").agg(F.collect_set(F.struct("len", "i")).alias("places")))
+    worded = texts.select("k", words_of("text").alias("w")).join(places, "k")
+    runs_here = F.transform("places", lambda p: F.struct(
+        p["len"].alias("len"), p["i"].alias("i"), F.array_join(F.slice("w", p["i"], p["len"]), " ").alias("run")))
     found = stored(
-        near.select("k", "w", F.explode(F.concat(*map(places, lengths))).alias("p")).select("k", "w", "p.len", "p.i")
-        .select("k", "len", "i", F.array_join(F.expr("slice(w, i, len)"), " ").alias("run"))
+        worded.select("k", F.explode(runs_here).alias("p")).select("k", "p.len", "p.i", "p.run")
         .join(runs.select("len", "run", "set"), ["len", "run"])
         .select("k", "len", "i", "set").distinct(), "found")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -128,10 +129,33 @@ def inner_cards(text: str):
             yield m.span()
 
 
-def free_parts(text: str, start: int, end: int, taken) -> list[tuple[int, int]]:
+class Covered:
+    """What spans cover, as sorted stretches that do not overlap."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def within(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The stretches that overlap the span, whole."""
+        low, high = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        return list(zip(self.starts[low:high], self.ends[low:high]))
+
+    def meets(self, start: int, end: int) -> bool:
+        low = bisect_right(self.ends, start)
+        return low < len(self.starts) and self.starts[low] < end
+
+
+def free_parts(text: str, start: int, end: int, taken: Covered) -> list[tuple[int, int]]:
     """The parts of a secret that no span of ``taken`` covers and that hold enough of its value."""
     value, at, parts = SECRET_VALUE.search(text, start).end(), start, []
-    for s, e in sorted(x for x in taken if x[0] < end and start < x[1]):
+    for s, e in taken.within(start, end):
         parts.append((at, s))
         at = max(at, e)
     return [(a, b) for a, b in [*parts, (at, end)] if b - max(a, value) >= LEAST_SECRET]
@@ -168,7 +192,8 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
         names.append("access_key")
     if SECRET_HINT.search(text):
         names.append("secret")
-    found, taken = [], []
+    # Spans of one kind never overlap each other, so only what earlier kinds cover is looked at.
+    found, taken = [], Covered()
     for kind in KINDS:
         if kind not in names:
             continue
@@ -182,10 +207,10 @@ def find_spans(text: str) -> list[tuple[int, int, str, float]]:
             score -= CONTEXT_LOSS * bool(AGAINST_PATTERN.search(near))
             score = round(min(1.0, max(0.0, score)), 2)
             if kind not in BASE_KINDS and (
-                    score < LEAST_SCORE or any(s < end and start < e for s, e in taken)):
+                    score < LEAST_SCORE or taken.meets(start, end)):
                 continue
-            taken.append((start, end))
             found.append((start, end, kind, score))
+        taken = Covered([s[:2] for s in found])
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
@@ -217,7 +242,8 @@ def span_column(text: Column) -> Column:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and ``found``, the spans of the whole text.
 
-    A null text is empty and has no span; null or repeated ids keep their rows; other columns are
+    A null text is empty and has no span. The work on a very long text follows its length and its spans
+    (these times their logarithm). Spans that start together are ordered as their kinds are listed. Null or repeated ids keep their rows; other columns are
     neither read nor returned; an empty table gives an empty table.
     """
     return docs.select(F.col(id_col), span_column(F.col(text_col)).alias("found"))

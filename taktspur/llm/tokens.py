@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import as_texts, once
 
 MARK = "▁"
-CACHE_ROWS = 300_000
+#: Bytes of the pre-tokens whose counts a worker keeps, and characters of the longest it does.
+CACHE_BYTES, CACHE_CHARS = 16 << 20, 64
+#: What a string and its count take beside the characters.
+ENTRY_BYTES = 120
 
 
 class PieceCounter:
@@ -21,29 +24,36 @@ class PieceCounter:
     and what follows, or a line feed and what follows) that are merged each on their own. Both facts
     are checked on the vocabulary; where they fail, whole texts go through the library.
 
-    ``proven`` has the vocabulary strings that the library, asked once each at the start, encodes
-    alone as one token. Counts of other pre-tokens are kept in a table of bounded size.
+    ``proven`` has the vocabulary strings that the library encodes alone as one token; it is worked out
+    once (``prove``) and given to every worker. Counts of other pre-tokens are kept in a table of bounded
+    bytes, longer ones never.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: list[str] | None = None):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.splits = (self.library.encode(" ", out_type=str) == [MARK * 2]
                        and not any("\n" in p or (MARK in p[1:] and p.strip(MARK)) for p in pieces)
                        and self.library.encode("a ▁\tb", out_type=str)[-1] == "b")
+        self.proven = dict.fromkeys(self.prove(pieces) if proven is None else proven, 1)
+        self.known, self.kept = dict(self.proven), 0
+
+    def prove(self, pieces: list[str] | None = None) -> list[str]:
+        """The words of the vocabulary that the library, asked once each, encodes alone as one token."""
+        pieces = pieces or [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         words = [p[1:] for p in pieces if p[0] == MARK and len(p) > 1 and MARK not in p[1:]]
-        self.proven = {w: 1 for w, ids in zip(words, self.library.encode(words, num_threads=1))
-                       if len(ids) == 1}
-        self.known = dict(self.proven)
+        return [w for w, ids in zip(words, self.library.encode(words, num_threads=1)) if len(ids) == 1]
 
     def pre_token(self, chunk: str) -> int:
         count = self.known.get(chunk)
         if count is None:
             # The mark that the library puts before a line feed is not in the text.
             count = len(self.library.encode(chunk)) - (chunk[0] == "\n")
-            if len(self.known) > len(self.proven) + CACHE_ROWS:
-                self.known = dict(self.proven)
-            self.known[chunk] = count
+            if len(chunk) <= CACHE_CHARS:
+                if self.kept > CACHE_BYTES:
+                    self.known, self.kept = dict(self.proven), 0
+                self.known[chunk] = count
+                self.kept += ENTRY_BYTES + 4 * len(chunk)
         return count
 
     def marks(self, n: int) -> int:
@@ -84,14 +94,16 @@ def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: st
                  text_col: str = "text", limit: int = 4096) -> DataFrame:
     """One row per input row: id, n_bytes (UTF-8), n_tokens as the library counts, over_limit.
 
-    A null text counts as empty: no bytes, no tokens. Null or repeated ids keep their rows; other
+    A null text counts as empty: no bytes, no tokens. A very long text goes pre-token by pre-token; no count
+    depends on other texts, so ties do not arise. Null or repeated ids keep their rows; other
     columns are neither read nor returned. An empty table gives an empty table.
     """
     path = public_tokenizers.path(model)
+    proven = PieceCounter(path, []).prove()
 
     @F.arrow_udf("long")
     def tokens(texts: pa.Array) -> pa.Array:
-        counter = once(("pieces", path), lambda: PieceCounter(path))
+        counter = once(("pieces", path), lambda: PieceCounter(path, proven))
         return pa.array([counter.count(t) for t in as_texts(texts)], pa.int64())
 
     return docs.select(

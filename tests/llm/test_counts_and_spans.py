@@ -174,3 +174,52 @@ def test_quality_counts(small_docs, edge_docs, empty_docs):
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
             assert r.kept == (not r.base_failed)
     assert quality.rate_quality(empty_docs, constant_model(1, 0)).count() == 0
+
+
+def plain_overlaps(spans):
+    """The rule for added kinds, span against span."""
+    kept = []
+    for start, end, kind, score in spans:
+        if kind in pii.BASE_KINDS or not any(s < end and start < e and pii.KINDS.index(k) < pii.KINDS.index(kind)
+                                             for s, e, k, _ in kept):
+            kept.append((start, end, kind, score))
+    return kept
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=25), st.integers(0, 60), st.integers(1, 12))
+def test_covered_stretches(spans, start, size):
+    spans = [(a, a + n) for a, n in spans]
+    covered = pii.Covered(spans)
+    cells = {i for a, b in spans for i in range(a, b)}
+    assert {i for a, b in zip(covered.starts, covered.ends) for i in range(a, b)} == cells
+    assert covered.meets(start, start + size) == any(i in cells for i in range(start, start + size))
+    assert all(a < start + size and start < b for a, b in covered.within(start, start + size))
+    assert bool(covered.within(start, start + size)) == covered.meets(start, start + size)
+
+
+def test_texts_full_of_spans_take_time_in_proportion():
+    import time
+    unit = "mail a.b@c.example.org call +1 (988) 555-2485 host 10.0.0.1 iban DE89370400440532013000 password: geheim123 ssn 123-45-6789\n"
+    times, counts = [], []
+    for n in (1_000, 2_000, 4_000, 8_000):
+        start = time.perf_counter()
+        found = pii.find_spans(unit * n)
+        times.append(time.perf_counter() - start)
+        counts.append(len(found))
+        assert plain_overlaps(found[:300]) == found[:300]
+    assert counts[3] == 8 * counts[0] > 8 * 5_000
+    assert times[3] < 2.5 ** 3 * times[0] + 0.5
+
+
+def test_counts_kept_by_a_worker_are_bounded_in_bytes():
+    counter = PieceCounter(public_tokenizers.path("piece_bpe_32k.model"), COUNTER.prove())
+    assert counter.proven == COUNTER.proven and len(counter.proven) > 1_000
+    for i in range(40):
+        text = "".join(chr(0x4E00 + (i * 977 + j * 31) % 20_000) for j in range(5_000))
+        assert counter.count(text) == len(PIECES.encode(text))
+    assert len(counter.known) == len(counter.proven)
+    text = " ".join(f"w{i}x{i * 7919 % 10_007}" for i in range(200_000))
+    assert counter.count(text) == len(PIECES.encode(text))
+    extra = [k for k in counter.known if k not in counter.proven]
+    assert sum(map(len, extra)) < 16 << 20 and counter.kept <= (16 << 20) + 400

@@ -201,9 +201,23 @@ def test_removal_of_an_empty_table(empty_docs):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels"):
         con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     want = con.execute(ORACLE[name]).fetchall()
     columns = [c[0] for c in con.description]
     got = QUERIES[name](spark, sf_dir).select(*columns).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_contaminated_text_takes_time_in_proportion(spark):
+    import time
+    item = " ".join(f"word{i}" for i in range(40))
+    times = []
+    for n in (500, 500, 2_000, 8_000):
+        docs = spark.createDataFrame([(1, f"{item} " * n), (2, "clean text " * 30)], "doc_id long, text string")
+        start = time.perf_counter()
+        got = {r.doc_id: r for r in find_contamination(docs, spark.createDataFrame([("a", item)], "item_id string, text string")).collect()}
+        times.append(time.perf_counter() - start)
+        assert (got[1].n_words, got[1].n_hit, got[1]["items"]) == (40 * n, 40 * n, ["a"]) and got[2].n_hit == 0
+    # Sixteen times the words of the second run.
+    assert times[3] < 16 * times[1] + 5
