@@ -1,15 +1,19 @@
 """From raw documents to packed training sequences: five stages over the operators of ``taktspur.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents. A stage decides by
-document id: rows that share an id go or stay together, and rows without an id always stay.
+again as the next one's docs. All but the last return the columns of documents.
+
+A stage decides by row, where a row is told by its id and text together (null is a value like others
+for that): rows that share an id but not the text are different documents, and rows equal in both are one
+document repeated, of which near-duplicate removal keeps one. Empty tables give empty tables, columns
+beyond those of documents stay, and very long texts are read whole, as each operator's docstring says.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from taktspur.llm.common import crc_bucket, with_small_batches
+from taktspur.llm.common import crc_bucket, stored, with_small_batches
 from taktspur.llm.contamination import contaminated, find_contamination
 from taktspur.llm.near_dup import near_duplicates
 from taktspur.llm.packing import pack
@@ -18,8 +22,16 @@ from taktspur.llm.toxicity import fit_toxicity, keep_clean
 from taktspur.session import delete_run_dir, new_run_dir, scratch
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+ROW = "_row"
+
+
+def _with_row(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents but those whose row is in ``rows``, all columns unchanged."""
+    return _with_row(docs).join(rows.select(ROW), ROW, "left_anti").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +43,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates, null ids last; of repeated rows one."""
     with_small_batches(docs)
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    keyed = _with_row(docs.select("doc_id", "text"))
+    found = near_duplicates(keyed, id_col=ROW).groupBy(ROW).agg(
+        F.min("component_id").alias("component"), F.count("*").alias("n"))
+    named = found.join(keyed.groupBy(ROW).agg(F.min("doc_id").alias("doc_id")), ROW)
+    # Ids are compared as they are, whatever their type; a group of any size is one row a task before the shuffle.
+    first = named.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW)).alias("first"))
+    decided = stored(named.join(first, "component").select(
+        ROW, "n", (F.col(ROW) == F.col(f"first.{ROW}")).alias("stays")).where("not stays or n > 1"), "decided")
+    out = _without(docs, decided)
+    repeated = decided.where("stays")
+    if repeated.isEmpty():
+        return out
+    one = (_with_row(docs).join(repeated.select(ROW), ROW, "left_semi").groupBy(ROW)
+           .agg(F.first(F.struct(*docs.columns)).alias("d")).select("d.*"))
+    return out.unionByName(one)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with fewer than one word in twenty inside a passage of the benchmark."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_contamination(_with_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)
     return _without(docs, found.where(contaminated(found)))
 
 
