@@ -1,5 +1,6 @@
 """Main text of pages, the registered queries, and the stages of the pipeline."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -217,6 +218,38 @@ def test_stages(spark, sf_dir, tmp_path_factory):
     assert ids[1] < ids[0] and ids[2] < ids[1]
 
 
+def rows_left(spark, stage, rows, sf_dir):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return sorted(map(tuple, dict(corpus_pipeline.STAGES)[stage](spark, docs, sf_dir).collect()), key=repr)
+
+
+def test_near_duplicates_are_removed_by_row(spark, sf_dir):
+    base = [f"word{i}" for i in range(120)]
+    long, near, other = " ".join(base), " ".join(base[:-1] + ["end"]), " ".join(f"else{i}" for i in range(50))
+    rows = [(7, long, "a"), (3, near, "b"), (None, long, "c"), (9, other, "d"), (9, other, "d"), (9, long, "e"),
+            (None, "alone without an id", "f"), (None, "alone without an id", "f"), (4, None, "g"), (4, None, "g"), (5, None, "h"),
+            (3, "another text of the same id", "i")]
+    assert rows_left(spark, "near_duplicates", rows, sf_dir) == sorted([
+        (3, near, "b"), (9, other, "d"), (None, "alone without an id", "f"), (4, None, "g"), (5, None, "h"),
+        (3, "another text of the same id", "i")], key=repr)
+
+
+def test_contamination_is_decided_by_row(spark, sf_dir):
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = "a clean text that shares its id with another one " * 3
+    rows = [(1, passage, "a"), (1, clean, "b"), (None, passage, "c"), (None, clean, "d"), (2, None, "e")]
+    assert rows_left(spark, "decontamination", rows, sf_dir) == sorted(
+        [(1, clean, "b"), (None, clean, "d"), (2, None, "e")], key=repr)
+
+
+def test_run_leaves_nothing_but_its_result(spark, sf_dir, tmp_path):
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    docs = corpus_pipeline.run(spark, sf_dir)
+    assert docs.count() > 0
+    left = set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before
+    assert all(name.startswith("pipeline-packing-") for name in left) and len(left) == 1
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_of_edge_rows(spark, sf_dir, edge_docs, empty_docs, name):
     stage = dict(corpus_pipeline.STAGES)[name]
