@@ -74,7 +74,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     whole run and compared word by word with the items' windows, again by an equi-join. Words in any
     equal run are hit. The work on a text follows its number of words, also where all are hit.
 
-    Null texts have no words. Null or repeated ids keep their rows; rows equal in id and text get the
+    Null texts have no words. Windows that overlap hit a word once, and items that tie on a window are all
+    listed. Null or repeated ids keep their rows; rows equal in id and text get the
     same figures. Items without id are searched for, but not listed. Items with one id are one item.
     An empty benchmark gives no hits, an empty table no rows; other columns are not read.
     """

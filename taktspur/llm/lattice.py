@@ -172,7 +172,7 @@ def lattice_scores(docs: DataFrame, learned: Column, model: str = "piece_bpe_32k
     bounded size; rarer words are joined by their 64-bit hash, so nothing depends on the size of the
     vocabulary.
 
-    A null text has the end alone; null or repeated ids keep their rows; other columns are neither
+    A null text has the end alone; a very long one is read word by word, and equal words score alike; null or repeated ids keep their rows; other columns are neither
     read nor returned; an empty table gives an empty table. Without learned texts every count is 0 and
     pieces are equally likely.
     """

@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     So a bucket of thousands of near copies costs a few comparisons a class. Only classes that
     stay near the threshold without reaching it are compared with many others.
 
-    Texts without words (null too) have an empty set and link with nothing. Rows with a null id
+    A very long text is one set, worked out whole. Texts without words (null too) have an empty set and link with nothing. Rows with a null id
     link with nothing either, get a null component and are kept. Rows of one id share their
     component if their texts do; ties go to the smaller id. Other columns are neither read nor
     returned. An empty table gives an empty table.

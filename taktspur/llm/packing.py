@@ -111,7 +111,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", id_col: str = "doc_id
     executor does not change sequence numbers; a number is the partition's number and a counter.
 
     Nulls: a null text is empty and gives the one piece that holds ``end_id``; null or repeated ids
-    keep their pieces. Other columns are neither read nor returned; an empty table gives no piece.
+    keep their pieces. A very long text is encoded whole and cut into windows; of windows with equal room
+    the first opened takes the piece. Other columns are neither read nor returned; an empty table gives no piece.
     """
     id_type = docs.schema[id_col].dataType
     schema = PIECE.format(id=id_type.simpleString())

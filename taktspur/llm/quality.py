@@ -157,7 +157,8 @@ def rate_quality(docs: DataFrame, model: LinearModel, id_col: str = "doc_id", te
     half the words lie in three-word windows that occur twice or more in the text. ``kept``: not
     failed and a score (probability of good quality) of at least ``threshold``.
 
-    A null or empty text has no words and fails. Null or repeated ids keep their rows. Other columns
+    A null or empty text has no words and fails. A very long text is counted whole, in memory for itself
+    alone; a score equal to the threshold is kept. Null or repeated ids keep their rows. Other columns
     are neither read nor returned. An empty table gives an empty table.
     """
     @F.arrow_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, "

@@ -434,7 +434,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies costs an entry a block. Anchors in more than ``hot_blocks`` blocks travel window by
     window and are dealt by the window's own hash. Nothing is capped.
 
-    A null text is empty. Ids must be whole numbers; rows of one id do not remove from each other; rows
+    A null text is empty. A very long text is one block's work. Of equal ids neither is smaller, so ties
+    keep their bytes. Ids must be whole numbers; rows of one id do not remove from each other; rows
     with a null id neither lose nor cause anything. Other columns are neither read nor returned; an
     empty table gives an empty table.
     """

@@ -69,7 +69,8 @@ def score_toxicity(docs: DataFrame, model: LinearModel, id_col: str = "doc_id",
                    text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per input row (also for null or repeated ids): id, score, predicted.
 
-    Nulls: a null text is scored as the empty text, which has no feature and gets the intercept.
+    Nulls: a null text is scored as the empty text, which has no feature and gets the intercept. A very
+    long text is scored whole; a score of exactly 0.5 is predicted 1.
     Other columns are neither read nor returned, so their names cannot clash. An empty table gives
     an empty table.
     """

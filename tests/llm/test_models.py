@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -177,3 +178,57 @@ def test_scores_against_plain_counts(small_docs, edge_docs, head):
 
 def test_scores_of_an_empty_table(empty_docs):
     assert lattice.lattice_scores(empty_docs, F.lit(True)).count() == 0
+
+
+def plain_grams(text):
+    low = (text or "").lower()
+    return {low[i:i + n] for n in (4, 5, 6) for i in range(len(low) - n + 1)}
+
+
+def plain_toxicity(learn, texts, every_label):
+    """The whole classifier on sets of n-grams: log-count ratios, then many small plain gradient steps."""
+    sets, y = [plain_grams(t) for t, _ in learn], np.array([float(v) for _, v in learn])
+    count = {0: Counter(), 1: Counter()}
+    for grams, label in zip(sets, y):
+        count[int(label)].update(grams)
+    n1, n0 = y.sum(), len(y) - y.sum()
+    ratio = {g: math.log((count[1][g] + 2) / (n1 + 4) * (n0 + 4) / (count[0][g] + 2)) for g in count[0] | count[1]
+             if count[0][g] + count[1][g] >= 5}
+    names = sorted(g for g, r in ratio.items() if abs(r) >= 2.0)
+    at = {g: k for k, g in enumerate(names)}
+
+    def row(grams):
+        own = [at[g] for g in grams if g in at]
+        x = np.zeros(len(names))
+        x[own] = [ratio[names[k]] for k in own]
+        return x / max(len(own), 1) ** 0.25
+
+    x = np.array([row(g) for g in sets])
+    w, b = np.zeros(len(names)), 0.0
+    rate = 3.9 / ((x * x).sum(axis=1).max() + 1)
+    for _ in range(60_000):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w -= rate * (x.T @ error / len(y) + 1e-7 * w)
+        b -= rate * error.mean()
+    b += math.log(sum(every_label) / (len(every_label) - sum(every_label))) - math.log(n1 / n0)
+    return [1 / (1 + math.exp(-(row(plain_grams(t)) @ w + b))) for t in texts]
+
+
+def test_toxicity_equals_the_plain_classifier(spark):
+    rng = random.Random(21)
+    fair, foul = ["garden", "weather", "lovely day", "reading", "the river"], ["grubwort", "nasty snarl", "vile toad", "scum"]
+    rows = []
+    for i in range(90):
+        label = int(i % 3 == 0)
+        words = [rng.choice(foul if label and rng.random() < 0.6 or rng.random() < 0.1 else fair) for _ in range(rng.randrange(3, 9))]
+        rows.append((i, " ".join(words), label))
+    asked = [t for _, t, _ in rows[:40]] + ["", None, "Grubwort in the garden", "zzz"]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, steps=20_000)
+    query = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = [r.score for r in toxicity.score_toxicity(query, model).orderBy("doc_id").collect()]
+    want = plain_toxicity([(t, y) for _, t, y in rows], asked, [y for _, _, y in rows])
+    # Both go down the same convex curve, which is nearly flat at its end.
+    assert np.abs(np.array(got) - np.array(want)).max() < 0.02
+    assert np.corrcoef(got, want)[0, 1] > 0.999
