@@ -108,7 +108,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     met = (signed.select("k", F.explode(_pairs(lengths, lambda n: F.col(f"f{n}"))).alias("p")).select("k", "p.len", "p.v")
            .join(searched, ["len", "v"]).select("k").distinct())
-    near = _hashed(texts.join(met, "k").select("k", words_of("text").alias("w")))
+    # Few texts meet a fingerprint; only their words are read again.
+    near_words = stored(texts.join(met, "k").select("k", words_of("text").alias("w")), "near")
+    near = _hashed(near_words)
     for n in lengths:
         near = with_fingerprints(near, n, f"f{n}")
 
@@ -119,7 +121,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     places = (near.select("k", F.explode(F.concat(*map(numbered, lengths))).alias("p"))
               .select("k", "p.len", "p.i", "p.v").join(searched, ["len", "v"])
               .groupBy("k").agg(F.collect_set(F.struct("len", "i")).alias("places")))
-    worded = texts.select("k", words_of("text").alias("w")).join(places, "k")
+    worded = near_words.join(places, "k")
     runs_here = F.transform("places", lambda p: F.struct(
         p["len"].alias("len"), p["i"].alias("i"), F.array_join(F.slice("w", p["i"], p["len"]), " ").alias("run")))
     found = stored(
