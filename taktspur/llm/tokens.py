@@ -11,7 +11,7 @@ from .common import as_texts, once
 
 MARK = "▁"
 #: Bytes of the pre-tokens whose counts a worker keeps, and characters of the longest it does.
-CACHE_BYTES, CACHE_CHARS = 16 << 20, 64
+CACHE_BYTES, CACHE_CHARS = 48 << 20, 64
 #: What a string and its count take beside the characters.
 ENTRY_BYTES = 120
 
