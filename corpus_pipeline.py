@@ -19,6 +19,7 @@ from taktspur.llm.near_dup import near_duplicates
 from taktspur.llm.packing import pack
 from taktspur.llm.pii import mask_personal_data
 from taktspur.llm.toxicity import fit_toxicity, keep_clean
+from taktspur.operators.joins import lookup
 from taktspur.session import delete_run_dir, new_run_dir, scratch
 
 
@@ -49,10 +50,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = near_duplicates(keyed, id_col=ROW).groupBy(ROW).agg(
         F.min("component_id").alias("component"), F.count("*").alias("n"))
     named = found.join(keyed.groupBy(ROW).agg(F.min("doc_id").alias("doc_id")), ROW)
-    # Ids are compared as they are, whatever their type; a group of any size is one row a task before the shuffle.
+    # Ids are compared as they are, whatever their type; a group of any size is one row a task before the shuffle,
+    # and its members are dealt into parts where they look up the first.
     first = named.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW)).alias("first"))
-    decided = stored(named.join(first, "component").select(
+    decided = stored(lookup(named, first, ["component"], spread=ROW).select(
         ROW, "n", (F.col(ROW) == F.col(f"first.{ROW}")).alias("stays")).where("not stays or n > 1"), "decided")
     out = _without(docs, decided)
     repeated = decided.where("stays")
