@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions.delay import known
 from ..functions.text import parsed_reply
 from ..functions.time import day_part
-from ..operators.grouped import daily, group_means, top_by
+from ..operators.grouped import daily, top_by
 from ..session import materialized, new_run_dir
 from ..sources.tables import optional_parquet
 
@@ -56,27 +56,32 @@ def day_context(prepared: DataFrame, days: DataFrame | None = None, day: str = "
     events = prepared.where(F.col(day).isNotNull())
     if days is not None:
         events = events.join(days.select(day).distinct(), day, "left_semi")
-    delay = known("delay_arr_sec")
-
-    parts = day_part("hour")
-    per_day = events.groupBy(day).agg(
-        F.min_by("weekday", F.struct("ankunftszeit", "weekday")).alias("weekday"),
-        F.count("*").alias("n_halte"),
-        F.avg(delay).alias("mean_delay"),
-        (100.0 * F.count_if("is_late_3min") / F.count("*")).alias("pct_late_3min"),
-        F.struct(
-            F.bround(F.avg("temperatur_c"), 1).alias("temperatur_c"),
-            F.bround(F.avg("niederschlag_mm"), 1).alias("niederschlag_mm"),
-            F.bround(F.avg("wind_ms"), 1).alias("wind_ms"),
-            F.bround(F.max("niederschlag_mm"), 1).alias("niederschlag_max"),
-        ).alias("weather"),
-        F.struct(*[
-            F.bround(F.avg(F.when(parts == part, delay)), 0).alias(part)
-            for part in ("Nacht", "Vormittag", "Nachmittag", "Abend")
-        ]).alias("by_daytime"),
-    )
-
-    stations = group_means(events, [day, "haltestellen_name"], "delay_arr_sec", min_n)
+    delay, parts = known("delay_arr_sec"), day_part("hour")
+    measures = {**{c: known(c) for c in ("temperatur_c", "niederschlag_mm", "wind_ms")},
+                **{part: F.when(parts == part, delay) for part in ("Nacht", "Vormittag", "Nachmittag", "Abend")}}
+
+    # One pass: days and stations are both read off the sums per day and station.
+    cells = materialized(events.groupBy(day, "haltestellen_name").agg(
+        F.min(F.struct("ankunftszeit", "weekday")).alias("first"), F.count("*").alias("rows"),
+        F.count_if("is_late_3min").alias("late"), F.count(delay).alias("n"), F.sum(delay).alias("total"),
+        F.max(known("niederschlag_mm")).alias("rain_max"),
+        *[F.struct(F.sum(x).alias("total"), F.count(x).alias("n")).alias(name) for name, x in measures.items()]))
+
+    def mean(name: str, digits: int) -> Column:
+        average = F.try_divide(F.sum(f"{name}.total"), F.sum(f"{name}.n"))
+        return F.bround(average, digits).alias(name)
+
+    per_day = cells.groupBy(day).agg(
+        F.min("first").alias("first"), F.sum("rows").alias("n_halte"),
+        F.try_divide(F.sum("total"), F.sum("n")).alias("mean_delay"),
+        (100.0 * F.sum("late") / F.sum("rows")).alias("pct_late_3min"),
+        F.struct(mean("temperatur_c", 1), mean("niederschlag_mm", 1), mean("wind_ms", 1),
+                 F.bround(F.max("rain_max"), 1).alias("niederschlag_max")).alias("weather"),
+        F.struct(*[mean(part, 0) for part in ("Nacht", "Vormittag", "Nachmittag", "Abend")]).alias("by_daytime"),
+    ).withColumn("first", F.col("first.weekday")).withColumnRenamed("first", "weekday")
+
+    stations = cells.where(F.col("haltestellen_name").isNotNull() & (F.col("n") >= min_n)).select(
+        day, "haltestellen_name", "n", (F.col("total") / F.col("n")).alias("mean_delay"))
     place = F.row_number().over(
         Window.partitionBy(day).orderBy(F.desc("mean_delay"), "haltestellen_name"))
     worst = stations.withColumn("place", place).where(F.col("place") <= k)

@@ -66,7 +66,7 @@ def materialized(df: DataFrame) -> DataFrame:
 
 #: Run folders of the innermost ``scratch`` block, and those made outside of any.
 _made: ContextVar[list[str] | None] = ContextVar("run folders", default=None)
-_outside: list[str] = []
+_outside: dict[str, None] = {}
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
@@ -87,8 +87,7 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
 def _delete_later(spark: SparkSession, path: str) -> None:
     if not _outside:
         atexit.register(_delete_at_exit, spark)
-    if path not in _outside[-1:]:
-        _outside.append(path)
+    _outside[path] = None
 
 
 def delete_run_dir(spark: SparkSession, path: str) -> None:
@@ -99,10 +98,10 @@ def delete_run_dir(spark: SparkSession, path: str) -> None:
 
 def _delete_at_exit(spark: SparkSession) -> None:
     try:
-        for path in dict.fromkeys(_outside):
+        for path in _outside:
             delete_run_dir(spark, path)
     except Exception as error:  # The JVM may be gone by now; then the folders stay, and are named.
-        print(f"run folders left, such as {_outside[0]}: {type(error).__name__}", file=sys.stderr)
+        print(f"run folders left, such as {next(iter(_outside))}: {type(error).__name__}", file=sys.stderr)
 
 
 @contextmanager
