@@ -23,6 +23,8 @@ SHARP_SAMPLES, SHARP_BITS, SHARP_MARGIN = 1024, 4096, 0.075
 BLOCK = 2048
 #: Classes with which a class is compared in each of the first two rounds; the third has no such bound.
 LEADS = 3
+#: The third round compares the classes of a bucket by blocks of about so many, so many pairs at once.
+PAIR_BLOCK, PAIRS_AT_ONCE = 2048, 1 << 20
 
 
 def text_sets(column: pa.Array) -> list[np.ndarray]:
@@ -134,11 +136,56 @@ def sharp_sketch_column(hashes: Column) -> Column:
     return sketches(hashes)
 
 
-def _sketches_near(a: str, b: str, most: int, size: int = SKETCH_BITS) -> Column:
-    bits = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(size // 64))
+def _sketches_near(a: str, b: str, most: int) -> Column:
+    bits = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH_BITS // 64))
     return F.expr(f"{bits} <= {most}")
 
 
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of arrays of one length as rows of 64-bit words."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.view(np.uint64).reshape(len(column), -1)
+
+
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
+def block_pairs(key: int, x: pa.Table, y: pa.Table, percent: int, most: int, most_sharp: int) -> pa.Table:
+    """Pairs (a, b) of rows of two blocks of the bucket ``key`` that may reach the threshold.
+
+    Left out are pairs of one component, pairs that meet the other way round too, pairs below the bound
+    by sizes and common shingles or far by their sketches, and pairs that share an earlier band.
+    """
+    (a, p, n1, c1), (b, q, n2, c2) = ([t[c].to_numpy() for c in ("cid", "root", "n", "common")] for t in (x, y))
+    first = (q == y["main"].to_numpy()) if len(y) else np.zeros(0, bool)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(x) and len(y):
+        x_sketch, y_sketch = _words(x["sketch"]), np.ascontiguousarray(_words(y["sketch"]).T)
+        x_bands, y_bands = _words(x["bands"]), _words(y["bands"])
+        x_sharp, y_sharp = _words(x["sharp"]), _words(y["sharp"])
+        band = int(np.flatnonzero(x_bands[0].view(np.int64) == key)[0])
+        step = max(1, PAIRS_AT_ONCE // len(y))
+        for low in range(0, len(x), step):
+            at = slice(low, low + step)
+            apart = np.zeros((len(a[at]), len(y)), np.uint16)
+            for k, words in enumerate(y_sketch):
+                apart += np.bitwise_count(x_sketch[at, k, None] ^ words)
+            shared = np.minimum(c1[at, None], c2)
+            i, j = np.nonzero((apart <= most) & (p[at, None] != q) & (first | (a[at, None] < b))
+                              & (100 * shared >= percent * (n1[at, None] + n2 - shared)))
+            i += low
+            for k in range(band):
+                new = x_bands[i, k] != y_bands[j, k]
+                i, j = i[new], j[new]
+            for k in range(0, len(i), BLOCK):
+                one, other = i[k:k + BLOCK], j[k:k + BLOCK]
+                near = _bits_apart(x_sharp[one], y_sharp[other]) <= most_sharp
+                found.append((a[one[near]], b[other[near]]))
+    return pa.table({c: np.concatenate([np.zeros(0, np.int64), *f])
+                     for c, f in zip(("a", "b"), list(zip(*found)) or [(), ()])})
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets overlap enough; similarity as intersection over union."""
     both = (pairs.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
@@ -149,18 +196,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(cid, root) after the links (a, b) have joined the components of ``roots``."""
-    edges = (links.join(roots.toDF("a", "p"), "a").join(roots.toDF("b", "q"), "b")
-             .select(F.col("p").alias("a"), F.col("q").alias("b")))
+    return _joined(roots, links.join(roots.toDF("a", "p"), "a").join(roots.toDF("b", "q"), "b")
+                   .select(F.col("p").alias("a"), F.col("q").alias("b")))
+
+
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(cid, root) after the links (a, b) between roots."""
     return stored(roots.join(components(edges).toDF("root", "top"), "root", "left")
                   .select("cid", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def _several_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, cid, root, main) of the buckets with several components; main is the largest there."""
+    """Rows of the buckets with several components: key, cid, root, main (the largest component there),
+    classes in all and those outside main."""
     rooted = members.select("key", "cid").join(roots, "cid")
     keys = (rooted.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
-            .agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"))
-            .where("roots > 1").drop("roots"))
+            .agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("all"),
+                 (F.sum("size") - F.max("size")).alias("outside"))
+            .where("outside > 0"))
     return rooted.join(keys, "key")
 
 
@@ -180,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        the smallest part of them is nearest to all others.
     3. Each class outside the bucket's largest component is compared with the classes of other
        components, as far as the shingles that either could share at all reach the threshold. That
-       bound is exact, so no link between components is left out.
+       bound is exact, so no link between components is left out. Large buckets go in pairs of
+       blocks, dealt over all tasks.
 
     So a bucket of thousands of near copies costs a few comparisons a class. Only classes that
     stay near the threshold without reaching it are compared with many others.
@@ -221,7 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _confirmed(near, sets, percent)
 
     stars = members.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b"))
-    roots = _united(met.select("cid", F.col("cid").alias("root")), linked(stars))
+    # At first every class with a set is its own root, and links are links between roots.
+    roots = _joined(sets.select("cid", F.col("cid").alias("root")), linked(stars))
 
     open_rows = _several_roots(members, roots)
     alone = (sets.join(open_rows.select("cid").distinct(), "cid").select("cid", F.explode("hashes").alias("t"))
@@ -240,23 +295,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     left = stored(_several_roots(open_rows, roots).join(open_rows.select("key", "cid", "n", "common"), ["key", "cid"]),
                   "left")
-    sharp = stored(left.groupBy("cid").agg(F.collect_set("key").alias("keys")).join(sets, "cid")
-                   .select("cid", "keys", sharp_sketch_column(F.col("hashes")).alias("sharp")), "sharp")
-    left = left.join(sharp, "cid").join(sketches, "cid")
-    kept = ("cid", "root", "n", "common", "sketch", "sharp", "keys")
-    outside = left.where("root <> main").select("key", *[F.col(c).alias(f"{c}1") for c in kept])
-    others = left.select("key", "main", *[F.col(c).alias(f"{c}2") for c in kept])
+    sharp = stored(left.select("cid").distinct().join(sets, "cid")
+                   .select("cid", sharp_sketch_column(F.col("hashes")).alias("sharp"))
+                   .join(classes.select("cid", "sketch", "bands"), "cid"), "sharp")
     most_sharp = most_differing_bits(percent / 100 - SHARP_MARGIN, SHARP_SAMPLES, SHARP_BITS)
-    most_shared = F.least("common1", "common2")
-    pairs = (outside.join(others, "key")
-             .where((F.col("root1") != F.col("root2"))
-                    & ((F.col("root2") == F.col("main")) | (F.col("cid1") < F.col("cid2")))
-                    & (100 * most_shared >= percent * (F.col("n1") + F.col("n2") - most_shared))
-                    & _sketches_near("sketch1", "sketch2", most)
-                    & _sketches_near("sharp1", "sharp2", most_sharp, SHARP_BITS)
-                    # A pair that meets in several buckets is taken in one of them.
-                    & (F.col("key") == F.array_min(F.array_intersect("keys1", "keys2"))))
-             .select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct())
+
+    def near(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        return block_pairs(key[0].as_py(), x, y, percent, most, most_sharp)
+
+    # Block i of the classes outside the largest component meets block j of all of the bucket.
+    left = (left.join(sharp, "cid").withColumn("i", F.expr(f"ceil(outside / {PAIR_BLOCK})"))
+            .withColumn("j", F.expr(f"ceil(all / {PAIR_BLOCK})")))
+    own = {k: F.expr(f"pmod(xxhash64(cid), {k})") for k in "ij"}
+    each = {k: F.explode(F.expr(f"sequence(0L, {k} - 1)")) for k in "ij"}
+    meet = ("key", "i", "j")
+    pairs = (left.where("root <> main").withColumn("i", own["i"]).withColumn("j", each["j"]).groupBy(*meet)
+             .cogroup(left.toDF(*left.columns).withColumn("j", own["j"]).withColumn("i", each["i"]).groupBy(*meet))
+             .applyInArrow(near, "a long, b long"))
     roots = _united(roots, _confirmed(pairs, sets, percent))
 
     final = (classes.select("cid", "rep").join(roots, "cid", "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taktspur.llm import near_dup, spans
+from taktspur.llm import graph, near_dup, spans
 from taktspur.llm.contamination import contaminated, find_contamination
 from taktspur.llm.graph import components
 from taktspur.llm.queries import ORACLE, QUERIES
@@ -113,6 +113,67 @@ def test_stars_find_components(spark):
     assert {(r.node, r.root) for r in got} == want and len(got) == len(want)
 
 
+def test_no_round_after_the_last_star(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df, name, f=graph.stored: written.append(name) or f(df, name))
+    stars = [(10, 1), (1, 11), (12, 1), (12, 1), (20, 2), (3, 3)]
+    found = components(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(10, 1), (11, 1), (12, 1), (20, 2)]
+    assert len(written) == 1
+    path = components(spark.createDataFrame([(3, 2), (2, 1), (4, 3)], "a long, b long")).collect()
+    assert sorted(map(tuple, path)) == [(2, 1), (3, 1), (4, 1)]
+
+
+def test_block_pairs_against_plain_pairs():
+    rng = np.random.default_rng(3)
+    base, rows = rng.integers(0, 2**63, 200, np.uint64), []
+    for cid in range(40):
+        own = rng.integers(0, 2**63, 200, np.uint64)
+        h = np.unique(np.where(rng.random(200) < 0.1, own, base))
+        least = near_dup.min_hashes(h, near_dup.SHARP_SAMPLES)
+        rows.append({"cid": cid * 7919 % 40, "root": int(rng.integers(0, 4)), "main": 0, "n": len(h),
+                     "common": len(h) - int(rng.integers(0, 60)), "sharp": near_dup.odd_sketch(least, near_dup.SHARP_BITS),
+                     "sketch": near_dup.odd_sketch(near_dup.min_hashes(h)), "bands": near_dup.band_keys(near_dup.min_hashes(h))})
+    apart = lambda x, y: sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
+    most, sharp = near_dup.most_differing_bits(0.5), near_dup.most_differing_bits(0.675, near_dup.SHARP_SAMPLES, near_dup.SHARP_BITS)
+    whole, got = set(), []
+    for band in range(near_dup.BANDS):
+        for key in {int(r["bands"][band]) for r in rows}:
+            members = [r for r in rows if r["bands"][band] == key]
+            outside = [r for r in members if r["root"] != 0]
+            for x in outside:
+                for y in members:
+                    both = min(x["common"], y["common"])
+                    if (x["root"] != y["root"] and 100 * both >= 75 * (x["n"] + y["n"] - both)
+                            and apart(x["sketch"], y["sketch"]) <= most and apart(x["sharp"], y["sharp"]) <= sharp):
+                        whole.add((x["cid"], y["cid"]) if y["root"] == 0 else tuple(sorted((x["cid"], y["cid"]))))
+            table = near_dup.pa.Table.from_pylist
+            for x in (outside[::2], outside[1::2]):
+                for y in (members[:5], members[5:]):
+                    if x and y:
+                        found = near_dup.block_pairs(key, table(x), table(y), 75, most, sharp)
+                        got += zip(found["a"].to_pylist(), found["b"].to_pylist())
+    assert len(whole) > 20 and len(got) == len(set(got)) and set(got) == whole
+    one = table(rows[:1])
+    assert near_dup.block_pairs(int(rows[0]["bands"][0]), one, one.slice(1), 75, most, sharp).num_rows == 0
+
+
+def test_third_round_compares_by_blocks(spark, monkeypatch):
+    # Copies near the threshold: many share buckets without a link, so they are left to the third round.
+    rng, rows = random.Random(11), []
+    base = [f"w{k}" for k in range(300)]
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(300), 6 + k % 7):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(near_dup, "PAIR_BLOCK", 4)
+    monkeypatch.setattr(near_dup, "PAIRS_AT_ONCE", 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(docs)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == plain_components(rows)
+
+
 def plain_hits(text, items, size=13):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     words, hit, found = find(text), set(), set()
