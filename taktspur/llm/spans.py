@@ -16,10 +16,12 @@ WINDOW = 50
 GRAM = 20
 #: Text bytes of a block, and of all texts for each bucket.
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_BUCKET_BITS = 6
 #: A stretch holds at most so many windows, so the construction has a fixed number of rounds.
 STRETCH_WINDOWS = 32
+#: A bucket sorts whole anchors together up to so many bytes, which stay near the processor.
+SORT_BYTES = 1 << 17
 #: Anchors found in more blocks are looked at window by window, spread over all buckets.
 HOT_BLOCKS = 1024
 LENGTH_MIX = np.uint64(0xA24BAED4963EE407)
@@ -39,8 +41,9 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def stretches(texts: pa.Array, window: int):
     """Per slice: (first row, bytes, prefix hashes, row, first window, windows, anchor) of all stretches.
 
-    The anchor of a window is the least hash of the grams in it, so equal windows have equal anchors. A
-    stretch is a run of windows of one text with one anchor, cut after 32 windows.
+    The anchor of a window is the least hash of the grams in it, so equal windows have equal anchors. It is
+    hashed again, since least values crowd at the lower end and buckets go by leading bits. A stretch is a
+    run of windows of one text with one anchor, cut after 32 windows.
     """
     gram = min(GRAM, window)
     for low, _, data, offsets in byte_slices(texts):
@@ -48,8 +51,8 @@ def stretches(texts: pa.Array, window: int):
         if n < window:
             continue
         sums = prefix_hash(data)
-        at = np.arange(n - gram + 1)
-        least = sliding_least(mix(span_hash(sums, at, at + gram)), window - gram + 1)
+        grams = span_hash(sums, slice(0, n - gram + 1), slice(gram, n + 1))
+        least = sliding_least(mix(grams), window - gram + 1)
         inside = np.zeros(n - window + 2, bool)
         for a, b in zip(offsets[:-1], offsets[1:]):
             if b - a >= window:
@@ -70,7 +73,7 @@ def stretches(texts: pa.Array, window: int):
         first = head + step * STRETCH_WINDOWS
         size = np.minimum(np.repeat(stops, parts) - first, STRETCH_WINDOWS)
         row = np.searchsorted(offsets, first, "right") - 1
-        yield low, data, sums, offsets, row, first, size, least[head]
+        yield low, data, sums, offsets, row, first, size, mix(least[head])
 
 
 def content_hash(sums: np.ndarray, first: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
@@ -159,7 +162,8 @@ def shared_anchors(table: pa.Table, bits: int, hot_blocks: int) -> pa.Table:
 
 def _blob(*arrays: np.ndarray) -> bytes:
     body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
+    # Level 3 takes a tenth less room than pyarrow's default of 1, in the same time.
+    return len(body).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(body, asbytes=True)
 
 
 def _unblob(blob: bytes) -> bytes:
@@ -229,53 +233,76 @@ def stretches_of_block(table: pa.Table, reply: pa.Table, window: int, bits: int,
         (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["b", "g", "n", "entries"])
 
 
+def _letters(data: np.ndarray, starts: np.ndarray, wide: int) -> np.ndarray:
+    """``wide`` bytes from each place as one number, in their order."""
+    grams = np.zeros(len(starts), np.uint32)
+    for k in range(wide):
+        grams = grams << np.uint32(8) | data[starts + k]
+    return grams
+
+
 def sorted_suffixes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, same): suffixes of at least ``window`` bytes in order, and whether each agrees with the
     one before it in its first ``window`` bytes.
 
-    Column-wise construction over the whole collection: round r puts the suffix of length r of every
-    string among those of the rounds before. The transform holds the byte in front of each suffix;
-    a stable count of its bytes gives the place of every suffix that starts with one of them, so
-    no two suffixes are ever compared. Common prefixes are read off neighbours at the end.
+    Column-wise construction over the whole collection, with letters of four bytes (fewer, if more than
+    65,534 different ones occur): round 0 sorts the suffixes shorter than a letter, and each round
+    puts those that are one letter longer than the last ones among those of the rounds before. The
+    transform holds the letter in front of each suffix; a stable count of its letters gives the place of every
+    suffix that starts with one of them, so no two suffixes are ever compared. Common prefixes are read off
+    neighbours at the end.
     """
     n, length = len(offsets) - 1, np.diff(offsets)
-    first, last = offsets[:-1], offsets[1:]
-    # Bytes are kept plus one (UTF-8 has no byte 255); 0 stands before a whole string, and its
-    # suffix is not extended.
-    front = np.where(length > 0, data[np.maximum(last, 1) - 1] + np.uint8(1), 0).astype(np.uint8)
+    # A byte between strings, so that the empty suffix of each has a place of its own.
     place = np.int32 if len(data) + n < 2**31 else np.int64
-    where = last.astype(place)
-    fresh, owner = np.arange(n), np.arange(n)
-    for r in range(1, int(length.max(initial=0)) + 1):
-        going = length[owner] >= r
-        fresh, owner = fresh[going], owner[going]
+    string = np.repeat(np.arange(n, dtype=place), length + 1)
+    last = (offsets[1:] + np.arange(n)).astype(place)
+    left = last[string] - np.arange(len(string), dtype=place)
+    text = np.zeros(len(string) + 4, np.uint8)
+    text[:len(string)][left > 0] = data
+    for wide in (4, 2, 1):
+        whole = np.flatnonzero(left >= wide)
+        grams, number = np.unique(_letters(text, whole, wide), return_inverse=True)
+        if wide == 1 or wide <= window and len(grams) < 2**16 - 1:
+            break
+    # Letters are numbered from 1; 0 stands where a string has less than a letter left, and its suffix is not extended.
+    ahead = np.zeros(len(string), np.uint16)
+    ahead[whole + wide] = number + 1
+
+    where = np.flatnonzero(left < wide)
+    short = _letters(text, where, wide).astype(np.int64)
+    hidden = 8 * (wide - left[where])
+    short = short >> hidden << hidden
+    order = np.lexsort((left[where], short))
+    where, short = where[order].astype(place), short[order]
+    # Short suffixes before all suffixes that start with a letter.
+    below = np.concatenate([[0], np.searchsorted(short, grams, "right")])
+    front, fresh = ahead[where], np.ones(len(where), bool)
+    while True:
         order = np.argsort(front, kind="stable")
-        ended = int(np.searchsorted(front[order], 1))
-        rank = np.empty(len(front), place)
-        rank[order] = np.arange(n - ended, n - ended + len(front), dtype=place)
-        places = rank[fresh]
-        turn = np.argsort(places)
-        places, owner = places[turn], owner[turn]
-        start = last[owner] - r
-        before = np.where(length[owner] > r, data[np.maximum(start, 1) - 1] + np.uint8(1), 0)
-        new = np.zeros(len(front) + len(places), bool)
-        new[places] = True
-        grown, moved = np.empty(len(new), np.uint8), np.empty(len(new), place)
-        grown[new], grown[~new] = before, front
-        moved[new], moved[~new] = start, where
-        front, where, fresh = grown, moved, places
-    string = np.searchsorted(offsets, where, "right") - 1
-    string = np.minimum(string, n - 1)
-    # An empty suffix lies at the end of its string, which is the start of the next.
-    long_enough = np.zeros(len(where), bool)
-    long_enough[n:] = where[n:] + window <= last[string[n:]]
-    where = where[long_enough]
+        ended = len(front) - np.count_nonzero(front)
+        rank = np.flatnonzero(fresh[order])
+        rank = rank[np.searchsorted(rank, ended):]
+        if not len(rank):
+            break
+        source = order[rank]
+        places = rank - ended + below[front[source]]
+        start = where[source] - place(wide)
+        fresh = np.zeros(len(front) + len(places), bool)
+        fresh[places] = True
+        older = ~fresh
+        grown, moved = np.empty(len(fresh), front.dtype), np.empty(len(fresh), place)
+        grown[places], grown[older] = ahead[start], front
+        moved[places], moved[older] = start, where
+        front, where = grown, moved
+    where = where[left[where] >= window].astype(np.int64)
     same = np.ones(len(where), bool)
     same[:1] = False
-    for k in range(window):
-        column = data[where + k]
+    letters = _letters(text, np.arange(len(string)), wide)
+    for k in sorted({*range(0, window - wide, wide), window - wide}):
+        column = letters[where + k]
         same[1:] &= column[1:] == column[:-1]
-    return where, same
+    return where - string[where], same
 
 
 def least_ids(table: pa.Table, window: int) -> pa.Table:
@@ -302,18 +329,26 @@ def least_ids(table: pa.Table, window: int) -> pa.Table:
     begin = np.concatenate([[0], np.cumsum(windows)])
     result = np.repeat(least, windows)
 
-    # Where an anchor stands in one stretch alone, that is the answer; the others are sorted.
+    # Where an anchor stands in one stretch alone, that is the answer; the others are sorted, whole anchors
+    # at a time, as windows of different anchors differ.
     _, group, size = np.unique(anchor[take], return_inverse=True, return_counts=True)
     mixed = np.flatnonzero((size[group] > 1) & ~spread[take])
-    if len(mixed):
-        part = length[take[mixed]].astype(np.int64)
+    mixed = mixed[np.argsort(group[mixed], kind="stable")]
+    ends = np.cumsum(length[take[mixed]], dtype=np.int64)
+    new = np.flatnonzero(np.diff(group[mixed], prepend=-1))
+    # Runs of whole anchors, begun anew where an anchor begins in another stretch of SORT_BYTES.
+    begun = np.concatenate([[0], ends])[new] // SORT_BYTES
+    cuts = new[np.flatnonzero(np.diff(begun, prepend=-1))].tolist()
+    for i, j in zip(cuts, [*cuts[1:], len(mixed)]):
+        some = mixed[i:j]
+        part = length[take[some]].astype(np.int64)
         own = np.concatenate([[0], np.cumsum(part)])
-        joined = data[_spread(offsets[take[mixed]], part)]
+        joined = data[_spread(offsets[take[some]], part)]
         places, same = sorted_suffixes(joined, own, window)
         number = np.searchsorted(own, places, "right") - 1
         groups = np.flatnonzero(~same)
-        lowest = np.minimum.reduceat(least[mixed[number]], groups)
-        target = begin[mixed[number]] + places - own[number]
+        lowest = np.minimum.reduceat(least[some[number]], groups)
+        target = begin[some[number]] + places - own[number]
         result[target] = np.repeat(lowest, np.diff(np.append(groups, len(places))))
 
     # Runs of equal answers within a stretch.

@@ -5,6 +5,8 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,6 +257,67 @@ def test_suffixes_come_out_sorted():
         assert [bool(x) for x in same] == [i > 0 and got[i][:4] == got[i - 1][:4] for i in range(len(got))]
 
 
+def test_suffixes_with_letters_of_every_width():
+    rng = np.random.default_rng(3)
+    cases = [(rng.integers(0, 200, 1_500 * 60), 60, 50),  # more than 65,534 letters of four bytes
+             (rng.integers(0, 256, 160_000), 80, 50),  # nearly all letters of two bytes, and the byte 255
+             (np.arange(256**2) >> 8 * (1 - np.arange(2)[:, None]) & 255, 2, 2),  # all letters of two bytes
+             (rng.integers(0, 2, 3_000), 10, 1), (rng.integers(0, 2, 3_000), 10, 3)]
+    for data, size, window in cases:
+        data = np.asarray(data, np.uint8).T.ravel()
+        offsets = np.arange(0, len(data) + 1, size)
+        places, same = spans.sorted_suffixes(data, offsets, window)
+        raw = data.tobytes()
+        got = [raw[p:p - p % size + size] for p in places.tolist()]
+        assert got == sorted(got) and len(set(places.tolist())) == len(data) // size * (size - window + 1)
+        assert same.tolist() == [i > 0 and got[i][:window] == got[i - 1][:window] for i in range(len(got))]
+
+
+def test_suffix_sorting_counts_few_letters_per_byte(monkeypatch):
+    rng = np.random.default_rng(4)
+    data, rows, argsort = rng.integers(97, 123, 500 * 75).astype(np.uint8), [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **more: (rows.append(len(a)), argsort(a, *args, **more))[1])
+    spans.sorted_suffixes(data, np.arange(0, len(data) + 1, 75), 50)
+    assert sum(rows) < 16 * len(data)  # a round a byte took 40
+
+
+def passage_rows(seed, n):
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice("abcdefghé \n") for _ in range(150)) for _ in range(20)]
+    return [(i, "".join(rng.choice(passages)[rng.randrange(60):rng.randrange(90, 150)] for _ in range(6))
+             + "".join(rng.choice("abcdefgh ") for _ in range(300))) for i in range(n)]
+
+
+def test_buckets_of_anchors_are_even():
+    rows = passage_rows(5, 300)
+    table = pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    found = spans.anchors_of_block(table, 50, 4, 0)
+    sizes = [len(a) // 6 for a in found["anchors"].to_pylist()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
+
+
+@pytest.mark.parametrize("most", [1, 2_000, 1 << 17])
+def test_sorting_by_runs_of_anchors(monkeypatch, most):
+    monkeypatch.setattr(spans, "SORT_BYTES", most)
+    sorted_suffixes, calls = spans.sorted_suffixes, []
+    monkeypatch.setattr(spans, "sorted_suffixes", lambda d, *args: (calls.append(len(d)), sorted_suffixes(d, *args))[1])
+    rows, bits = passage_rows(6, 120), 2
+    blocks = [pa.table({"id": [i for i, _ in rows[k::3]], "text": [t for _, t in rows[k::3]]}) for k in range(3)]
+
+    def by(table, key, value):
+        return table.filter(pc.equal(table[key], value))
+
+    met = pa.concat_tables(spans.anchors_of_block(t, 50, bits, k) for k, t in enumerate(blocks))
+    met = pa.concat_tables(spans.shared_anchors(by(met, "b", b), bits, 1_000) for b in range(4))
+    sent = pa.concat_tables(spans.stretches_of_block(t, by(met, "g", k), 50, bits, k) for k, t in enumerate(blocks))
+    answers = pa.concat_tables(spans.least_ids(by(sent, "b", b), 50) for b in range(4))
+    got = [r for k, t in enumerate(blocks)
+           for r in spans.removed_in_block(t, by(answers, "g", k), 50, pa.int64()).to_pylist()]
+    assert sorted(((r["id"], r["n_bytes"], r["kept"]) for r in got), key=str) == plain_removal(rows, 50)
+    assert sum(r["n_bytes"] - len(r["kept"]) for r in got) > 10_000
+    assert (len(calls) > 4) == (most < 1 << 17) and max(calls) < 50_000 + most
+
+
 def test_removal_of_an_empty_table(empty_docs):
     assert spans.remove_repeats(empty_docs).count() == 0
 
